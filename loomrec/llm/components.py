@@ -24,5 +24,5 @@ def components(edges: DataFrame) -> DataFrame:
         e = materialise(small.distinct(), "stars")
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
-            return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
         mark = now

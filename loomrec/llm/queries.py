@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomrec.llm.ngram_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomrec.llm.quality_rules import judge
 
@@ -82,7 +88,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op6_embedding_dedup, op7_chat_format, op8_html_extract, op9_quality_classifier, op10_line_dedup)
+    for f in (op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op6_embedding_dedup, op7_chat_format, op8_html_extract, op9_quality_classifier, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {}
