@@ -48,6 +48,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomrec.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomrec.llm.embedding_dedup import near_duplicates
 
@@ -88,7 +94,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op6_embedding_dedup, op7_chat_format, op8_html_extract, op9_quality_classifier, op10_line_dedup)
+    for f in (op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_html_extract, op9_quality_classifier, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {}
