@@ -8,7 +8,7 @@ Because later ids come first, the run that first holds a key names the document
 
 Defined results: null or empty text is one empty line; a document without an id takes no part and stays as it is; rows
 that repeat a doc_id count as one document and each keeps its row; an empty table gives an empty result; extra columns
-are carried through untouched.
+are carried through, but for kept_text, n_dropped, _id, _drops and _kept, which are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -121,6 +121,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     """docs with two more columns: kept_text, the lines that stay joined by \\n, and n_dropped.
 
     A line key of at least min_chars characters found in at least min_docs documents stays in the largest doc_id alone."""
+    docs = docs.drop("kept_text", "n_dropped", "_id", "_drops", "_kept")
     drops = repeated_lines(docs, min_chars, min_docs, batches, fanout)
     drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_drops"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")

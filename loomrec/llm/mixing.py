@@ -16,7 +16,7 @@ order; equal rows are taken together or not at all; an empty table gives an empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrec.llm.text import WORD
@@ -26,6 +26,10 @@ from loomrec.scratch import materialise
 FEW = 10_000
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def few(df: DataFrame, rows: int = FEW) -> DataFrame:
     """df, marked for broadcasting if it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -67,8 +71,7 @@ def inclusion(sized: DataFrame, shares: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), limit: float = 3.0, seed: str = "mix", cells: int = 4096) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): copies from 0 to limit for every row of docs."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     word = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
     u = (F.conv(F.substring(word, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     sized = materialise(sized.withColumn("u", u).withColumn("odds", F.length(F.bin("size"))), "sizes")

@@ -13,8 +13,8 @@ other blocks; where a cluster is still in several parts, the sets outside its la
 whose sets are linked already through others is not verified again, so copies never cost their square.
 
 Defined results: null, empty or blank text has no shingles and links with nothing; a text of fewer words than a shingle
-is one shingle; rows that repeat a doc_id are searched each for itself and share the id; null ids take part, but an id
-that is null is never a component's; an empty table gives an empty result; extra columns are ignored.
+is one shingle; rows that repeat a doc_id are searched each for itself and share the id; a row whose id is null is linked
+only through an equal text with an id, else its component is null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -287,9 +287,11 @@ def compare(contexts: DataFrame, n: int, buckets: int) -> DataFrame:
             part = t.slice(a, z - a)
             cid, pos = part["cid"].to_numpy(), part["at"].to_numpy()
             owner, o = repeated_suffixes(part["bytes"].to_pylist(), part["most"].to_numpy().astype(np.int64), part["least"].to_numpy().astype(np.int64), core[a:z], n)
+            if not len(owner):
+                continue
             by = np.lexsort((-o, owner))
             owner, start = owner[by], (pos[owner] - o)[by]
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)]) if len(owner) else np.zeros(0, bool)
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(owner)) - 1
             yield pa.RecordBatch.from_arrays([pa.array(cid[owner[first]]), pa.array(start[first].astype(np.int32)), pa.array((start[last] + n).astype(np.int32))], names=["cid", "a", "z"])
