@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.llm.components import components
+from loomrec.llm.components import components, local_roots
 from loomrec.scratch import materialise
 
 SLACK = 1e-4  # of squared distances in single precision
@@ -111,20 +111,6 @@ def tile_pairs(tiled: DataFrame, budget: float, block: int) -> DataFrame:
     return found.distinct() if found is not None else tiled.select(F.col("tile").alias("one"), F.col("tile").alias("two")).limit(0)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Component labels of nodes 0..n-1 under the links a[i]-b[i]."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def links(x: np.ndarray, y: np.ndarray, cosine: float, block: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Indices of linked rows of x and y: blocks propose, double precision decides."""
     width = x.shape[1]

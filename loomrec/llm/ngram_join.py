@@ -2,13 +2,13 @@
 
 Texts become sets of hashed word shingles; equal sets are one class (its id is a 64-bit hash of the set). Two sets of
 Jaccard similarity at least 0.75 share a shingle among the first n - ceil(3n/4) + 1 of each under any common order, so
-only such prefixes are grouped, and classes that share one fall into a cluster. The order puts shingles that are
-common in the corpus last, which keeps passages that many texts share from forming clusters; as any order is exact, its
-list of common shingles may be bounded.
+only such prefixes are grouped. The order puts shingles that are common in the corpus last, which keeps groups small; as any
+order is exact, its list of common shingles may be bounded.
 
-Clusters are searched by signature trees: nodes hold the OR and the AND of their sets' token bitmaps and their range of
-sizes, and a dual traversal drops pairs of nodes whose largest possible overlap is too small. A cluster comes in
-blocks of at most about `block` sets. Blocks are searched by themselves, then one set of each block with those of the
+Signature trees hold the OR and the AND of their sets' token bitmaps and their range of sizes in every node, and a dual
+traversal drops pairs of nodes whose largest possible overlap is too small. First each group is traversed by bitmaps
+alone, which are small enough to travel with the groups: classes that may still be similar form clusters. Then each
+cluster's sets are fetched once, and trees over them find the pairs that are verified exactly. A cluster comes in blocks of at most about `block` sets. Blocks are searched by themselves, then one set of each block with those of the
 other blocks; where a cluster is still in several parts, the sets outside its largest part meet every block. A pair
 whose sets are linked already through others is not verified again, so copies never cost their square.
 
@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.llm.components import components
+from loomrec.llm.components import components, local_roots
 from loomrec.llm.mixing import few
 from loomrec.llm.text import slices
 from loomrec.scratch import materialise
 
 MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, 32, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BITS = 2048  # of a set's bitmap
 _hashes: dict[bytes, int] = {}
 
 
@@ -110,11 +111,11 @@ def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarr
 
 
 def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame:
-    """A row (doc_id, n_shingles, class) for every document, and rows (bucket, tokens, classes) of packed prefixes."""
+    """A row (doc_id, n_shingles, class, bits) for every document, and rows (bucket, tokens, classes) of packed prefixes."""
     order = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[order], order))  # bounded by common_shingles' `most`
-    names = ["doc_id", "n_shingles", "class", "bucket", "tokens", "classes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", "n_shingles", "class", "bits", "bucket", "tokens", "classes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
@@ -126,7 +127,7 @@ def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame
             by = np.argsort(bucket, kind="stable")
             t, c, bucket = t[by], c[by], bucket[by]
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(t)]
-            rows = [(None, None, None, int(bucket[a]), t[a:z].tobytes(), c[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
+            rows = [(None, None, None, None, int(bucket[a]), t[a:z].tobytes(), c[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
         for b in slices(batches):
@@ -134,7 +135,7 @@ def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = shingles(text, n)
                 key = class_id(tokens) if len(tokens) else None
-                rows.append((doc_id, len(tokens), key, None, None, None))
+                rows.append((doc_id, len(tokens), key, bitmap(tokens) if key is not None else None, None, None, None))
                 if key is not None and key not in seen:
                     seen.add(key)
                     parts.append(prefix(tokens, common, rank))
@@ -148,11 +149,11 @@ def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame
         if parts:
             yield packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, bucket int, tokens binary, classes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary, bucket int, tokens binary, classes binary")
 
 
 def shared_prefixes(packed: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): for each prefix shingle of several classes, its smallest class with each other one."""
+    """(group, class): the classes of each prefix shingle that several share; groups of the same classes count as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, c = [], []
@@ -163,19 +164,101 @@ def shared_prefixes(packed: DataFrame, buckets: int) -> DataFrame:
             t, c = np.concatenate(t), np.concatenate(c)
             by = np.lexsort((c, t))
             t, c = t[by], c[by]
+            keep = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
+            t, c = t[keep], c[keep]
             new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            first = np.repeat(c[new], np.diff(np.append(new, len(t))))
-            pairs = np.unique(np.stack([first, c], 1)[first != c], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            many = np.diff(np.append(new, len(t)))
+            # A group's name is a hash of its members.
+            mixed = c.view(np.uint64) * MULTIPLIERS[0]
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * MULTIPLIERS[1]
+            names = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), new).view(np.int64)
+            _, first = np.unique(names, return_index=True)
+            first = first[many[first] > 1]
+            at = np.repeat(new[first], many[first]) + np.arange(many[first].sum()) - np.repeat(np.cumsum(many[first]) - many[first], many[first])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[first], many[first])), pa.array(c[at])], names=["group", "class"])
+
+    return packed.repartitionById(buckets, F.col("bucket")).select("tokens", "classes").mapInArrow(run, "group long, class long").distinct()
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, np.uint8)
+    bits[tokens % np.uint64(BITS)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def possible(sizes: np.ndarray, bits: np.ndarray, leaf: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the pairs that sizes and bitmaps allow to be similar: a tree of one level over leaves by size."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, bits = sizes[order], bits[order]
+    cuts = [(a, min(a + leaf, len(sizes))) for a in range(0, len(sizes), leaf)]
+    nodes = [(int(sizes[a]), int(sizes[z - 1]), np.bitwise_and.reduce(bits[a:z]), np.bitwise_or.reduce(bits[a:z])) for a, z in cuts]
+    label = np.arange(len(sizes))
+    found: list[np.ndarray] = []
+    for i, (a, z) in enumerate(cuts):
+        for j in range(i, len(cuts)):
+            (low1, high1, all1, any1), (low2, high2, all2, any2) = nodes[i], nodes[j]
+            need = 3 * (low1 + low2)
+            if 4 * high1 < 3 * low2:
+                break  # leaves only get larger
+            if j > i and (7 * (high1 - int(np.bitwise_count(all1 & ~any2).sum())) < need or 7 * (high2 - int(np.bitwise_count(all2 & ~any1).sum())) < need):
+                continue
+            b, y = cuts[j]
+            p, q, n, m = bits[a:z, None], bits[None, b:y], sizes[a:z, None], sizes[None, b:y]
+            most = np.minimum(n - np.bitwise_count(p & ~q).sum(2, dtype=np.int64), m - np.bitwise_count(q & ~p).sum(2, dtype=np.int64))
+            ok = 7 * most >= 3 * (n + m)
+            if i == j:
+                ok = np.triu(ok, 1)
+            u, v = np.nonzero(ok)
+            if len(u):
+                found.append(np.stack([u + a, v + b]))
+        if len(found) > 64:
+            found = [_spanning(label, np.concatenate(found, 1))]
+    pairs = _spanning(label, np.concatenate(found, 1)) if found else np.zeros((2, 0), np.int64)
+    return order[pairs[0]], order[pairs[1]]
+
+
+def _spanning(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Links of each node to the smallest of its component: as connected as the pairs, and fewer."""
+    roots = local_roots(len(label), pairs[0], pairs[1])
+    some = np.flatnonzero(roots != label)
+    return np.stack([roots[some], some])
+
+
+def may_be_similar(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes of a group, as connected as the pairs whose bitmaps allow Jaccard 0.75."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
 
-    return packed.repartitionById(buckets, F.col("bucket")).select("tokens", "classes").mapInArrow(run, "a long, b long").distinct()
+        def linked():
+            if len(held) < 2:
+                return []
+            bits = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
+            u, v = possible(np.asarray([h[1] for h in held], np.int64), bits)
+            return [(held[i][0], held[j][0]) for i, j in zip(u.tolist(), v.tolist())]
+
+        def sent(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            out = []
+            for g, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if g != group:
+                    out += linked()
+                    group, held = g, []
+                held.append(row)
+            yield sent(list(set(out)))
+        yield sent(linked())
+
+    rows = groups.join(classes, "class").select("group", "class", "n_shingles", "bits")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
 
 class Node:
     """A signature tree's node over sets [first, last): OR and AND of their bitmaps, and their range of sizes."""
 
     __slots__ = ("first", "last", "any", "all", "low", "high", "kids")
-    BITS, FANOUT = 2048, 8
+    FANOUT = 8
 
     def __init__(self, first: int, last: int, bitmaps: list[int], sizes: list[int]):
         self.first, self.last, self.kids = first, last, []
@@ -194,12 +277,6 @@ class Node:
             self.low, self.high = min(self.low, low), max(self.high, high)
 
 
-def bitmap(tokens: np.ndarray) -> int:
-    bits = np.zeros(Node.BITS, np.uint8)
-    bits[tokens % np.uint64(Node.BITS)] = 1
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
-
-
 def may_link(low1: int, high1: int, all1: int, any1: int, low2: int, high2: int, all2: int, any2: int) -> bool:
     """Whether the largest possible overlap is 3/7 of the smallest sum of sizes, that is, Jaccard 0.75."""
     need = 3 * (low1 + low2)
@@ -212,7 +289,7 @@ class Forest:
     """Signature tree search over sets with parts (union-find labels) known so far; `found` gets the links that join parts."""
 
     def __init__(self, sets: list[np.ndarray], parts: list[int]):
-        self.sets, self.sizes, self.bitmaps = sets, [len(s) for s in sets], [bitmap(s) for s in sets]
+        self.sets, self.sizes, self.bitmaps = sets, [len(s) for s in sets], [int.from_bytes(bitmap(s)) for s in sets]
         heads: dict[int, int] = {}
         self.up = [heads.setdefault(p, i) for i, p in enumerate(parts)]
         self.found: list[tuple[int, int]] = []
@@ -286,7 +363,9 @@ def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scanned = materialise(scan(docs, common_shingles(docs, common, n), buckets, n), "shingles")
     every = scanned.where("bucket is null").select("doc_id", "n_shingles", "class")
-    clusters = components(shared_prefixes(scanned.where("bucket is not null").select("bucket", "tokens", "classes"), buckets))
+    groups = materialise(shared_prefixes(scanned.where("bucket is not null").select("bucket", "tokens", "classes"), buckets), "groups")
+    classes = scanned.where("class is not null").select("class", "n_shingles", "bits").dropDuplicates(["class"])
+    clusters = components(may_be_similar(groups, classes))
     clusters = materialise(clusters.select(F.col("id").alias("class"), F.col("root").alias("cluster")), "clusters")
 
     # The sets themselves, for one document of each class in a cluster; large clusters are dealt over blocks by hash.
