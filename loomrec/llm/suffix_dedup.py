@@ -12,8 +12,8 @@ A task sorts them by the bytes from the trigger on, with common prefix lengths (
 walks each dictionary suffix's occurrences in that order: neighbours repeat a string if the smallest common prefix
 between them is long enough. Together this is corpus order, of the strings that can repeat at all.
 
-Strings with no trigger among their first n - core bytes, and those of triggers with more than `hot` different
-contexts, are hashed one by one to 128 bits, counted with partial sums and joined back.
+Strings with no trigger among their first n - core bytes are hashed one by one to 128 bits and travel with the triggers.
+Those of triggers with more than `hot` different contexts are hashed too, counted with partial sums and joined back.
 
 Defined results: null text is empty; a text shorter than n loses nothing; texts that occur in several rows lose
 everything if they have n bytes; rows that repeat a doc_id are judged each for itself; an empty table gives an empty
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomrec.llm.text import slices
 from loomrec.scratch import materialise, shared_dir
 
-WINDOW = 8  # bytes of a trigger
+WINDOW = 16  # bytes of a trigger
 TABLE = np.random.default_rng(400).integers(0, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
@@ -77,6 +77,7 @@ class Buffer:
         x = self.data.astype(np.uint64)
         for k in (1, 2, 4):
             x = x[:-k] | (x[k:] << np.uint64(8 * k)) if len(x) > k else x[:0]
+        x = mixed(x[:-8] * np.uint64(BASE) + x[8:]) if len(x) > 8 else x[:0]
         at = np.flatnonzero(mixed(x * ODD) < np.uint64(2**64 // spacing))
         text = np.searchsorted(self.ends, at, "right")
         inside = at + WINDOW <= self.ends[np.minimum(text, len(self.ends) - 1)] if len(self.ends) else at < 0
@@ -112,9 +113,8 @@ SPAN = "cid long, a int, z int"
 
 
 def scan(texts: DataFrame, n: int, core: int, spacing: int, buckets: int) -> DataFrame:
-    """Packed triggers by bucket of their core's hash, and single strings (w1, w2, cid, a)."""
-    names = ["bucket", "core", "context", "cids", "at", "most", "least", "w1", "w2", "cid", "a"]
-    kinds = [pa.int32(), *[pa.binary()] * 6, pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    """Packed triggers by bucket of their core's hash; strings that no trigger owns come with `most` -1 and two hashes."""
+    names = ["bucket", "core", "context", "cids", "at", "most", "least"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -126,31 +126,25 @@ def scan(texts: DataFrame, n: int, core: int, spacing: int, buckets: int) -> Dat
             cols, bucket = [c[by] for c in cols], bucket[by]
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             parts = [pa.array([c[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary()) for c in cols]
-            none = [pa.nulls(len(cuts) - 1, k) for k in kinds[7:]]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *parts, *none], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *parts], names=names)
 
         for b in slices(batches, 256):
             cids = b.column(0).to_numpy()
             buf = Buffer([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
             text, at, most, least, alone_text, alone = buf.owned(n, core, spacing)
-            if len(at):
-                right = np.minimum(buf.ends[text] - at, n)
-                key = buf.hash(at, at + core)
-                context = buf.hash(at - most, at + right, most * 1024 + right)
-                held.append((key, context, cids[text], (at - buf.starts[text]).astype(np.int32), most.astype(np.int16), least.astype(np.int16)))
-                size += len(at)
-            if len(alone):
-                w1, w2 = buf.hash(alone, alone + n), buf.hash(alone, alone + n // 2, 77)
-                cols = [w1.view(np.int64), w2.view(np.int64), cids[alone_text], (alone - buf.starts[alone_text]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(alone), k) for k in kinds[:7]), *map(pa.array, cols)], names=names)
-            if size > 2_000_000:
+            right = np.minimum(buf.ends[text] - at, n)
+            key, context = buf.hash(at, at + core), buf.hash(at - most, at + right, most * 1024 + right)
+            held.append((key, context, cids[text], (at - buf.starts[text]).astype(np.int32), most.astype(np.int16), least.astype(np.int16)))
+            key, context, none = buf.hash(alone, alone + n), buf.hash(alone, alone + n // 2, 77), np.zeros(len(alone), np.int16)
+            held.append((key, context, cids[alone_text], (alone - buf.starts[alone_text]).astype(np.int32), none - 1, none))
+            size += len(at) + len(alone)
+            if size > 1_000_000:
                 yield packed()
                 held, size = [], 0
-        if held:
+        if size:
             yield packed()
 
-    ddl = "bucket int, core binary, context binary, cids binary, at binary, most binary, least binary, w1 long, w2 long, cid long, a int"
-    return texts.select("cid", "text").mapInArrow(run, ddl)
+    return texts.select("cid", "text").mapInArrow(run, "bucket int, core binary, context binary, cids binary, at binary, most binary, least binary")
 
 
 def settle(packed: DataFrame, n: int, buckets: int, hot: int) -> DataFrame:
@@ -172,12 +166,14 @@ def settle(packed: DataFrame, n: int, buckets: int, hot: int) -> DataFrame:
         new = np.concatenate([[True], ~(same_core & (context[1:] == context[:-1]))])
         run_of, core_of = np.cumsum(new) - 1, np.cumsum(new_core) - 1
         copies = np.bincount(run_of)[run_of]
-        contexts = np.bincount(core_of[new])[core_of]
+        contexts = np.bincount(core_of[new & (most >= 0)], minlength=core_of[-1] + 1)[core_of]
+        alone = most < 0
         full = copies > 1
+        most, least = np.where(alone, 0, most), np.where(alone, 0, least)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cid[full]), pa.array((at - most)[full]), pa.array((at - least + n)[full]), *(pa.nulls(int(full.sum()), k) for k in kinds[3:])], names=names
         )
-        look = (contexts > 1) & (new | (contexts > hot))
+        look = ~alone & (contexts > 1) & (new | (contexts > hot))
         cols = [cid[look], at[look], most[look], least[look], core.view(np.int64)[look], contexts[look] > hot]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.nulls(int(look.sum()), k) for k in kinds[1:3]), *map(pa.array, cols[1:])], names=names)
 
@@ -185,30 +181,43 @@ def settle(packed: DataFrame, n: int, buckets: int, hot: int) -> DataFrame:
     return packed.repartitionById(buckets, F.col("bucket")).select("core", "context", "cids", "at", "most", "least").mapInArrow(run, ddl)
 
 
+def asked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, text, asked): texts with the triggers to look at."""
+    what = wanted.groupBy("cid").agg(F.collect_list(F.struct("at", "most", "least", "core")).alias("asked"))
+    return texts.join(what.hint("merge"), "cid").select("cid", "text", "asked")
+
+
 def fetch(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Contexts (core, cid, at, most, least, bytes), and for hot triggers the strings (w1, w2, cid, a)."""
-    asked = wanted.groupBy("cid").agg(F.collect_list(F.struct("at", "most", "least", "core", "hot")).alias("asked"))
-    names = ["core", "cid", "at", "most", "least", "bytes", "w1", "w2", "a"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    """Contexts (core, cid, at, most, least, bytes)."""
+    names = ["core", "cid", "at", "most", "least", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):
             rows = []
-            for cid, text, asked in zip(*(b.column(i).to_pylist() for i in range(3))):
-                raw, singles = text.encode("utf-8", "surrogatepass"), []
-                for x in asked:
-                    if x["hot"]:
-                        singles.append(np.arange(x["at"] - x["most"], x["at"] - x["least"] + 1))
-                    else:
-                        rows.append((x["core"], cid, x["at"], x["most"], x["least"], raw[x["at"] - x["most"] : x["at"] + n], None, None, None))
-                if singles:
-                    buf, at = Buffer([raw]), np.unique(np.concatenate(singles))
-                    w1, w2 = buf.hash(at, at + n), buf.hash(at, at + n // 2, 77)
-                    rows += [(None, cid, None, None, None, None, p, q, a) for p, q, a in zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist(), at.tolist())]
+            for cid, text, what in zip(*(b.column(i).to_pylist() for i in range(3))):
+                raw = text.encode("utf-8", "surrogatepass")
+                rows += [(x["core"], cid, x["at"], x["most"], x["least"], raw[x["at"] - x["most"] : x["at"] + n]) for x in what]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return texts.join(asked.hint("merge"), "cid").select("cid", "text", "asked").mapInArrow(run, "core long, cid long, at int, most int, least int, bytes binary, w1 long, w2 long, a int")
+    return asked(texts, wanted).mapInArrow(run, "core long, cid long, at int, most int, least int, bytes binary")
+
+
+def single_strings(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Spans (cid, a, z) of the strings of hot triggers that occur twice, found string by string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 128):
+            for cid, text, what in zip(*(b.column(i).to_pylist() for i in range(3))):
+                at = np.unique(np.concatenate([np.arange(x["at"] - x["most"], x["at"] - x["least"] + 1) for x in what]))
+                buf = Buffer([text.encode("utf-8", "surrogatepass")])
+                w1, w2 = buf.hash(at, at + n), buf.hash(at, at + n // 2, 77)
+                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(at), cid)), pa.array(at.astype(np.int32))], names=["w1", "w2", "cid", "a"])
+
+    strings = materialise(asked(texts, wanted).mapInArrow(run, "w1 long, w2 long, cid long, a int"), "strings")
+    again = strings.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
+    return strings.join(again, ["w1", "w2"]).select("cid", "a", (F.col("a") + n).cast("int").alias("z"))
 
 
 def repeated_suffixes(contexts: list[bytes], most: np.ndarray, least: np.ndarray, core: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,17 +315,14 @@ def repeated_spans(docs: DataFrame, n: int = 400, core: int = 80, spacing: int =
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("cid"), "text").groupBy("cid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"texts_{uuid.uuid4().hex[:12]}"
-    texts.write.bucketBy(buckets, "cid").sortBy("cid").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    texts.write.bucketBy(buckets, "cid").sortBy("cid").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     texts = spark.table(name)
     long = texts.where(F.octet_length("text") >= n)
-    scanned = materialise(scan(long, n, core, spacing, buckets), "triggers")
-    settled = materialise(settle(scanned.where("bucket is not null"), n, buckets, hot), "settled")
-    fetched = materialise(fetch(long, settled.where("at is not null"), n), "contexts")
-    compared = compare(fetched.where("bytes is not null"), n, buckets)
-    singles = scanned.where("w1 is not null").select("w1", "w2", "cid", "a").unionByName(fetched.where("w1 is not null").select("w1", "w2", "cid", "a"))
-    again = singles.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
-    single = singles.join(again, ["w1", "w2"]).select("cid", "a", (F.col("a") + n).cast("int").alias("z"))
-    spans = settled.where("a is not null").select("cid", "a", "z").unionByName(compared).unionByName(single)
+    settled = materialise(settle(scan(long, n, core, spacing, buckets), n, buckets, hot), "settled")
+    look = settled.where("at is not null")
+    spans = settled.where("a is not null").select("cid", "a", "z").unionByName(compare(fetch(long, look.where("not hot"), n), n, buckets))
+    if not look.where("hot").isEmpty():
+        spans = spans.unionByName(single_strings(long, look.where("hot"), n))
     return texts, spans.groupBy("cid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
