@@ -38,7 +38,7 @@ _hashes: dict[bytes, int] = {}
 
 
 def word_hashes(w: list[bytes]) -> np.ndarray:
-    if len(_hashes) > 400_000:
+    if len(_hashes) > 120_000:
         _hashes.clear()
     for x in set(w).difference(_hashes):
         _hashes[x] = xxhash.xxh3_64_intdigest(x)
@@ -76,7 +76,7 @@ def common_shingles(docs: DataFrame, most: int, n: int) -> np.ndarray:
             some = times > 1
             return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(times[some])], names=["token", "times"])
 
-        for b in slices(batches):
+        for b in slices(batches, 256):
             for text in b.column(0).to_pylist():
                 tokens = shingles(text, n)
                 key = class_id(tokens)
@@ -85,7 +85,7 @@ def common_shingles(docs: DataFrame, most: int, n: int) -> np.ndarray:
                 seen.add(key)
                 held.append(tokens)
                 size += len(tokens)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield counted()
                     seen, held, size = set(), [], 0
         if held:
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame
             rows = [(None, None, None, None, int(bucket[a]), t[a:z].tobytes(), c[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
-        for b in slices(batches):
+        for b in slices(batches, 256):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = shingles(text, n)
@@ -143,7 +143,7 @@ def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame
                     size += len(parts[-1])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
-            if size > 2_000_000:
+            if size > 500_000:
                 yield packed()
                 seen, parts, owners, size = set(), [], [], 0
         if parts:
@@ -375,7 +375,7 @@ def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int
     wanted = materialise(first.join(clusters, "class").join(few(large), "cluster", "left").select("doc_id", "class", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks")), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 256):
             texts, classes = b.column(3).to_pylist(), b.column(0).to_pylist()
             tokens = [shingles(t, n) for t in texts]
             same = [len(t) > 0 and class_id(t) == c for t, c in zip(tokens, classes)]  # not so if an id has several texts
