@@ -33,7 +33,6 @@ from loomrec.llm.text import slices
 from loomrec.scratch import materialise
 
 MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, 32, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-BITS = 2048  # of a set's bitmap
 _hashes: dict[bytes, int] = {}
 
 
@@ -135,7 +134,7 @@ def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = shingles(text, n)
                 key = class_id(tokens) if len(tokens) else None
-                rows.append((doc_id, len(tokens), key, bitmap(tokens) if key is not None else None, None, None, None))
+                rows.append((doc_id, len(tokens), key, bitmap(tokens, width(len(tokens))) if key is not None else None, None, None, None))
                 if key is not None and key not in seen:
                     seen.add(key)
                     parts.append(prefix(tokens, common, rank))
@@ -180,37 +179,68 @@ def shared_prefixes(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartitionById(buckets, F.col("bucket")).select("tokens", "classes").mapInArrow(run, "group long, class long").distinct()
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[tokens % np.uint64(BITS)] = 1
-    return np.packbits(bits).tobytes()
+def width(n: int) -> int:
+    """Bits for a set of n tokens: at least four a token, a power of two, so that a wider bitmap folds into a narrower one."""
+    return max(512, 1 << (4 * n - 1).bit_length())
 
 
-def possible(sizes: np.ndarray, bits: np.ndarray, leaf: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def bitmap(tokens: np.ndarray, bits: int) -> bytes:
+    marks = np.zeros(bits, np.uint8)
+    marks[tokens % np.uint64(bits)] = 1
+    return np.packbits(marks).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def _lost(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Tokens of p's sets, at least, that q's sets do not have."""
+    return np.bitwise_count(p & ~q).sum(-1, dtype=np.int64)
+
+
+def possible(sizes: np.ndarray, bitmaps: list[bytes], leaf: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the pairs that sizes and bitmaps allow to be similar: a tree of one level over leaves by size."""
     order = np.argsort(sizes, kind="stable")
-    sizes, bits = sizes[order], bits[order]
-    cuts = [(a, min(a + leaf, len(sizes))) for a in range(0, len(sizes), leaf)]
-    nodes = [(int(sizes[a]), int(sizes[z - 1]), np.bitwise_and.reduce(bits[a:z]), np.bitwise_or.reduce(bits[a:z])) for a, z in cuts]
+    sizes = sizes[order]
+    wide = [len(bitmaps[i]) for i in order]
+    cuts, a = [], 0
+    for z in range(1, len(sizes) + 1):
+        if z == len(sizes) or z - a == leaf or wide[z] != wide[a]:
+            cuts.append((a, z))
+            a = z
+    nodes = []
+    for a, z in cuts:
+        bits = np.frombuffer(b"".join(bitmaps[i] for i in order[a:z]), np.uint64).reshape(z - a, -1)
+        nodes.append((int(sizes[a]), int(sizes[z - 1]), bits, np.bitwise_and.reduce(bits), np.bitwise_or.reduce(bits)))
     label = np.arange(len(sizes))
     found: list[np.ndarray] = []
     for i, (a, z) in enumerate(cuts):
+        low1, high1, p, all1, any1 = nodes[i]
         for j in range(i, len(cuts)):
-            (low1, high1, all1, any1), (low2, high2, all2, any2) = nodes[i], nodes[j]
-            need = 3 * (low1 + low2)
+            low2, high2, q, all2, any2 = nodes[j]
             if 4 * high1 < 3 * low2:
                 break  # leaves only get larger
-            if j > i and (7 * (high1 - int(np.bitwise_count(all1 & ~any2).sum())) < need or 7 * (high2 - int(np.bitwise_count(all2 & ~any1).sum())) < need):
+            words, need = p.shape[1], 3 * (low1 + low2)
+            if j > i and 7 * (high1 - int(_lost(all1, folded(any2, words)))) < need:
                 continue
             b, y = cuts[j]
-            p, q, n, m = bits[a:z, None], bits[None, b:y], sizes[a:z, None], sizes[None, b:y]
-            most = np.minimum(n - np.bitwise_count(p & ~q).sum(2, dtype=np.int64), m - np.bitwise_count(q & ~p).sum(2, dtype=np.int64))
-            ok = 7 * most >= 3 * (n + m)
-            if i == j:
-                ok = np.triu(ok, 1)
-            u, v = np.nonzero(ok)
-            if len(u):
-                found.append(np.stack([u + a, v + b]))
+            q = folded(q, words)
+            step = max(1, (1 << 20) // (words * (y - b)))
+            for c in range(0, z - a, step):
+                part, n, m = p[c : c + step, None], sizes[a + c : min(z, a + c + step), None], sizes[None, b:y]
+                most = n - _lost(part, q[None])
+                if q is nodes[j][2]:  # a folded bitmap says less about how much its own set loses
+                    most = np.minimum(most, m - _lost(q[None], part))
+                ok = 7 * most >= 3 * (n + m)
+                if i == j:
+                    ok = np.triu(ok, 1 + c)
+                u, v = np.nonzero(ok)
+                if len(u):
+                    found.append(np.stack([u + a + c, v + b]))
         if len(found) > 64:
             found = [_spanning(label, np.concatenate(found, 1))]
     pairs = _spanning(label, np.concatenate(found, 1)) if found else np.zeros((2, 0), np.int64)
@@ -233,8 +263,7 @@ def may_be_similar(groups: DataFrame, classes: DataFrame) -> DataFrame:
         def linked():
             if len(held) < 2:
                 return []
-            bits = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
-            u, v = possible(np.asarray([h[1] for h in held], np.int64), bits)
+            u, v = possible(np.asarray([h[1] for h in held], np.int64), [h[2] for h in held])
             return [(held[i][0], held[j][0]) for i, j in zip(u.tolist(), v.tolist())]
 
         def sent(pairs):
@@ -289,7 +318,9 @@ class Forest:
     """Signature tree search over sets with parts (union-find labels) known so far; `found` gets the links that join parts."""
 
     def __init__(self, sets: list[np.ndarray], parts: list[int]):
-        self.sets, self.sizes, self.bitmaps = sets, [len(s) for s in sets], [int.from_bytes(bitmap(s)) for s in sets]
+        self.sets, self.sizes = sets, [len(s) for s in sets]
+        bits = width(max(self.sizes, default=1))
+        self.bitmaps = [int.from_bytes(bitmap(s, bits)) for s in sets]
         heads: dict[int, int] = {}
         self.up = [heads.setdefault(p, i) for i, p in enumerate(parts)]
         self.found: list[tuple[int, int]] = []
