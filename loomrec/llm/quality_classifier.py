@@ -30,7 +30,7 @@ def statistics(text: str | None) -> list[float]:
     """Numbers that describe a whole text, whatever its language."""
     if not text:
         return [0.0] * N_FEATURES
-    n_words, chars, symbols, dup_lines, repeated, n_lines, upper = counts(text)
+    n_words, chars, symbols, dup_lines, repeated, n_lines, upper, stutters = counts(text)
     w = words(text)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     by = np.bincount(raw, minlength=256)
@@ -40,7 +40,7 @@ def statistics(text: str | None) -> list[float]:
     lower = int(by[97:123].sum())
     return [
         np.log1p(n_words), chars / n, symbols / n, upper / max(chars, 1), by[48:58].sum() / total, dup_lines / max(n_lines, 1), repeated / n,
-        len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n, by[ord("|")] / n, by[ord("!")] / n, (by[ord(".")] + by[ord(",")]) / n,
+        len(set(w)) / n, stutters / n, by[ord("|")] / n, by[ord("!")] / n, (by[ord(".")] + by[ord(",")]) / n,
         by[128:].sum() / total, chars / max(n_lines, 1), float(lengths.max()), float(lengths.std()), float(-(share * np.log2(share)).sum()),
         lower / total, by[ord("\n")] / n, sum(x.isalpha() for x in w) / n,
     ]

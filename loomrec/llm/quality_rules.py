@@ -15,6 +15,7 @@ them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,14 @@ from loomrec.llm.text import SPACES, gram_codes, slices, words
 from loomrec.scratch import materialise
 
 SYMBOLS = "#*$%&|<>"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutters")
 #: Measure: (expression, whether values can be too low, whether they can be too high, least distance of a fence).
 MEASURES = {
     "symbols": ("n_symbols / n_words", False, True, 0.10),
-    "dup_lines": ("n_dup_lines / n_lines", False, True, 0.25),
+    "dup_lines": ("n_dup_lines / n_lines", False, True, 0.45),
     "upper": ("n_upper / word_chars", False, True, 0.20),
-    "repeats": ("n_repeat_words / n_words", False, True, 0.15),
-    "word_length": ("word_chars / n_words", True, True, 2.0),
+    "stutters": ("n_stutters / n_words", False, True, 0.20),
+    "word_length": ("word_chars / n_words", True, True, 5.0),
 }
 
 
@@ -57,7 +58,7 @@ def counts(text: str | None) -> tuple[int, ...]:
     upper = int(((raw >= 65) & (raw <= 90)).sum())
     if not text.isascii():
         upper += sum(c.isupper() for c in text if c > "\x7f")
-    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), covered, len(lines), upper
+    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), covered, len(lines), upper, sum(map(eq, w, w[1:]))
 
 
 def measure(docs: DataFrame, carry: list[str]) -> DataFrame:

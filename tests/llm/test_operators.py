@@ -102,7 +102,7 @@ def test_quality_rules_keep_good_and_drop_bad(spark, sf_dir):
 def test_sketches_merge(spark):
     from loomrec.llm.quality_rules import fences, sketch
 
-    parts = spark.range(2000).select((F.col("id") % 2).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(100).alias("n_words"), (F.col("id") % 100).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(1).alias("n_lines"), F.lit(0).alias("n_upper"), F.lit(0).alias("n_repeat_words"), F.lit(500).alias("word_chars"))
+    parts = spark.range(2000).select((F.col("id") % 2).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(100).alias("n_words"), (F.col("id") % 100).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(1).alias("n_lines"), F.lit(0).alias("n_upper"), F.lit(0).alias("n_repeat_words"), F.lit(0).alias("n_stutters"), F.lit(500).alias("word_chars"))
     f = {(r["level"], r["lang"]): r for r in fences(sketch(parts, 1.02), 1.02, 0.0).collect()}
     assert f[(3, None)]["docs"] == 2000 and f[(0, "0")]["docs"] == 1000
     assert abs(f[(3, None)]["high_symbols"] - (0.75 + 0.10)) < 0.03
