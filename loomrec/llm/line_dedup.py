@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomrec.llm.mixing import few
 from loomrec.scratch import materialise, shared_dir
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -111,7 +112,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
         held = lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.max("doc_id").alias("holder"), F.count("*").alias("n"))
         store.add(materialise(held, "batch_keys"))
     # Rows that repeat a doc_id were counted as often; over the few lines left, documents are counted exactly.
-    found = lines.join(materialise(store.frequent(min_docs), "frequent"), ["h1", "h2"]).select("doc_id", "h1", "h2", "holder").distinct()
+    frequent = materialise(store.frequent(min_docs), "frequent")
+    found = lines.join(few(frequent, 100_000), ["h1", "h2"]).select("doc_id", "h1", "h2", "holder").distinct()
     found = materialise(found, "found")
     enough = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     return found.where("doc_id < holder").join(enough, ["h1", "h2"]).select("doc_id", "h1", "h2")
