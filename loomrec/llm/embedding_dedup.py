@@ -48,8 +48,14 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(v, np.float64) for v in column.to_pylist()]
 
 
+def stored(vectors: DataFrame) -> str:
+    """How vectors travel: as the numbers of the table, so single precision where that is what it holds."""
+    return "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+
+
 def tiles(vectors: DataFrame, tile_rows: int) -> DataFrame:
     """(tile, width, ids, packed, low, high): vectors by locality, many to a row; low and high bound rotated coordinates."""
+    kind = stored(vectors)
     sound = vectors.where("vec_id is not null and size(embedding) > 0").where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))).where(F.exists("embedding", lambda v: v != 0))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +66,7 @@ def tiles(vectors: DataFrame, tile_rows: int) -> DataFrame:
                     rotations[len(v)] = rotation(len(v))
                 r = _unit(v[None]) @ rotations[len(v)]
                 k = int(np.abs(r[0]).argmax())
-                out.append((i, len(v), 2 * k + int(r[0, k] < 0), float(r[0, k]), v.tobytes()))
+                out.append((i, len(v), 2 * k + int(r[0, k] < 0), float(r[0, k]), v.astype(kind).tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=["vec_id", "width", "cell", "value", "raw"])
 
@@ -69,7 +75,7 @@ def tiles(vectors: DataFrame, tile_rows: int) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tile(width: int, ids: list[int], raw: list[bytes]) -> pa.RecordBatch:
-            r = _unit(np.frombuffer(b"".join(raw)).reshape(-1, width)) @ rotation(width)
+            r = _unit(np.frombuffer(b"".join(raw), kind).astype(float).reshape(-1, width)) @ rotation(width)
             cols = ([ids[0] if len(ids) == 1 else min(ids)], [width], [np.asarray(ids, "<i8").tobytes()], [b"".join(raw)], [r.min(0)], [r.max(0)])
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["tile", "width", "ids", "packed", "low", "high"])
@@ -117,17 +123,19 @@ def links(x: np.ndarray, y: np.ndarray, cosine: float, block: int, same: bool) -
     turn = rotation(width)
     rx, ry = (_unit(v) @ turn for v in (x, y))
     rx, ry = rx.astype(np.float32), ry.astype(np.float32)
-    near = np.zeros((len(x), len(y)), bool)
-    for a, z in block_edges(width, block):
-        part = np.float32((2 - 2 * cosine) * (z - a) / width + SLACK)
-        p, q = rx[:, a:z], ry[:, a:z]
-        d = p @ (-2 * q.T)
-        d += (p * p).sum(1)[:, None]
-        d += (q * q).sum(1)[None]
-        near |= d <= part
-    if same:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
+    hits = []
+    for c in range(0, len(x), 256):
+        near = np.zeros((len(rx[c : c + 256]), len(y)), bool)
+        for a, z in block_edges(width, block):
+            part = np.float32((2 - 2 * cosine) * (z - a) / width + SLACK)
+            p, q = rx[c : c + 256, a:z], ry[:, a:z]
+            d = p @ (-2 * q.T)
+            d += (p * p).sum(1)[:, None]
+            d += (q * q).sum(1)[None]
+            near |= d <= part
+        i, j = np.nonzero(np.triu(near, 1 + c) if same else near)
+        hits.append((i + c, j))
+    i, j = (np.concatenate([h[k] for h in hits]) for k in (0, 1))
     ux, uy = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
     nx, ny = (np.sqrt((v * v).sum(1)) for v in (ux, uy))
     keep = [np.einsum("ij,ij->i", ux[i[k : k + 20000]], uy[j[k : k + 20000]]) / (nx[i[k : k + 20000]] * ny[j[k : k + 20000]]) >= cosine for k in range(0, len(i), 20000)]
@@ -135,7 +143,7 @@ def links(x: np.ndarray, y: np.ndarray, cosine: float, block: int, same: bool) -
     return i[keep], j[keep]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 16, tile_rows: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 16, tile_rows: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vec_id."""
     vectors = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     tiled = tiles(vectors, tile_rows)
@@ -143,10 +151,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = 16, ti
     held = tiled.select("tile", "width", "ids", "packed")
     sides = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
 
+    kind = stored(vectors)
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
         rows = {r["tile"]: r for r in group.to_pylist()}
         one, two = (rows[k.as_py()] for k in key)
-        (x, ix), (y, iy) = ((np.frombuffer(r["packed"]).reshape(-1, r["width"]), np.frombuffer(r["ids"], "<i8")) for r in (one, two))
+        (x, ix), (y, iy) = ((np.frombuffer(r["packed"], kind).astype(float).reshape(-1, r["width"]), np.frombuffer(r["ids"], "<i8")) for r in (one, two))
         same = one["tile"] == two["tile"]
         i, j = links(x, y, cosine, block, same)
         ids = ix if same else np.concatenate([ix, iy])

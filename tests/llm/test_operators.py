@@ -372,3 +372,18 @@ def test_classifier_awkward(spark, docs, rows):
 def test_empty_tables(spark, nothing):
     for name in ("op1_ngram_join", "op2_quality_rules", "op3_best_fit_packing", "op4_source_mixing", "op5_suffix_dedup", "op10_line_dedup"):
         assert queries.QUERIES[name](spark, "").collect() == [], name
+
+
+def test_embeddings_in_single_precision(spark, sf_dir):
+    from loomrec.llm.embedding_dedup import near_duplicates
+
+    base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 60").select("vec_id", "embedding")
+    shifted = base.select((F.col("vec_id") + 1000).alias("vec_id"), F.transform("embedding", lambda v, i: (v + F.sin(i) * 0.04).cast("float")).alias("embedding"))
+    df = base.unionByName(shifted)
+    assert dict(df.dtypes)["embedding"] == "array<float>"
+    rows = df.collect()
+    x = np.asarray([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(df).collect()}
+    assert got == {r["vec_id"]: int(n) for r, n in zip(rows, near.sum(1))} and near.sum() > 60
