@@ -91,8 +91,8 @@ def common_shingles(docs: DataFrame, most: int, n: int) -> np.ndarray:
             yield counted()
 
     found = docs.select("text").mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    top = found.orderBy(F.desc("times"), "token").limit(most).collect()
-    return np.asarray([r[0] for r in reversed(top)], np.int64).view(np.uint64)
+    top = found.orderBy(F.desc("times"), "token").limit(most).toArrow()
+    return top["token"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -388,7 +388,7 @@ def search(members: DataFrame, *keys: str) -> DataFrame:
     return members.groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int = 100_000) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs: documents linked at Jaccard 0.75 or more."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
