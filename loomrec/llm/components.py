@@ -15,18 +15,21 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is written to the shared folder. A node with many neighbours is grouped by a partial minimum and joined
     back, never collected. Null ends and loops are ignored."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
-    e, mark = materialise(e.distinct(), "edges"), None
-    while True:
+    e = materialise(e.distinct(), "edges")
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         e = materialise(small.distinct(), "stars")
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == mark:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        mark = now
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: as v < u, each v is then the smallest of its component."""
+    centres = e.select(F.col("v").alias("u")).distinct()
+    return e.join(centres, "u", "left_semi").isEmpty() and e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

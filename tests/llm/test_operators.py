@@ -387,3 +387,14 @@ def test_embeddings_in_single_precision(spark, sf_dir):
     near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
     got = {r["vec_id"]: r["n_links"] for r in near_duplicates(df).collect()}
     assert got == {r["vec_id"]: int(n) for r, n in zip(rows, near.sum(1))} and near.sum() > 60
+
+
+@pytest.mark.parametrize("n,m", [(30, 12), (60, 45), (40, 400)])
+def test_components(spark, n, m):
+    from loomrec.llm.components import components
+
+    r = random.Random(m)
+    links = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(100 + i, 101 + i) for i in range(20)]
+    got = {x["id"]: x["root"] for x in components(spark.createDataFrame(links + [(None, 3)], "a long, b long")).collect()}
+    want = brute.components(range(200), links)
+    assert got == {i: want[i] for a, b in links if a != b for i in (a, b)}
