@@ -40,7 +40,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 NEVER = -60.0
 NEVER_TAGS = frozenset("nav footer aside form button select option template svg canvas object dialog menu search head math audio video".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
-BASE, PAGE_HEADER, IN_ARTICLE, HINT_BAD, HINT_GOOD = -0.6, -8.0, 3.0, -8.0, 1.0
+BASE, PAGE_HEADER, IN_ARTICLE, BESIDE_ARTICLE, HINT_BAD, HINT_GOOD = -0.6, -8.0, 3.0, -3.5, -8.0, 1.0
 PARAGRAPH, HEADING, ITEM, CELL = 1.0, 0.6, -0.2, -0.4
 LINKS, PER_WORD, MOST_WORDS, SENTENCE = -3.0, 0.08, 2.0, 0.4
 BAD_WORDS = frozenset(
@@ -51,7 +51,7 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article content post entry story main body text maincontent articlebody".split())
 #: Capacities of edges: following one another, and so under one element; neighbours under one element; under one grandparent.
-FOLLOWS, FOLLOWS_SAME, SIBLING, COUSIN = 0.15, 0.45, 0.45, 0.2
+FOLLOWS, FOLLOWS_SAME, SIBLING, COUSIN, NEIGHBOURLY = 0.15, 0.45, 0.45, 0.2, -5.0
 
 
 class Element:
@@ -75,11 +75,14 @@ class Element:
     def _read(self, attributes: str) -> None:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
-            if name in ("class", "id") and self.tag not in ("html", "body"):
+            if name in ("class", "id", "itemprop", "aria-label") and self.tag not in ("html", "body", "article", "main"):
                 found = set(WORDS.findall(value))
-                if found & BAD_WORDS and not (self.tag in ("article", "main") or self.tag[0] == "h" and self.article and found & BAD_WORDS <= {"header", "banner"}):
+                bad = found & BAD_WORDS
+                if bad == {"header"} and (self.article or found & GOOD_WORDS):  # an article's own head
+                    continue
+                if bad:
                     self.bias += HINT_BAD
-                elif found & GOOD_WORDS:
+                elif found & GOOD_WORDS and name in ("class", "id"):
                     self.bias += HINT_GOOD
             elif name == "role":
                 if value in NEVER_ROLES:
@@ -175,15 +178,19 @@ def blocks(html: str) -> tuple[list[str], list[float], list[Element]]:
     if at < size:
         part.append(unescape(html[at:]))
     flush(top)
+    if any(e.article for e in around):  # a page that marks its article has little else to say
+        odds = [o if e.article else o + BESIDE_ARTICLE for o, e in zip(odds, around)]
     return texts, odds, around
 
 
 def neighbours(around: list[Element]) -> list[tuple[int, int, float]]:
-    """Edges (i, j, capacity) by order and by DOM proximity."""
+    """Edges (i, j, capacity) by order and by DOM proximity. What its own marks make boilerplate says nothing about others."""
     edges, last, older = [], {}, {}
     for i, e in enumerate(around):
+        if e.bias < NEIGHBOURLY:
+            continue
         box, out = id(e.parent), id(e.parent.parent) if e.parent else 0
-        if i:
+        if i and around[i - 1].bias >= NEIGHBOURLY:
             edges.append((i - 1, i, FOLLOWS_SAME if around[i - 1].parent is e.parent else FOLLOWS))
         for seen, key, capacity in ((last, box, SIBLING), (older, out, COUSIN)):
             if key in seen and seen[key] != i - 1:
