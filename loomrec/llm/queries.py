@@ -96,5 +96,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_html_extract, op9_quality_classifier, op10_line_dedup)
 }
-
-ORACLES: dict[str, str] = {}
