@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/loomrec-{spark.sparkContext.applicationId}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, once no table of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and return the table that reads it."""
     spark = df.sparkSession
