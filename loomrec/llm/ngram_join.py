@@ -2,19 +2,22 @@
 
 Texts become sets of hashed word shingles; equal sets are one class (its id is a 64-bit hash of the set). Two sets of
 Jaccard similarity at least 0.75 share a shingle among the first n - ceil(3n/4) + 1 of each under any common order, so
-only such prefixes are grouped. The order puts shingles that are common in the corpus last, which keeps groups small; as any
-order is exact, its list of common shingles may be bounded.
+only such prefixes are grouped. The order puts shingles that are common in the corpus last, which keeps groups small;
+as any order is exact, its list of common shingles may be bounded.
 
 Signature trees hold the OR and the AND of their sets' token bitmaps and their range of sizes in every node, and a dual
-traversal drops pairs of nodes whose largest possible overlap is too small. First each group is traversed by bitmaps
-alone, which are small enough to travel with the groups: classes that may still be similar form clusters. Then each
-cluster's sets are fetched once, and trees over them find the pairs that are verified exactly. A cluster comes in blocks of at most about `block` sets. Blocks are searched by themselves, then one set of each block with those of the
-other blocks; where a cluster is still in several parts, the sets outside its largest part meet every block. A pair
-whose sets are linked already through others is not verified again, so copies never cost their square.
+traversal drops pairs of nodes whose largest possible overlap is too small. First groups are traversed by bitmaps
+alone, which are small enough to travel with them: each group's smallest class with the others, then, in groups that
+this does not join, all classes. Those that may still be similar form clusters. Then each cluster's sets are fetched
+once, and trees over them find the pairs that are verified exactly. A cluster comes in blocks of at most about `block`
+sets. Blocks are searched by themselves, then one set of each block with those of the other blocks; where a cluster is
+still in several parts, the sets outside its largest part meet every block. A pair whose sets are linked already through
+others is not verified again, so copies never cost their square.
 
 Defined results: null, empty or blank text has no shingles and links with nothing; a text of fewer words than a shingle
-is one shingle; rows that repeat a doc_id are searched each for itself and share the id; a row whose id is null is linked
-only through an equal text with an id, else its component is null; an empty table gives an empty result; extra columns are ignored.
+is one shingle; rows that repeat a doc_id are searched each for itself and share the id; a row whose id is null is
+linked only through an equal text with an id, else its component is null; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -254,6 +257,30 @@ def _spanning(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.stack([roots[some], some])
 
 
+def first_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): each group's smallest class with its others, where their bitmaps allow Jaccard 0.75.
+
+    Groups of one family of near copies differ little, so these pairs are few, and each is looked at once."""
+    head = groups.groupBy("group").agg(F.min("class").alias("a"))
+    pairs = groups.join(head, "group").where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    one, two = (classes.select(F.col("class").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1024):
+            keep = [len(possible(np.asarray([n, m], np.int64), [x, y])[0]) > 0 for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def unsettled(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """The groups whose classes are not all in one part (class, root) yet."""
+    known = groups.join(parts, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    open_ = known.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("group")
+    return groups.join(open_, "group")
+
+
 def may_be_similar(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): classes of a group, as connected as the pairs whose bitmaps allow Jaccard 0.75."""
 
@@ -395,8 +422,12 @@ def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int
     scanned = materialise(scan(docs, common_shingles(docs, common, n), buckets, n), "shingles")
     every = scanned.where("bucket is null").select("doc_id", "n_shingles", "class")
     groups = materialise(shared_prefixes(scanned.where("bucket is not null").select("bucket", "tokens", "classes"), buckets), "groups")
-    classes = scanned.where("class is not null").select("class", "n_shingles", "bits").dropDuplicates(["class"])
-    clusters = components(may_be_similar(groups, classes))
+    classes = scanned.where("class is not null").select("class", "n_shingles", "bits")
+    classes = classes.join(few(groups.select("class").distinct(), 200_000), "class", "left_semi").dropDuplicates(["class"])
+    classes = materialise(classes, "classes")
+    first = materialise(first_pairs(groups, classes), "first_pairs")
+    parts = materialise(components(first).withColumnRenamed("id", "class"), "first_parts")
+    clusters = components(first.unionByName(may_be_similar(unsettled(groups, parts), classes)))
     clusters = materialise(clusters.select(F.col("id").alias("class"), F.col("root").alias("cluster")), "clusters")
 
     # The sets themselves, for one document of each class in a cluster; large clusters are dealt over blocks by hash.
