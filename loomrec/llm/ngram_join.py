@@ -112,12 +112,32 @@ def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarr
     return np.concatenate([rare, rest[np.argsort(rank[at[is_common]])][: want - len(rare)]])
 
 
-def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame:
-    """A row (doc_id, n_shingles, class, bits) for every document, and rows (bucket, tokens, classes) of packed prefixes."""
+def classified(docs: DataFrame, n: int) -> DataFrame:
+    """A row (doc_id, n_shingles, class, bits) for every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            sets = [shingles(t, n) for t in b.column(1).to_pylist()]
+            some = [len(s) > 0 for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([class_id(s) if k else None for s, k in zip(sets, some)], pa.int64()),
+                    pa.array([bitmap(s, width(len(s))) if k else None for s, k in zip(sets, some)], pa.binary()),
+                ],
+                names=["doc_id", "n_shingles", "class", "bits"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary")
+
+
+def prefixes(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame:
+    """Rows (bucket, tokens, classes) of packed prefixes."""
     order = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[order], order))  # bounded by common_shingles' `most`
-    names = ["doc_id", "n_shingles", "class", "bits", "bucket", "tokens", "classes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["bucket", "tokens", "classes"]
+    kinds = [pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
@@ -129,29 +149,25 @@ def scan(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame
             by = np.argsort(bucket, kind="stable")
             t, c, bucket = t[by], c[by], bucket[by]
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(t)]
-            rows = [(None, None, None, None, int(bucket[a]), t[a:z].tobytes(), c[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
+            rows = [(int(bucket[a]), t[a:z].tobytes(), c[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
         for b in slices(batches, 256):
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text in b.column(0).to_pylist():
                 tokens = shingles(text, n)
                 key = class_id(tokens) if len(tokens) else None
-                rows.append((doc_id, len(tokens), key, bitmap(tokens, width(len(tokens))) if key is not None else None, None, None, None))
                 if key is not None and key not in seen:
                     seen.add(key)
                     parts.append(prefix(tokens, common, rank))
                     owners.append(np.full(len(parts[-1]), key, np.int64))
                     size += len(parts[-1])
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
             if size > 500_000:
                 yield packed()
                 seen, parts, owners, size = set(), [], [], 0
         if parts:
             yield packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary, bucket int, tokens binary, classes binary")
+    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, classes binary")
 
 
 def shared_prefixes(packed: DataFrame, buckets: int) -> DataFrame:
@@ -183,8 +199,8 @@ def shared_prefixes(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def width(n: int) -> int:
-    """Bits for a set of n tokens: at least four a token, a power of two, so that a wider bitmap folds into a narrower one."""
-    return max(512, 1 << (4 * n - 1).bit_length())
+    """Bits for a set of n tokens: at least two a token, a power of two, so that a wider bitmap folds into a narrower one."""
+    return max(512, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> bytes:
@@ -419,12 +435,12 @@ def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int
     """(doc_id, n_shingles, component_id) for every row of docs: documents linked at Jaccard 0.75 or more."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scanned = materialise(scan(docs, common_shingles(docs, common, n), buckets, n), "shingles")
-    every = scanned.where("bucket is null").select("doc_id", "n_shingles", "class")
-    groups = materialise(shared_prefixes(scanned.where("bucket is not null").select("bucket", "tokens", "classes"), buckets), "groups")
-    classes = scanned.where("class is not null").select("class", "n_shingles", "bits")
+    groups = materialise(shared_prefixes(prefixes(docs, common_shingles(docs, common, n), buckets, n), buckets), "groups")
+    every = materialise(classified(docs, n), "classified")
+    classes = every.where("class is not null").select("class", "n_shingles", "bits")
     classes = classes.join(few(groups.select("class").distinct(), 200_000), "class", "left_semi").dropDuplicates(["class"])
     classes = materialise(classes, "classes")
+    every = every.select("doc_id", "n_shingles", "class")
     first = materialise(first_pairs(groups, classes), "first_pairs")
     parts = materialise(components(first).withColumnRenamed("id", "class"), "first_parts")
     clusters = components(first.unionByName(may_be_similar(unsettled(groups, parts), classes)))
