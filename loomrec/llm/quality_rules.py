@@ -3,9 +3,10 @@
 Every document gets a few counts. Ratios of these counts go into quantile sketches with logarithmic buckets (relative
 error `gamma` - 1), one for each (language, source, measure). A sketch is a table of bucket counts: two sketches merge by
 adding counts, so sketches of sources add up to those of languages and of the whole, and a hot source is summed up
-before it is shuffled. A document fails where a ratio lies outside its group's fences (quartiles and `reach` times
-their distance, at least `slack`); a group of fewer than `least` documents takes its language's fences, or else all
-documents'. The fences are then joined to the documents.
+before it is shuffled. A document fails where a ratio lies outside its group's fences: quartiles and `reach` times a
+few of their distances. Word lengths are measured by the ratio of the quartiles, so that a low fence stays positive. A
+floor holds where quartiles all but coincide. A group of fewer than `least` documents takes its language's fences, or
+else all documents'. The fences are then joined to the documents.
 
 Defined results: null or blank text has no words and fails the base rule; null language or source is a group of its
 own; equal rows are judged alike; an empty table gives an empty result; extra columns are ignored unless `carry` names
@@ -27,14 +28,16 @@ from loomrec.scratch import materialise
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutters")
-#: Measure: (expression, whether values can be too low, whether they can be too high, least distance of a fence).
+#: Measure: (expression, whether values can be too low, whether they can be too high, quartile distances in one reach,
+#: least distance of a fence). Of the measures in BY_RATIO a distance is a factor.
 MEASURES = {
-    "symbols": ("n_symbols / n_words", False, True, 0.10),
-    "dup_lines": ("n_dup_lines / n_lines", False, True, 0.45),
-    "upper": ("n_upper / word_chars", False, True, 0.20),
-    "stutters": ("n_stutters / n_words", False, True, 0.20),
-    "word_length": ("word_chars / n_words", True, True, 5.0),
+    "symbols": ("n_symbols / n_words", False, True, 1, 0.10),
+    "dup_lines": ("n_dup_lines / n_lines", False, True, 1, 0.45),
+    "upper": ("n_upper / word_chars", False, True, 3, 0.02),
+    "stutters": ("n_stutters / n_words", False, True, 3, 0.03),
+    "word_length": ("word_chars / n_words", True, True, 3, 1.35),
 }
+BY_RATIO = ("word_length",)
 
 
 def counts(text: str | None) -> tuple[int, ...]:
@@ -96,9 +99,11 @@ def fences(sketches: DataFrame, gamma: float, reach: float) -> DataFrame:
     value = F.when(F.col("bucket") == -100000, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), F.col("bucket") - 0.5))
     quart = [F.min(F.when(F.col("upto") >= q * F.col("docs"), F.struct("bucket", value.alias("v"))))["v"].alias(f"q{int(100 * q)}") for q in (0.25, 0.75)]
     s = s.groupBy("level", "lang", "source", "measure").agg(F.max("docs").alias("docs"), *quart)
-    slack = F.create_map(*[F.lit(x) for m, (*_, d) in MEASURES.items() for x in (m, d)])[F.col("measure")]
-    away = F.greatest(reach * (F.col("q75") - F.col("q25")), slack)
-    s = s.withColumn("low", F.col("q25") - away).withColumn("high", F.col("q75") + away)
+    times, floor = (F.create_map(*[F.lit(x) for m, (*_, k, d) in MEASURES.items() for x in (m, float((k, d)[i]))])[F.col("measure")] for i in (0, 1))
+    ratio = F.col("measure").isin(*BY_RATIO) & (F.col("q25") > 0)
+    away = F.greatest(reach * times * (F.col("q75") - F.col("q25")), floor)
+    factor = F.greatest(F.pow(F.col("q75") / F.col("q25"), reach * times), floor)
+    s = s.withColumn("low", F.when(ratio, F.col("q25") / factor).otherwise(F.col("q25") - away)).withColumn("high", F.when(ratio, F.col("q75") * factor).otherwise(F.col("q75") + away))
     ends = [F.max(F.when(F.col("measure") == m, F.col(end))).alias(f"{end}_{m}") for m in MEASURES for end in ("low", "high")]
     return s.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *ends)
 
@@ -116,7 +121,7 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), gamma: float =
     rules = materialise(rules.select(F.col("_0_lang").alias("_lang"), F.col("_0_source").alias("_source"), *[pick(c) for c in ends]), "rules")
     judged = measured.join(rules, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = F.lit(True)
-    for m, (e, low, high, _) in MEASURES.items():
+    for m, (e, low, high, *_) in MEASURES.items():
         if low:
             fine = fine & (F.expr(e) >= F.col(f"_low_{m}"))
         if high:

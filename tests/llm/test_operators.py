@@ -108,6 +108,25 @@ def test_sketches_merge(spark):
     assert abs(f[(3, None)]["high_symbols"] - (0.75 + 0.10)) < 0.03
 
 
+def test_fences_come_from_the_group(spark):
+    from loomrec.llm.quality_rules import judge
+
+    def text(group: int, k: int) -> str:  # words of the second group are twice as long
+        return " ".join(w * (1 + group) for w in prose(1000 * group + k, 60).split())
+
+    def capitals(text: str, every: int) -> str:
+        return "".join(c.upper() if i % every == 0 else c for i, c in enumerate(text))
+
+    r = random.Random(5)
+    docs = [(100 * g + k, capitals(text(g, k), 40 + k % 9), "en", str(g)) for g in (0, 1) for k in range(80)]
+    broken = " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    docs += [(1000 + g, broken, "en", str(g)) for g in (0, 1)] + [(1010 + g, text(1 - g, 900), "en", str(g)) for g in (0, 1)]
+    docs += [(1020 + g, capitals(text(g, 901), 6), "en", str(g)) for g in (0, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in judge(df).collect()}
+    assert {d: v for d, v in got.items() if v != (False, True)} == {d: (False, False) for d in (1000, 1001, 1010, 1011, 1020, 1021)}
+
+
 def test_packing(spark, tables, rows):
     from tokenizers import Tokenizer
 
