@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrec.functions.columns import draw, keyed
+from loomrec.scratch import materialise
 
 
 def popularity(edges: DataFrame) -> DataFrame:
@@ -29,14 +30,23 @@ def negatives(users: DataFrame, positives: DataFrame, n_items: int, n: int, seed
     found = found.withColumn("nth", nth).where(F.col("nth") <= n)
     enough = found.where(F.col("nth") == n).select("user_id")
     few = users.join(enough, "user_id", "left_anti")
-    every = few.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_items - 1).cast("long"))).alias("item_id")).join(mine, ["user_id", "item_id"], "left_anti")
+    every = all_others(few, mine, n_items)
     every = every.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(keyed(seed, salt, F.col("user_id"), "all", F.col("item_id")), "item_id"))).where(F.col("nth") <= n)
     out = found.join(enough, "user_id").select("user_id", "item_id", "nth").unionByName(every.select("user_id", "item_id", "nth"))
-    if on_short == "repeat":
-        held = out.groupBy("user_id").agg(F.max("nth").alias("k"), F.max_by("item_id", "nth").alias("item_id"))
-        held = users.join(held, "user_id", "left").select("user_id", F.coalesce("item_id", F.lit(0)).alias("item_id"), F.coalesce("k", F.lit(0)).alias("k"))
-        out = out.unionByName(held.where(F.col("k") < n).select("user_id", "item_id", F.explode(F.sequence(F.col("k") + 1, F.lit(n))).alias("nth")))
-    return out
+    return repeated(out, users, n) if on_short == "repeat" else out
+
+
+def repeated(drawn: DataFrame, users: DataFrame, n: int) -> DataFrame:
+    """drawn, with each user's last item repeated up to n; 0 for users that have none."""
+    held = drawn.groupBy("user_id").agg(F.max("nth").alias("k"), F.max_by("item_id", "nth").alias("item_id"))
+    held = users.join(held, "user_id", "left").select("user_id", F.coalesce("item_id", F.lit(0)).alias("item_id"), F.coalesce("k", F.lit(0)).alias("k"))
+    return drawn.unionByName(held.where(F.col("k") < n).select("user_id", "item_id", F.explode(F.sequence(F.col("k") + 1, F.lit(n))).alias("nth")))
+
+
+def all_others(users: DataFrame, mine: DataFrame, n_items: int) -> DataFrame:
+    """user_id, item_id: every item of 0..n_items-1 that is not in mine. For the few users whose probes do not suffice."""
+    items = F.sequence(F.lit(0).cast("long"), F.lit(n_items - 1).cast("long"))
+    return users.select("user_id", F.explode(items).alias("item_id")).join(mine, ["user_id", "item_id"], "left_anti")
 
 
 def candidates(targets: DataFrame, positives: DataFrame, n_items: int, n: int, seed: int, salt: int = 0, skip_short: bool = True) -> DataFrame:
@@ -124,12 +134,25 @@ def shuffled_partner(rows: DataFrame) -> DataFrame:
 
 
 def bpr_triples(edges: DataFrame, positives: DataFrame, n_items: int, seed: int, probes: int = 10) -> DataFrame:
-    """user_id, pos_item, pos, neg_item: for each train edge the first probe that is not a positive of the user."""
+    """user_id, pos_item, pos, neg_item: for each train edge the first probe that is not a positive of the user.
+
+    Edges whose probes are all positives draw from all items that are not: each user's are numbered in the order of
+    their hash. A user that holds every item gets 0."""
     rows = edges.select("user_id", "item_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))).alias("j"))
     rows = rows.withColumn("neg", draw(keyed(seed, "bpr", F.col("user_id"), F.col("pos"), F.col("j")), F.lit(n_items)))
     mine = positives.select("user_id", F.col("item_id").alias("neg")).distinct()
     rows = rows.join(mine, ["user_id", "neg"], "left_anti")
-    return rows.groupBy("user_id", F.col("item_id").alias("pos_item"), "pos").agg(F.min_by("neg", "j").alias("neg_item"))
+    found = rows.groupBy("user_id", F.col("item_id").alias("pos_item"), "pos").agg(F.min_by("neg", "j").alias("neg_item"))
+    found = materialise(found, "bpr")
+    key = ["user_id", "pos_item", "pos"]
+    left = materialise(edges.select("user_id", F.col("item_id").alias("pos_item"), "pos").distinct().join(found, key, "left_anti"), "bpr_left")
+    pool = all_others(left.select("user_id").distinct(), mine.withColumnRenamed("neg", "item_id"), n_items)
+    order = Window.partitionBy("user_id").orderBy(keyed(seed, "bpr", F.col("user_id"), "all", F.col("item_id")), "item_id")
+    pool = materialise(pool.select("user_id", F.col("item_id").alias("neg_item"), (F.row_number().over(order) - 1).cast("long").alias("nth")), "bpr_pool")
+    sizes = pool.groupBy("user_id").agg(F.count("*").alias("size"))
+    at = draw(keyed(seed, "bpr", F.col("user_id"), F.col("pos"), "all"), F.col("size")).alias("nth")
+    left = left.join(sizes, "user_id", "left").select(*key, at).join(pool, ["user_id", "nth"], "left")
+    return found.unionByName(left.select(*key, F.coalesce("neg_item", F.lit(0)).cast(dict(found.dtypes)["neg_item"]).alias("neg_item")))
 
 
 def sequence_examples(split: DataFrame, max_len: int, n_neg: int, n_items: int, seed: int) -> DataFrame:

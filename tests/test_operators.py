@@ -165,6 +165,16 @@ def test_weighted_draws_follow_popularity(spark):
     assert abs({r["item_id"]: r["count"] for r in first}[0] - 360) < 30
 
 
+def test_every_train_edge_has_a_negative(spark):
+    edges = spark.createDataFrame([(1, i, i) for i in range(90)] + [(2, i, i) for i in range(100)] + [(3, 5, 0)], "user_id long, item_id long, pos int")
+    got = sampling.bpr_triples(edges, edges, 100, 42).collect()
+    assert sorted((r["user_id"], r["pos_item"], r["pos"]) for r in got) == sorted(map(tuple, edges.collect()))
+    drawn = {u: {r["neg_item"] for r in got if r["user_id"] == u} for u in (1, 2, 3)}
+    assert drawn[1] == set(range(90, 100)) and drawn[2] == {0} and drawn[3] != {5}
+    again = sampling.bpr_triples(edges.repartition(5), edges, 100, 42).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
 def test_budgeted_pack(spark):
     r = random.Random(0)
     rows = [(u, k, r.choice([1.0, 2.0, 3.0]), "x" * r.randrange(0, 300)) for u in range(50) for k in range(20)]
