@@ -67,22 +67,49 @@ def short_pools(candidate_rows: DataFrame, n: int) -> DataFrame:
     return candidate_rows.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") < n)
 
 
-def weighted_negatives(users: DataFrame, edges: DataFrame, positives: DataFrame, n: int, seed: int, oversample: int = 8, buckets: int = 256) -> DataFrame:
-    """user_id, item_id, nth: draws without replacement in proportion to popularity.
+def weighted_negatives(users: DataFrame, edges: DataFrame, positives: DataFrame, n: int, seed: int, oversample: int = 8, buckets: int = 256, n_items: int | None = None) -> DataFrame:
+    """user_id, item_id, nth (1 to n): draws without replacement in proportion to popularity.
 
     A probe picks one of the numbered train edges and takes its item; edges are numbered within buckets of items, so
-    the only global step adds up one count per bucket. Dropping repeats of draws with replacement is drawing without."""
+    the only global step adds up one count per bucket. Dropping repeats of draws with replacement is drawing without.
+    Users whose probes do not suffice make `oversample` times as many; those who are short still draw the rest from all
+    items of 0..n_items-1 (by default up to the largest id) that are left, by weighted keys, items without train edges
+    last and in order of their hash. Where there are too few, the last is repeated; 0 for users without any."""
+    if n_items is None:
+        n_items = 1 + max(df.agg(F.coalesce(F.max("item_id"), F.lit(-1))).head()[0] for df in (edges, positives))
     item = Window.partitionBy("bucket").orderBy("item_id", "user_id", "pos")
     numbered = edges.select("item_id", "user_id", "pos", F.pmod("item_id", F.lit(buckets)).alias("bucket"))
     sizes = numbered.groupBy("bucket").agg(F.count("*").alias("n"))
     starts = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     numbered = numbered.withColumn("k", F.row_number().over(item) - 1).join(F.broadcast(starts), "bucket").select((F.col("start") + F.col("k")).alias("edge"), "item_id")
-    total = edges.agg(F.count("*").alias("total"))
-    probes = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(n * oversample - 1))).alias("j")).join(F.broadcast(total))
-    probes = probes.select("user_id", "j", draw(keyed(seed, "weighted", F.col("user_id"), F.col("j")), F.col("total")).alias("edge"))
-    found = probes.join(numbered, "edge").groupBy("user_id", "item_id").agg(F.min("j").alias("j"))
-    found = found.join(positives.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("j"))).where(F.col("nth") <= n).select("user_id", "item_id", "nth")
+    total = edges.agg(F.nullif(F.count("*"), F.lit(0)).alias("total"))
+    mine = positives.select("user_id", "item_id").distinct()
+    users = users.select("user_id").distinct()
+
+    def probed(who: DataFrame, times: int) -> DataFrame:
+        probes = who.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(n * times - 1))).alias("j")).join(F.broadcast(total))
+        probes = probes.select("user_id", "j", draw(keyed(seed, "weighted", F.col("user_id"), F.col("j")), F.col("total")).alias("edge"))
+        found = probes.join(numbered, "edge").groupBy("user_id", "item_id").agg(F.min("j").alias("j")).join(mine, ["user_id", "item_id"], "left_anti")
+        nth = F.row_number().over(Window.partitionBy("user_id").orderBy("j"))
+        return materialise(found.withColumn("nth", nth).where(F.col("nth") <= n).select("user_id", "item_id", "nth"), "weighted")
+
+    def short(who: DataFrame, drawn: DataFrame) -> DataFrame:
+        return materialise(who.join(drawn.where(F.col("nth") == n).select("user_id"), "user_id", "left_anti"), "weighted_short")
+
+    first = probed(users, oversample)
+    few = short(users, first)
+    more = probed(few, oversample * oversample)
+    out = first.join(few, "user_id", "left_anti").unionByName(more)
+    few = short(few, more)
+    held = more.join(few, "user_id", "left_semi")
+    rest = all_others(few, mine.unionByName(held.select("user_id", "item_id")), n_items).join(edges.groupBy("item_id").agg(F.count("*").alias("weight")), "item_id", "left")
+    key = keyed(seed, "weighted", F.col("user_id"), "all", F.col("item_id"))
+    u = (F.conv(F.substring(key, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
+    order = Window.partitionBy("user_id").orderBy(F.col("weight").isNull(), -F.log(u) / F.coalesce("weight", F.lit(1)), "item_id")
+    had = held.groupBy("user_id").agg(F.count("*").alias("had"))
+    rest = rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).join(had, "user_id", "left")
+    rest = rest.select("user_id", "item_id", (F.col("nth") + F.coalesce("had", F.lit(0))).cast("int").alias("nth")).where(F.col("nth") <= n)
+    return repeated(materialise(out.unionByName(rest), "weighted"), users, n)
 
 
 def user_sample(users: DataFrame, n: int, seed: int) -> DataFrame:

@@ -135,7 +135,7 @@ def candidate_overlap(spark, d):
 
 def weighted_negatives(spark, d):
     s = split(spark, d)
-    return sampling.weighted_negatives(s.select("user_id").distinct(), seq.train_edges(s), s, 5, SEED)
+    return sampling.weighted_negatives(s.select("user_id").distinct(), seq.train_edges(s), s, 5, SEED, n_items=universe(s))
 
 
 def bpr_triples(spark, d):

@@ -165,6 +165,21 @@ def test_weighted_draws_follow_popularity(spark):
     assert abs({r["item_id"]: r["count"] for r in first}[0] - 360) < 30
 
 
+def test_weighted_draws_are_whole(spark):
+    # Item 0 holds nearly all edges; user 1 has it and all but two drawn items, user 2 all but one item, user 3 every item.
+    edges = spark.createDataFrame([(9, 0, k) for k in range(5000)] + [(9, i, 5000 + i) for i in range(1, 8)], "user_id long, item_id long, pos int")
+    mine = spark.createDataFrame([(1, i) for i in range(6)] + [(2, i) for i in range(11)] + [(3, i) for i in range(12)], "user_id long, item_id long")
+    users = spark.createDataFrame([(1,), (2,), (3,), (4,)], "user_id long")
+    got = sorted(map(tuple, sampling.weighted_negatives(users, edges, mine, 5, 42, n_items=12).collect()), key=lambda r: (r[0], r[2]))
+    assert [r[0] for r in got] == [u for u in (1, 2, 3, 4) for _ in range(5)] and [r[2] for r in got] == [1, 2, 3, 4, 5] * 4
+    drawn = {u: [r[1] for r in got if r[0] == u] for u in (1, 2, 3, 4)}
+    assert set(drawn[1][:2]) == {6, 7} and len(set(drawn[1])) == 5 and set(drawn[1]) <= set(range(6, 12))
+    assert drawn[2] == [11] * 5 and drawn[3] == [0] * 5
+    assert drawn[4][0] == 0 and len(set(drawn[4])) == 5 and set(drawn[4]) <= set(range(8))
+    flat = sampling.weighted_negatives(users, edges.limit(0), mine, 5, 42, n_items=12).where("user_id = 4").collect()
+    assert len({r["item_id"] for r in flat}) == 5
+
+
 def test_every_train_edge_has_a_negative(spark):
     edges = spark.createDataFrame([(1, i, i) for i in range(90)] + [(2, i, i) for i in range(100)] + [(3, 5, 0)], "user_id long, item_id long, pos int")
     got = sampling.bpr_triples(edges, edges, 100, 42).collect()
