@@ -6,8 +6,10 @@ not, the template rewrites history; the turn at which that happened is flagged,
 renderings part. Within a turn's span the text's own place is where renderings with two different marks instead of the
 text differ.
 
-Conversations are sorted, not gathered: a task reads turns in order and keeps the first turn and the last few
-(`lookback`), so memory does not grow with a conversation. Up to `lookback` turns the rendered prefix is the whole one.
+Conversations are sorted, not gathered: a task reads turns in order and keeps those of one conversation. Each prefix is
+rendered whole, so work grows with the square of a conversation's turns. A template that is declared prefix-stable
+(`prefix_stable`: a turn's piece depends on that turn alone) may be given a `lookback`: from so many turns on, the first
+turn and the last few stand for the prefix.
 
 The template `tagged` marks turns by control strings and escapes their first characters within texts and roles, so that
 no text can hold a control string and the output can be read back exactly.
@@ -43,6 +45,9 @@ def tagged(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape(role)}{BODY}{escape(text)}{CLOSE}" for role, text in turns)
 
 
+tagged.prefix_stable = True
+
+
 def read_turn(piece: str) -> Turn:
     """The (role, text) that `tagged` wrote into one turn's span."""
     role, text = piece.removeprefix(OPEN).removesuffix(CLOSE).split(BODY)
@@ -52,13 +57,15 @@ def read_turn(piece: str) -> Turn:
 class Spans:
     """Spans of one conversation's turns, one turn after another."""
 
-    def __init__(self, render: Callable[[list[Turn]], str], lookback: int):
+    def __init__(self, render: Callable[[list[Turn]], str], lookback: int | None = None):
+        if lookback is not None and not getattr(render, "prefix_stable", False):
+            raise ValueError("a lookback needs a template that is declared prefix_stable")
         self.render, self.lookback = render, lookback
         self.turns, self.before, self.at, self.seen = [], render([]), 0, 0
 
     def add(self, turn: Turn) -> tuple[int, str, int, int, bool]:
         """Start of the turn's span in the whole, what the span holds, the text's start and end in it, whether history changed."""
-        if len(self.turns) >= self.lookback:  # the first turn and the latest stand for the prefix
+        if self.lookback is not None and len(self.turns) >= self.lookback:  # the first turn and the latest stand for the prefix
             self.turns = [self.turns[0], *self.turns[-(self.lookback // 2) :]]
             self.before = self.render(self.turns)
         turns = [*self.turns, turn]
@@ -77,10 +84,11 @@ class Spans:
         return out
 
 
-def format_turns(rows: DataFrame, render: Callable[[list[Turn]], str] = tagged, trained: tuple[str, ...] = ("assistant",), lookback: int = 64) -> DataFrame:
+def format_turns(rows: DataFrame, render: Callable[[list[Turn]], str] = tagged, trained: tuple[str, ...] = ("assistant",), lookback: int | None = None) -> DataFrame:
     """A row per turn, in order within each task: conv_id, nth, start, formatted, text_start, text_end, trained, rewritten.
 
     start is the span's place in the conversation's whole rendering; text_start and text_end lie within `formatted`."""
+    Spans(render, lookback)  # refuses a lookback here, not in a task
     names = ["conv_id", "nth", "start", "formatted", "text_start", "text_end", "trained", "rewritten"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 

@@ -332,6 +332,26 @@ def test_chat_finds_rewritten_history(spark):
     assert [r["formatted"][r["text_start"] : r["text_end"]] for r in got] == ["hello", "a longer answer", "thanks"]
 
 
+def test_chat_renders_whole_prefixes(spark):
+    from loomrec.llm.chat_format import format_turns
+
+    def numbered(turns):
+        return "".join(f"[{k}:{r}]{t}" for k, (r, t) in enumerate(turns))
+
+    def fading(turns):  # a turn is cut once a hundred others follow
+        return "".join(f"<{r}>{t if k >= len(turns) - 100 else t[:1]}" for k, (r, t) in enumerate(turns))
+
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(150)]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted(format_turns(df, render=numbered).collect(), key=lambda r: r["nth"])
+    assert "".join(r["formatted"] for r in got) == numbered(turns) and not any(r["rewritten"] for r in got)
+    assert [r["start"] for r in got] == [len(numbered(turns[:k])) for k in range(150)]
+    got = sorted(format_turns(df, render=fading).collect(), key=lambda r: r["nth"])
+    assert [r["rewritten"] for r in got] == [k >= 100 for k in range(150)]
+    with pytest.raises(ValueError):
+        format_turns(df, render=numbered, lookback=64)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body><header><h1>Site</h1></header>
 <div id="main-menu"><a href=x>Home</a></div><main><h1>A &amp; B</h1><p>First&nbsp;para <b>bo</b>ld,
  next.<p>Short.<ul><li>item one<li>item <i>two</i></ul><div class="advert">Buy now</div><form><p>Mail?</p></form>
