@@ -6,6 +6,10 @@ Edges for smoothness join blocks that follow one another and blocks that are nei
 cut then labels the blocks. Blocks whose terminal capacity outweighs all their edges are labelled at once and their
 edges folded into their neighbours' terminals, which changes no minimum cut; maximum flow decides the rest.
 
+Boilerplate words in attributes, and forms, count against all that an element holds, unless it wraps the page: it holds
+most of the text of the page's main or article elements, or, on a page that has none, most of its text. Within a block,
+runs of text in inline elements that are hidden or marked as boilerplate are left out.
+
 Defined results: null or empty html, or a page without content, gives empty text; broken markup never fails (unclosed
 elements end with their parents, unmatched end tags are ignored); equal pages give equal text; extra columns are
 carried if named.
@@ -38,7 +42,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 
 #: Log odds of content. Elements and roles that never hold the main text:
 NEVER = -60.0
-NEVER_TAGS = frozenset("nav footer aside form button select option template svg canvas object dialog menu search head math audio video".split())
+NEVER_TAGS = frozenset("nav footer aside form button select option template svg canvas object dialog menu search head audio video".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
 BASE, PAGE_HEADER, IN_ARTICLE, BESIDE_ARTICLE, HINT_BAD, HINT_GOOD = -0.6, -8.0, 3.0, -3.5, -8.0, 1.0
 PARAGRAPH, HEADING, ITEM, CELL = 1.0, 0.6, -0.2, -0.4
@@ -50,27 +54,40 @@ BAD_WORDS = frozenset(
     "login register copyright legal disclaimer skip toolbar tags taglist hidden".split()
 )
 GOOD_WORDS = frozenset("article content post entry story main body text maincontent articlebody".split())
+#: Sections of these words may hold more text than the article: they wrap a page only if hardly any text is outside.
+THREAD_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus related recommend recommended recommendations".split())
+MOST, NEARLY_ALL = 0.5, 0.9
 #: Capacities of edges: following one another, and so under one element; neighbours under one element; under one grandparent.
 FOLLOWS, FOLLOWS_SAME, SIBLING, COUSIN, NEIGHBOURLY = 0.15, 0.45, 0.45, 0.2, -5.0
 
 
 class Element:
-    __slots__ = ("tag", "bias", "article", "link", "parent", "block")
+    """hard and soft are an element's own log odds, bias those of all elements around it too; soft ones fall away from
+    elements that wrap the page (`settle`)."""
+
+    __slots__ = ("tag", "hard", "soft", "thread", "marked", "article", "link", "parent", "block", "bias", "mute", "size", "main_size")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.parent = tag, parent
-        self.bias, self.article, self.link = (parent.bias, parent.article, parent.link) if parent else (0.0, False, False)
+        self.article, self.link = (parent.article, parent.link) if parent else (False, False)
+        self.hard = self.soft = self.bias = self.mute = 0.0
+        self.thread = False
+        self.size = self.main_size = 0
         self.block = tag in BLOCK
         if tag == "a":
             self.link = True
         elif tag in ("article", "main"):
             self.article = True
+        elif tag == "form":
+            self.soft += NEVER
         elif tag in NEVER_TAGS:
-            self.bias += NEVER
+            self.hard += NEVER
         elif tag == "header" and not self.article:
-            self.bias += PAGE_HEADER
+            self.hard += PAGE_HEADER
         if attributes and not attributes.isspace():
             self._read(attributes)
+        #: The outermost element that marks the article.
+        self.marked = self.article and not (parent and parent.article)
 
     def _read(self, attributes: str) -> None:
         for name, *values in ATTRIBUTE.findall(attributes):
@@ -81,45 +98,60 @@ class Element:
                 if bad == {"header"} and (self.article or found & GOOD_WORDS):  # an article's own head
                     continue
                 if bad:
-                    self.bias += HINT_BAD
+                    self.soft += HINT_BAD
+                    self.thread |= bool(bad & THREAD_WORDS)
                 elif found & GOOD_WORDS and name in ("class", "id"):
-                    self.bias += HINT_GOOD
+                    self.hard += HINT_GOOD
             elif name == "role":
-                if value in NEVER_ROLES:
-                    self.bias += NEVER
+                if value == "form":
+                    self.soft += NEVER
+                elif value in NEVER_ROLES:
+                    self.hard += NEVER
                 elif value in ("main", "article"):
                     self.article = True
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                self.bias += NEVER
+                self.hard += NEVER
+
+
+def settle(elements: list[Element], runs: list[tuple[Element, int]]) -> None:
+    """Set the elements' bias, and mute: what of it is not a hint. Parents come before what they hold."""
+    for e in elements:
+        e.mute = e.hard + (e.parent.mute if e.parent else 0.0)
+    for e, n in runs:
+        if e.mute > NEVER / 2:
+            e.size += n
+    for e in reversed(elements):
+        if e.marked:
+            e.main_size += e.size
+        if e.parent:
+            e.parent.size += e.size
+            e.parent.main_size += e.main_size
+    top = elements[0]
+    for e in elements:
+        if e.soft:
+            inside, whole = (e.main_size, top.main_size) if top.main_size else (e.size, top.size)
+            if not (e.marked and top.main_size) and inside > (NEARLY_ALL if e.thread else MOST) * whole:
+                e.soft = 0.0
+        e.bias = e.hard + e.soft + (e.parent.bias if e.parent else 0.0)
 
 
 def blocks(html: str) -> tuple[list[str], list[float], list[Element]]:
     """Texts of the page's blocks in order, their log odds, and the element around each."""
     texts, odds, around = [], [], []
     top = Element("html", "", None)
-    part: list[str] = []
-    linked = 0
+    elements = [top]
+    part: list[tuple[str, Element]] = []
+    found: list[tuple[Element, list[tuple[str, Element]]]] = []
     lower = None
     at, size = 0, len(html)
 
     def flush(element: Element) -> None:
-        nonlocal linked
-        text = " ".join("".join(part).split())
-        part.clear()
-        if text:
+        if any(not t.isspace() for t, _ in part):
             near = element
             while not near.block and near.parent:
                 near = near.parent
-            n = text.count(" ") + 1
-            value = BASE + near.bias + IN_ARTICLE * near.article + LINKS * min(1.0, linked / len(text)) + min(MOST_WORDS, PER_WORD * n)
-            tag = near.tag
-            value += PARAGRAPH if tag in ("p", "blockquote", "pre") else HEADING if tag[0] == "h" and tag[1:].isdigit() else ITEM if tag in ("li", "dt", "dd") else CELL if tag in ("td", "th") else 0.0
-            if text[-1] in ".!?:;…。\"'”»)" and n > 2:
-                value += SENTENCE
-            texts.append(text)
-            odds.append(value)
-            around.append(near)
-        linked = 0
+            found.append((near, part.copy()))
+        part.clear()
 
     for mark in MARK.finditer(html):
         start = mark.start()
@@ -127,9 +159,7 @@ def blocks(html: str) -> tuple[list[str], list[float], list[Element]]:
             continue
         if start > at:
             text = unescape(html[at:start])
-            part.append(text)
-            if top.link:
-                linked += len(text)
+            part.append((text, top))
         at = mark.end()
         tag = mark[2] or mark[5]
         if not tag:
@@ -157,7 +187,7 @@ def blocks(html: str) -> tuple[list[str], list[float], list[Element]]:
             if tag == "hr":
                 flush(top)
             elif tag == "br":
-                part.append(" ")
+                part.append((" ", top))
             continue
         if tag in BLOCK:
             flush(top)
@@ -175,22 +205,40 @@ def blocks(html: str) -> tuple[list[str], list[float], list[Element]]:
                     e = e.parent
         if not attributes.endswith("/") or tag in BLOCK:
             top = Element(tag, attributes, top)
+            elements.append(top)
     if at < size:
-        part.append(unescape(html[at:]))
+        part.append((unescape(html[at:]), top))
     flush(top)
+
+    settle(elements, [(e, len(t.strip())) for _, runs in found for t, e in runs])
+    for near, runs in found:
+        if any(e is not near for _, e in runs):
+            runs = [(t, e) if e.bias - near.bias > NEIGHBOURLY else (" ", near) for t, e in runs]
+        text = " ".join("".join([t for t, _ in runs]).split())
+        if not text:
+            continue
+        n, linked = text.count(" ") + 1, sum(len(t) for t, e in runs if e.link)
+        value = BASE + near.bias + IN_ARTICLE * near.article + LINKS * min(1.0, linked / len(text)) + min(MOST_WORDS, PER_WORD * n)
+        tag = near.tag
+        value += PARAGRAPH if tag in ("p", "blockquote", "pre") else HEADING if tag[0] == "h" and tag[1:].isdigit() else ITEM if tag in ("li", "dt", "dd") else CELL if tag in ("td", "th") else 0.0
+        if text[-1] in ".!?:;…。\"'”»)" and n > 2:
+            value += SENTENCE
+        texts.append(text)
+        odds.append(value)
+        around.append(near)
     if any(e.article for e in around):  # a page that marks its article has little else to say
         odds = [o if e.article else o + BESIDE_ARTICLE for o, e in zip(odds, around)]
     return texts, odds, around
 
 
 def neighbours(around: list[Element]) -> list[tuple[int, int, float]]:
-    """Edges (i, j, capacity) by order and by DOM proximity. What its own marks make boilerplate says nothing about others."""
+    """Edges (i, j, capacity) by order and by DOM proximity. What is never content says nothing about others."""
     edges, last, older = [], {}, {}
     for i, e in enumerate(around):
-        if e.bias < NEIGHBOURLY:
+        if e.mute < NEIGHBOURLY:
             continue
         box, out = id(e.parent), id(e.parent.parent) if e.parent else 0
-        if i and around[i - 1].bias >= NEIGHBOURLY:
+        if i and around[i - 1].mute >= NEIGHBOURLY:
             edges.append((i - 1, i, FOLLOWS_SAME if around[i - 1].parent is e.parent else FOLLOWS))
         for seen, key, capacity in ((last, box, SIBLING), (older, out, COUSIN)):
             if key in seen and seen[key] != i - 1:

@@ -371,6 +371,30 @@ def test_html(spark):
     assert extract(df.limit(0)).collect() == []
 
 
+STORY = "".join(f"<p>{prose(k, 40)}.</p>" for k in range(4))
+TOLD = "\n".join(f"{prose(k, 40)}." for k in range(4))
+SIDE = f"<p>{prose(9, 50)}.</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        *((f"<div class='{c}'><article>{STORY}</article></div>", TOLD) for c in ("layout has-sidebar", "no-sidebar", "social-impact", "legal-news")),
+        (f"<div class='no-sidebar'><div>{STORY}</div><div class='sidebar'>{SIDE}</div></div><footer>f</footer>", TOLD),
+        (f"<form id=aspnet><div id=menu>Home</div><main>{STORY}</main><div class=sidebar>{SIDE}</div></form>", TOLD),
+        (f"<form id=aspnet><nav>Home</nav><div>{STORY}</div></form>", TOLD),
+        (f"<main>{STORY}</main><section class=related><article>{SIDE}</article></section>", TOLD),
+        (f"<main>{STORY}<form>{SIDE * 9}</form><section id=comments>{SIDE * 9}</section></main>", TOLD),
+        (f"<div>{STORY}</div><section id=comments>{SIDE * 6}</section>", TOLD),
+        (f"<main>{STORY.replace('</p>', ' <button>Share</button><span hidden>secret</span> <span class=ad>Buy now</span></p>')}</main>", TOLD),
+    ],
+)
+def test_html_wrappers(html, want):
+    from loomrec.llm.html_extract import main_text
+
+    assert main_text(f"<html><body>{html}</body></html>") == want
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_minimum_cut(seed):
     from loomrec.llm.html_extract import minimum_cut
