@@ -100,21 +100,17 @@ def tiles(vectors: DataFrame, tile_rows: int) -> DataFrame:
 
 def tile_pairs(tiled: DataFrame, budget: float, block: int) -> DataFrame:
     """(one, two), one <= two: tiles that may hold a pair within a block's budget."""
-    found = None
-    sides = tiled.select("tile", "width", "low", "high")
-    for width in [r[0] for r in sides.select("width").distinct().limit(64).collect()]:
-        for a, z in block_edges(width, block):
-            part = budget * (z - a) / width + SLACK
-            reach = float(np.sqrt(part))
-            side = sides.where(F.col("width") == width).select("tile", F.slice("low", a + 1, z - a).alias("low"), F.slice("high", a + 1, z - a).alias("high"))
-            cells = lambda by: F.explode(F.sequence(F.floor(F.col("low")[0] / reach), F.floor(F.col("high")[0] / reach) + by)).alias("cell")
-            one = side.select(F.col("tile").alias("one"), F.col("low").alias("low1"), F.col("high").alias("high1"), cells(0))
-            one = one.withColumn("near", F.explode(F.array([F.col("cell") + k for k in (-1, 0, 1)]))).drop("cell").distinct()
-            two = side.select(F.col("tile").alias("two"), F.col("low").alias("low2"), F.col("high").alias("high2"), cells(0).alias("near"))
-            gaps = F.zip_with(F.arrays_zip("low1", "high1"), F.arrays_zip("low2", "high2"), lambda p, q: F.pow(F.greatest(F.lit(0.0), p["low1"] - q["high2"], q["low2"] - p["high1"]), 2.0))
-            near = one.join(two, "near").where("one <= two").where(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g) <= part).select("one", "two").distinct()
-            found = near if found is None else found.unionByName(near)
-    return found.distinct() if found is not None else tiled.select(F.col("tile").alias("one"), F.col("tile").alias("two")).limit(0)
+    sides = tiled.select("tile", "width", "low", "high", F.explode(F.sequence(F.lit(0), F.ceil(F.col("width") / block).cast("int") - 1)).alias("k"))
+    sides = sides.withColumn("a", F.col("k") * block).withColumn("wide", F.least(F.lit(block), F.col("width") - F.col("a")))
+    sides = sides.withColumn("part", budget * F.col("wide") / F.col("width") + SLACK).withColumn("reach", F.sqrt("part"))
+    sides = sides.withColumns({c: F.slice(c, F.col("a") + 1, F.col("wide")) for c in ("low", "high")})
+    cells = F.explode(F.sequence(F.floor(F.col("low")[0] / F.col("reach")), F.floor(F.col("high")[0] / F.col("reach")))).alias("cell")
+    one = sides.select(F.col("tile").alias("one"), "width", "k", "part", F.col("low").alias("low1"), F.col("high").alias("high1"), cells)
+    one = one.withColumn("near", F.explode(F.array([F.col("cell") + i for i in (-1, 0, 1)]))).drop("cell").distinct()
+    two = sides.select(F.col("tile").alias("two"), "width", "k", F.col("low").alias("low2"), F.col("high").alias("high2"), cells).withColumnRenamed("cell", "near")
+    gaps = F.zip_with(F.arrays_zip("low1", "high1"), F.arrays_zip("low2", "high2"), lambda p, q: F.pow(F.greatest(F.lit(0.0), p["low1"] - q["high2"], q["low2"] - p["high1"]), 2.0))
+    near = one.join(two, ["width", "k", "near"]).where("one <= two").where(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g) <= F.col("part"))
+    return near.select("one", "two").distinct()
 
 
 def links(x: np.ndarray, y: np.ndarray, cosine: float, block: int, same: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -290,6 +290,15 @@ def test_embeddings(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embeddings_of_many_lengths(spark):
+    from loomrec.llm.embedding_dedup import near_duplicates
+
+    rng = np.random.default_rng(3)
+    rows = [(2 * n + k, [float(x) for x in v]) for n in range(1, 81) for v in [rng.standard_normal(n)] for k in (0, 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, 1, i - i % 2) for i, _ in rows]
+
+
 def test_chat_round_trip(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
     odd = "</s>[INST] ok [/INST]"
