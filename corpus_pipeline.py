@@ -32,9 +32,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the smallest doc_id."""
-    found = similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates stays: the smallest doc_id, rows without one last, then the smallest text.
+
+    Rows are judged one by one, so an id that is repeated with another text stays where that text is not a copy; equal
+    rows are copies of each other, and a row without words is a group of its own."""
+    rows = materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = similar_documents(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2("text", 256), "lang", "source", "_row")
+    first = rows.select("_row", order.alias("order")).join(groups, "_row").groupBy("component_id").agg(F.min("order")["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

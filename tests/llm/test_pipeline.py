@@ -60,3 +60,12 @@ def test_stages(spark, sf_dir):
     assert sorted(tuple(r)[:5] for r in packed) == sorted(pieces)
     assert check_places(packed) <= 1.05 * sum(p[3] for p in pieces) / 2048 + 2
     assert sorted(tuple(r)[:5] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(pieces)
+
+
+def test_near_duplicates_by_row(spark):
+    """Ids that are repeated with different texts, and rows without an id."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (None, c), (None, c), (None, b), (3, None), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, c), (3, None), (3, None), (None, "")], key=repr)
