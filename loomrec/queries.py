@@ -352,7 +352,7 @@ def facet_parse(spark, d):
     body = F.concat(F.lit('{"facets": [{"facet": "'), normalised(F.col("text")), F.lit('", "confidence": 0.5, "supporting_neighbors": ["Item-'), F.col("doc_id").cast("string"), F.lit('", "u_7"]}, {"facet": "second", "confidence": 0.25, "supporting_neighbors": []}'))
     kind = F.col("doc_id") % 4
     text = F.when(kind == 0, F.concat(body, F.lit("]}"))).when(kind == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit(",]}\n```"))).when(kind == 2, F.concat(body, F.lit(', {"facet": "thi'))).otherwise(normalised(F.col("text")))
-    rows = table(spark, d, "documents").where(normalised(F.col("text")) != "").select(F.col("doc_id").alias("req_id"), text.alias("completion"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("req_id"), text.alias("completion"))
     out = facets.parse_facets(rows)
     return out.select("req_id", F.size("facets").cast("long").alias("n_facets"), F.md5(F.coalesce(F.get("facets", F.lit(0))["facet"], F.lit(""))).alias("first_md5"), F.array_join("cited", ",").alias("cited"), "valid", "truncated")
 

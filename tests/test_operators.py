@@ -351,3 +351,11 @@ def test_records(spark):
     samples = spark.createDataFrame([(u, k, [f"f{u}{k}"] if u else None) for u in range(3) for k in (1, 2)], "user_id long, nth int, facets array<string>")
     arms = {(r["user_id"], r["arm"]): r["facets"] for r in records.arms(samples, sampling.shuffled_partner(samples.select("user_id").distinct())).collect()}
     assert len(arms) == 15 and arms[0, "shuffled"] == ["f11"] and arms[2, "shuffled"] == [] and arms[0, "sample1"] == [] and len(arms[1, "lorem"]) == 3
+
+
+def test_facet_parse_keeps_every_document(spark, monkeypatch):
+    from loomrec import queries
+
+    rows = [(k, t) for k, t in enumerate([None, "", "...", "é ü", "plain", None, "!", "-"])]
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["req_id"] for r in queries.facet_parse(spark, "").collect()) == list(range(8))
