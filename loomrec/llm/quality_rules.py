@@ -3,10 +3,15 @@
 Every document gets a few counts. Ratios of these counts go into quantile sketches with logarithmic buckets (relative
 error `gamma` - 1), one for each (language, source, measure). A sketch is a table of bucket counts: two sketches merge by
 adding counts, so sketches of sources add up to those of languages and of the whole, and a hot source is summed up
-before it is shuffled. A document fails where a ratio lies outside its group's fences: quartiles and `reach` times a
-few of their distances. Word lengths are measured by the ratio of the quartiles, so that a low fence stays positive. A
-floor holds where quartiles all but coincide. A group of fewer than `least` documents takes its language's fences, or
-else all documents'. The fences are then joined to the documents.
+before it is shuffled. A group's sketch is merged with `prior` more documents at evenly spaced quantiles of its
+language's, and that one likewise with all documents', so that a small group follows its language and a large one itself.
+Fences lie a few quartile distances outside the quartiles and are joined to the documents. Word lengths are measured by the ratio of the quartiles, so that a low fence
+stays positive.
+
+No cutoff is fixed: a document fails where it lies outside its group's fence and further from the group's quartile than
+counting alone explains. A count s out of n is judged against the quartile q on the scale of square roots, where a
+count's standard deviation is 1/2 however large it is: sqrt(s) may exceed sqrt(n * q) by `reach` of these (each count
+with 3/8 added). For a mean word length a word's length is taken to deviate by about half the mean.
 
 Defined results: null or blank text has no words and fails the base rule; null language or source is a group of its
 own; equal rows are judged alike; an empty table gives an empty result; extra columns are ignored unless `carry` names
@@ -23,21 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomrec.llm.mixing import few
 from loomrec.llm.text import SPACES, gram_codes, slices, words
 from loomrec.scratch import materialise
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutters")
-#: Measure: (expression, whether values can be too low, whether they can be too high, quartile distances in one reach,
-#: least distance of a fence). Of the measures in BY_RATIO a distance is a factor.
+#: Measure: (count, out of, quartile distances in one reach). Only high values of these are bad.
 MEASURES = {
-    "symbols": ("n_symbols / n_words", False, True, 1, 0.10),
-    "dup_lines": ("n_dup_lines / n_lines", False, True, 1, 0.45),
-    "upper": ("n_upper / word_chars", False, True, 3, 0.02),
-    "stutters": ("n_stutters / n_words", False, True, 3, 0.03),
-    "word_length": ("word_chars / n_words", True, True, 3, 1.35),
+    "symbols": ("n_symbols", "n_words", 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "upper": ("n_upper", "word_chars", 3),
+    "stutters": ("n_stutters", "n_words", 3),
 }
-BY_RATIO = ("word_length",)
+#: Characters a word: too low or too high, by ratios.
+LENGTH, LENGTH_TIMES, LENGTH_DEVIATION = "word_length", 3, 0.5
 
 
 def counts(text: str | None) -> tuple[int, ...]:
@@ -79,53 +84,69 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def sketch(measured: DataFrame, gamma: float) -> DataFrame:
-    """(lang, source, measure, bucket, n): bucket counts for each group, for each language and for all (`level` 0, 1, 3)."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(e).alias("value")) for m, (e, *_) in MEASURES.items()])).alias("m")
+    """(lang, source, measure, bucket, n): how many documents of each group have a measure in a bucket."""
+    ratios = {m: F.try_divide(s, n) for m, (s, n, _) in MEASURES.items()} | {LENGTH: F.try_divide("word_chars", "n_words")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in ratios.items()])).alias("m")
     values = measured.where("n_words > 0").select(F.struct("lang", "source").alias("g"), pairs).select("g.lang", "g.source", "m.*").where("value is not null")
     bucket = F.when(F.col("value") < 1e-6, F.lit(-100000)).otherwise(F.ceil(F.log("value") / F.log(F.lit(gamma)))).cast("int")
-    base = values.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    base = materialise(base, "sketch")
-    by_lang = base.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
-    every = base.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    one = base.select(F.lit(0).alias("level"), "lang", "source", "measure", "bucket", "n")
-    return one.unionByName(by_lang.withColumn("level", F.lit(1)), True).unionByName(every.withColumn("level", F.lit(3)), True)
+    return values.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def merged(sketches: DataFrame, *groups: str) -> DataFrame:
+    """The sketches of larger groups."""
+    return sketches.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
+def spaced(sketches: DataFrame, prior: int, *groups: str) -> DataFrame:
+    """Sketches of `prior` documents each, at evenly spaced quantiles of the given ones."""
+    group = Window.partitionBy(*groups, "measure")
+    s = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("docs", F.sum("n").over(group))
+    k = F.expr(f"(2 * upto * {prior} + docs) div (2 * docs) - (2 * (upto - n) * {prior} + docs) div (2 * docs)")
+    return s.select(*groups, "measure", "bucket", k.alias("n")).where("n > 0")
 
 
-def fences(sketches: DataFrame, gamma: float, reach: float) -> DataFrame:
-    """(level, lang, source, docs, low_<m>, high_<m>): fences from the quartiles that the sketches give."""
-    group = Window.partitionBy("level", "lang", "source", "measure")
+def blended(sketches: DataFrame, prior: int) -> DataFrame:
+    """Each group's sketch with `prior` documents of its language's, which has as many of all documents'."""
+    every, lang = spaced(merged(sketches), prior), merged(sketches, "lang")
+    lang = lang.unionByName(lang.select("lang", "measure").distinct().join(every, "measure"))
+    lang = spaced(merged(lang, "lang"), prior, "lang").withColumnRenamed("lang", "_lang").withColumnRenamed("measure", "_measure")
+    own = sketches.select("lang", "source", "measure").distinct()
+    more = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_measure")))
+    return merged(sketches.unionByName(more.drop("_lang", "_measure")), "lang", "source")
+
+
+def quartiles(sketches: DataFrame, gamma: float) -> DataFrame:
+    """(lang, source, measure, docs, q25, q75) as the sketches give them."""
+    group = Window.partitionBy("lang", "source", "measure")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     s = sketches.withColumn("upto", upto).withColumn("docs", F.sum("n").over(group))
     value = F.when(F.col("bucket") == -100000, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), F.col("bucket") - 0.5))
     quart = [F.min(F.when(F.col("upto") >= q * F.col("docs"), F.struct("bucket", value.alias("v"))))["v"].alias(f"q{int(100 * q)}") for q in (0.25, 0.75)]
-    s = s.groupBy("level", "lang", "source", "measure").agg(F.max("docs").alias("docs"), *quart)
-    times, floor = (F.create_map(*[F.lit(x) for m, (*_, k, d) in MEASURES.items() for x in (m, float((k, d)[i]))])[F.col("measure")] for i in (0, 1))
-    ratio = F.col("measure").isin(*BY_RATIO) & (F.col("q25") > 0)
-    away = F.greatest(reach * times * (F.col("q75") - F.col("q25")), floor)
-    factor = F.greatest(F.pow(F.col("q75") / F.col("q25"), reach * times), floor)
-    s = s.withColumn("low", F.when(ratio, F.col("q25") / factor).otherwise(F.col("q25") - away)).withColumn("high", F.when(ratio, F.col("q75") * factor).otherwise(F.col("q75") + away))
-    ends = [F.max(F.when(F.col("measure") == m, F.col(end))).alias(f"{end}_{m}") for m in MEASURES for end in ("low", "high")]
-    return s.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *ends)
+    return s.groupBy("lang", "source", "measure").agg(F.max("docs").alias("docs"), *quart)
+
+
+def fences(found: DataFrame, reach: float) -> DataFrame:
+    """(_lang, _source, and each measure's quartile and fence) for every group."""
+    s = found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "measure", "q25", "q75")
+    times = F.create_map(*[F.lit(x) for m, (*_, k) in MEASURES.items() for x in (m, float(k))])[F.col("measure")]
+    ends = [F.max(F.when(F.col("measure") == m, c)).alias(f"_{name}_{m}") for m in MEASURES for name, c in (("usual", F.col("q75")), ("high", F.col("q75") + reach * times * (F.col("q75") - F.col("q25"))))]
+    ends += [F.max(F.when(F.col("measure") == LENGTH, c)).alias(f"_{name}_{LENGTH}") for name, c in (("low", F.col("q25")), ("high", F.col("q75")), ("factor", F.pow(F.col("q75") / F.col("q25"), F.lit(reach * LENGTH_TIMES))))]
+    return s.groupBy("_lang", "_source").agg(*ends)
 
 
-def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), gamma: float = 1.02, reach: float = 3.0, least: int = 50) -> DataFrame:
+def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), gamma: float = 1.02, reach: float = 3.0, prior: int = 20) -> DataFrame:
     """The carried columns, the counts, base_failed and kept for every row of docs."""
     keep = list(dict.fromkeys([*carry, "lang", "source"]))
     measured = materialise(measure(docs, keep), "counts")
-    f = materialise(fences(sketch(measured, gamma), gamma, reach), "fences")
-    own, lang, every = (f.where(F.col("level") == k).select(*[F.col(c).alias(f"_{k}_{c}") for c in f.columns]) for k in (0, 1, 3))
-    # One row for each (language, source), with the fences of the smallest group that is large enough.
-    rules = own.join(lang, F.col("_0_lang").eqNullSafe(F.col("_1_lang")), "left").join(every, F.lit(3) == F.col("_3_level"), "left")
-    pick = lambda c: F.when(F.col("_0_docs") >= least, F.col(f"_0_{c}")).when(F.col("_1_docs") >= least, F.col(f"_1_{c}")).otherwise(F.col(f"_3_{c}")).alias(f"_{c}")
-    ends = [c for c in f.columns if c.startswith(("low_", "high_"))]
-    rules = materialise(rules.select(F.col("_0_lang").alias("_lang"), F.col("_0_source").alias("_source"), *[pick(c) for c in ends]), "rules")
-    judged = measured.join(rules, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    fine = F.lit(True)
-    for m, (e, low, high, *_) in MEASURES.items():
-        if low:
-            fine = fine & (F.expr(e) >= F.col(f"_low_{m}"))
-        if high:
-            fine = fine & (F.expr(e) <= F.col(f"_high_{m}"))
+    sketches = materialise(sketch(measured, gamma), "sketch")
+    rules = materialise(fences(quartiles(blended(sketches, prior), gamma), reach), "rules")
+    judged = measured.join(few(rules), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    factor = F.greatest(F.col(f"_factor_{LENGTH}"), 1 + reach * LENGTH_DEVIATION / F.sqrt("n_words"))
+    length = F.try_divide("word_chars", "n_words")
+    fine = (length >= F.col(f"_low_{LENGTH}") / factor) & (length <= F.col(f"_high_{LENGTH}") * factor)
+    for m, (count, out_of, _) in MEASURES.items():
+        chance = F.pow(F.sqrt(F.col(out_of) * F.col(f"_usual_{m}") + 0.375) + reach / 2, F.lit(2.0)) - 0.375
+        fine = fine & (F.col(count) <= F.greatest(F.col(out_of) * F.col(f"_high_{m}"), chance))
     judged = judged.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     judged = judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(fine, F.lit(True))))
-    return judged.drop(*[f"_{c}" for c in ("lang", "source", *ends)])
+    return judged.drop(*rules.columns)

@@ -51,7 +51,9 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomrec.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    # The remaining bytes as a text: a cut within a character leaves U+FFFD.
+    return done.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

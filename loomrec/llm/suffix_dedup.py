@@ -15,6 +15,9 @@ between them is long enough. Together this is corpus order, of the strings that
 Strings with no trigger among their first n - core bytes are hashed one by one to 128 bits and travel with the triggers.
 Those of triggers with more than `hot` different contexts are hashed too, counted with partial sums and joined back.
 
+A text's id is a 64-bit hash. A second hash of every text tells whether two texts share one, and those that do, a few in
+10**10 texts, are named by the second hash instead.
+
 Defined results: null text is empty; a text shorter than n loses nothing; texts that occur in several rows lose
 everything if they have n bytes; rows that repeat a doc_id are judged each for itself; an empty table gives an empty
 result; extra columns are ignored.
@@ -24,17 +27,19 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.llm.text import slices
 from loomrec.scratch import materialise, shared_dir
 
 WINDOW = 16  # bytes of a trigger
+BUCKET_BYTES = 24 << 20  # of texts, whose triggers meet in one task
+MOST_SHARED = 10_000  # ids of several texts; chance makes a few
 TABLE = np.random.default_rng(400).integers(0, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
@@ -309,13 +314,27 @@ def compare(contexts: DataFrame, n: int, buckets: int) -> DataFrame:
     return contexts.repartitionById(buckets, bucket).select("core", "cid", "at", "most", "least", "bytes").mapInArrow(run, SPAN)
 
 
-def repeated_spans(docs: DataFrame, n: int = 400, core: int = 80, spacing: int = 56, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+def identified(docs: DataFrame, first: Callable[[Column], Column] = F.xxhash64) -> tuple[Column, int]:
+    """An expression for the id of column text, different for every two texts of docs, and all texts' bytes."""
+    second = F.xxhash64(F.lit("again"), "text")
+    seen = docs.where("text is not null").groupBy(first(F.col("text")).alias("cid")).agg(F.min(second).alias("low"), F.max(second).alias("high"), F.sum(F.octet_length("text")).alias("size"))
+    seen = materialise(seen, "ids")
+    size = seen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shared = [r["cid"] for r in seen.where("low <> high").select("cid").limit(MOST_SHARED + 1).collect()]
+    if len(shared) > MOST_SHARED:
+        raise ValueError(f"more than {MOST_SHARED} ids are shared by several texts")
+    own = first(F.col("text"))
+    return F.when(own.isin(shared), second).otherwise(own) if shared else own, size
+
+
+def repeated_spans(docs: DataFrame, cid: Column, size: int, n: int, core: int, spacing: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(cid, text, copies) of distinct texts, and (cid, spans): their repeated spans, unmerged."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.where("text is not null").select(F.xxhash64("text").alias("cid"), "text").groupBy("cid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-size // BUCKET_BYTES))  # a task's share does not grow with the corpus
+    texts = docs.where("text is not null").select(cid.alias("cid"), "text").groupBy("cid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"texts_{uuid.uuid4().hex[:12]}"
-    texts.write.bucketBy(buckets, "cid").sortBy("cid").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    texts.write.bucketBy(parts, "cid").sortBy("cid").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     texts = spark.table(name)
     long = texts.where(F.octet_length("text") >= n)
     settled = materialise(settle(scan(long, n, core, spacing, buckets), n, buckets, hot), "settled")
@@ -326,9 +345,10 @@ def repeated_spans(docs: DataFrame, n: int = 400, core: int = 80, spacing: int =
     return texts, spans.groupBy("cid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, n: int = 400, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 400, core: int = 80, spacing: int = 56, hot: int = 1024, ident: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; kept are the remaining bytes."""
-    texts, spans = repeated_spans(docs, n, **options)
+    cid, size = identified(docs, ident)
+    texts, spans = repeated_spans(docs, cid, size, n, core, spacing, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -350,6 +370,6 @@ def remove_repeats(docs: DataFrame, n: int = 400, **options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     done = texts.join(spans.hint("merge"), "cid", "left").select("cid", "text", "copies", "spans").mapInArrow(run, "cid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    out = docs.select("doc_id", F.xxhash64("text").alias("_cid"), F.col("text").isNull().alias("_none")).join(done, (F.col("_cid") == F.col("cid")) & ~F.col("_none"), "left")
+    out = docs.select("doc_id", cid.alias("_cid"), F.col("text").isNull().alias("_none")).join(done, (F.col("_cid") == F.col("cid")) & ~F.col("_none"), "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return out.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.coalesce("kept_sha256", nothing).alias("kept_sha256"), "kept")
+    return out.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.coalesce("kept_sha256", nothing).alias("kept_sha256"), F.coalesce("kept", F.lit(b"")).alias("kept"))

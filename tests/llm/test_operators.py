@@ -100,12 +100,77 @@ def test_quality_rules_keep_good_and_drop_bad(spark, sf_dir):
 
 
 def test_sketches_merge(spark):
-    from loomrec.llm.quality_rules import fences, sketch
+    from loomrec.llm.quality_rules import quartiles, sketch
 
     parts = spark.range(2000).select((F.col("id") % 2).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(100).alias("n_words"), (F.col("id") % 100).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(1).alias("n_lines"), F.lit(0).alias("n_upper"), F.lit(0).alias("n_repeat_words"), F.lit(0).alias("n_stutters"), F.lit(500).alias("word_chars"))
-    f = {(r["level"], r["lang"]): r for r in fences(sketch(parts, 1.02), 1.02, 0.0).collect()}
+    f = {(r["level"], r["lang"]): r for r in quartiles(sketch(parts, 1.02), 1.02).where("measure = 'symbols'").collect()}
     assert f[(3, None)]["docs"] == 2000 and f[(0, "0")]["docs"] == 1000
-    assert abs(f[(3, None)]["high_symbols"] - (0.75 + 0.10)) < 0.03
+    assert abs(f[(3, None)]["q75"] - 0.75) < 0.02 and abs(f[(3, None)]["q25"] - 0.25) < 0.02
+
+
+def _verdicts(docs, gamma=1.02, reach=3.0, prior=20.0):
+    """docs: (doc_id, text, lang, source) -> {doc_id: kept}, document by document."""
+    import math
+
+    from loomrec.llm.quality_rules import counts
+
+    rows = [(d, lang, source, counts(t)) for d, t, lang, source in docs]
+    names = ("symbols", "dup_lines", "upper", "stutters", "word_length")
+
+    def parts(c):  # (count, out of) of each measure
+        n, chars, symbols, dup, _, lines, upper, stutters = c
+        return dict(zip(names, ((symbols, n), (dup, lines), (upper, chars), (stutters, n), (chars, n))))
+
+    def bucketed(s, n):
+        return 0.0 if s / n < 1e-6 else gamma ** (math.ceil(math.log(s / n) / math.log(gamma)) - 0.5)
+
+    def quart(group, m, q):
+        v = sorted(bucketed(*parts(c)[m]) for c in group)
+        return v[math.ceil(q * len(v)) - 1]
+
+    some = [r for r in rows if r[3][0]]
+    out = {}
+    for d, lang, source, c in rows:
+        if c[0] < 10 or 100 * c[4] > 20 * c[0]:
+            out[d] = False
+            continue
+        own, wide = [[x[3] for x in some if x[1] == lang and (k or x[2] == source)] for k in (0, 1)]
+        fine = True
+        for m in names:
+            q = []
+            for at in (0.25, 0.75):
+                v = (len(wide) * quart(wide, m, at) + prior * quart([x[3] for x in some], m, at)) / (len(wide) + prior)
+                q.append((len(own) * quart(own, m, at) + prior * v) / (len(own) + prior))
+            s, n = parts(c)[m]
+            if m == "word_length":
+                f, e = (q[1] / q[0]) ** (3 * reach), reach * 0.5 / math.sqrt(n)
+                fine &= q[0] / f * (1 - e) <= s / n <= q[1] * f * (1 + e)
+            else:
+                high = q[1] + reach * (3 if m in ("upper", "stutters") else 1) * (q[1] - q[0])
+                fine &= math.sqrt(s + 0.375) <= math.sqrt(n * high + 0.375) + reach / 2
+        out[d] = fine
+    return out
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "awkward"])
+def test_verdicts(spark, sf_dir, rows, docs, table, monkeypatch):
+    df = docs if table == "awkward" else spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = {r["doc_id"]: r["kept"] for r in queries.op2_quality_rules(spark, "").collect()}
+    assert got == _verdicts([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()])
+
+
+def test_the_same_ratio_in_two_sources(spark):
+    """Signs are usual in one source and unheard of in the other; a source of three documents follows its language."""
+    from loomrec.llm.quality_rules import judge
+
+    def signs(k: int, n: int) -> str:
+        return " ".join(w + "#" * (i < n) * (1 + (n > 100) * 4) for i, w in enumerate(prose(k, 100).split()))
+
+    docs = [(k, signs(k, 10 + k % 40), "en", "code") for k in range(120)] + [(200 + k, signs(k, 0), "en", "prose") for k in range(120)]
+    docs += [(400, signs(400, 45), "en", "code"), (401, signs(401, 45), "en", "prose"), (402, signs(402, 400), "en", "code")] + [(410 + k, signs(k, 20), "fr", "few") for k in range(3)]
+    got = {r["doc_id"]: r["kept"] for r in judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert sorted(d for d, kept in got.items() if not kept) == [401, 402]
 
 
 def test_fences_come_from_the_group(spark):
@@ -211,12 +276,27 @@ def test_inclusion_follows_the_odds(spark):
 
 
 def test_suffix_dedup_small(spark, sf_dir, small):
-    got = collected(queries.op5_suffix_dedup(spark, sf_dir))
-    assert got == sorted(brute.repeats(small), key=repr)
+    out = queries.op5_suffix_dedup(spark, sf_dir)
+    assert collected(out.drop("kept_text")) == sorted(brute.repeats(small), key=repr)
+    whole = {r["doc_id"]: r for r in out.collect()}
+    for d, text in small:
+        left, r = whole[d]["kept_text"], whole[d]
+        assert (left == text) == (r["n_removed"] == 0)
+        assert "\ufffd" in left or len(left.encode()) == r["n_bytes"] - r["n_removed"]
 
 
 def test_suffix_dedup_awkward(spark, tables, rows):
-    assert collected(queries.op5_suffix_dedup(spark, "")) == sorted(brute.repeats([r[:2] for r in rows]), key=repr)
+    assert collected(queries.op5_suffix_dedup(spark, "").drop("kept_text")) == sorted(brute.repeats([r[:2] for r in rows]), key=repr)
+
+
+def test_suffix_dedup_when_ids_meet(spark):
+    """Many texts share the first hash; each is still judged by itself."""
+    from loomrec.llm.suffix_dedup import remove_repeats
+
+    rows = [(k, prose(k % 20, 90) + prose(100 + k % 7, 80)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = remove_repeats(df, ident=lambda t: F.length(t).cast("long") % 3).drop("kept")
+    assert collected(got) == sorted(brute.repeats(rows), key=repr)
 
 
 @pytest.mark.parametrize("hot", [1, 4096])
