@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, cid: Column, size: int, n: int, core: int, s
     return texts, spans.groupBy("cid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, n: int = 400, core: int = 80, spacing: int = 56, hot: int = 1024, ident: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 400, core: int = 80, spacing: int = 56, hot: int = 4096, ident: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; kept are the remaining bytes."""
     cid, size = identified(docs, ident)
     texts, spans = repeated_spans(docs, cid, size, n, core, spacing, hot)

@@ -100,15 +100,20 @@ def test_quality_rules_keep_good_and_drop_bad(spark, sf_dir):
 
 
 def test_sketches_merge(spark):
-    from loomrec.llm.quality_rules import quartiles, sketch
+    from loomrec.llm.quality_rules import merged, quartiles, sketch, spaced
 
     parts = spark.range(2000).select((F.col("id") % 2).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(100).alias("n_words"), (F.col("id") % 100).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(1).alias("n_lines"), F.lit(0).alias("n_upper"), F.lit(0).alias("n_repeat_words"), F.lit(0).alias("n_stutters"), F.lit(500).alias("word_chars"))
-    f = {(r["level"], r["lang"]): r for r in quartiles(sketch(parts, 1.02), 1.02).where("measure = 'symbols'").collect()}
-    assert f[(3, None)]["docs"] == 2000 and f[(0, "0")]["docs"] == 1000
-    assert abs(f[(3, None)]["q75"] - 0.75) < 0.02 and abs(f[(3, None)]["q25"] - 0.25) < 0.02
+    own = sketch(parts, 1.02).where("measure = 'symbols'")
+    every = merged(own).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "measure", "bucket", "n")
+    few = spaced(every, 20, "lang", "source")
+    assert [few.agg(F.sum("n")).first()[0], every.agg(F.sum("n")).first()[0]] == [20, 2000]
+    for s in (every, few):
+        q = quartiles(s, 1.02).first()
+        assert abs(q["q75"] - 0.75) < 0.04 and abs(q["q25"] - 0.25) < 0.04
+    assert {r["docs"] for r in quartiles(own, 1.02).collect()} == {1000}
 
 
-def _verdicts(docs, gamma=1.02, reach=3.0, prior=20.0):
+def _verdicts(docs, gamma=1.02, reach=3.0, prior=20):
     """docs: (doc_id, text, lang, source) -> {doc_id: kept}, document by document."""
     import math
 
@@ -124,9 +129,8 @@ def _verdicts(docs, gamma=1.02, reach=3.0, prior=20.0):
     def bucketed(s, n):
         return 0.0 if s / n < 1e-6 else gamma ** (math.ceil(math.log(s / n) / math.log(gamma)) - 0.5)
 
-    def quart(group, m, q):
-        v = sorted(bucketed(*parts(c)[m]) for c in group)
-        return v[math.ceil(q * len(v)) - 1]
+    def spaced(v):
+        return [sorted(v)[math.ceil((2 * i + 1) * len(v) / (2 * prior)) - 1] for i in range(prior)]
 
     some = [r for r in rows if r[3][0]]
     out = {}
@@ -137,17 +141,16 @@ def _verdicts(docs, gamma=1.02, reach=3.0, prior=20.0):
         own, wide = [[x[3] for x in some if x[1] == lang and (k or x[2] == source)] for k in (0, 1)]
         fine = True
         for m in names:
-            q = []
-            for at in (0.25, 0.75):
-                v = (len(wide) * quart(wide, m, at) + prior * quart([x[3] for x in some], m, at)) / (len(wide) + prior)
-                q.append((len(own) * quart(own, m, at) + prior * v) / (len(own) + prior))
+            mine, language, every = ([bucketed(*parts(x)[m]) for x in group] for group in (own, wide, [x[3] for x in some]))
+            v = sorted(mine + spaced(language + spaced(every)))
+            q = [v[math.ceil(at * len(v)) - 1] for at in (0.25, 0.75)]
             s, n = parts(c)[m]
             if m == "word_length":
-                f, e = (q[1] / q[0]) ** (3 * reach), reach * 0.5 / math.sqrt(n)
-                fine &= q[0] / f * (1 - e) <= s / n <= q[1] * f * (1 + e)
+                f = max((q[1] / q[0]) ** (3 * reach), 1 + reach * 0.5 / math.sqrt(n))
+                fine &= q[0] / f <= s / n <= q[1] * f
             else:
                 high = q[1] + reach * (3 if m in ("upper", "stutters") else 1) * (q[1] - q[0])
-                fine &= math.sqrt(s + 0.375) <= math.sqrt(n * high + 0.375) + reach / 2
+                fine &= s <= max(n * high, (math.sqrt(n * q[1] + 0.375) + reach / 2) ** 2 - 0.375)
         out[d] = fine
     return out
 
