@@ -373,6 +373,51 @@ def test_embeddings(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("block,tile_rows", [(4, 32), (8, 64), (16, 4096)])
+def test_embeddings_in_blocks(spark, block, tile_rows):
+    """Clusters, a large group of near copies over several chunks, a chain, equal vectors: counts and components are whole."""
+    from loomrec.llm.embedding_dedup import near_duplicates
+
+    r = np.random.default_rng(11)
+    base = r.standard_normal((30, 16))
+    x = [base[i % 30] + 0.25 * r.standard_normal(16) for i in range(240)]
+    x += [base[0] + 0.02 * r.standard_normal(16) for _ in range(150)] + [base[1]] * 90
+    a, b = np.eye(16)[:2]
+    x += [np.cos(t) * a + np.sin(t) * b for t in np.arange(0, 3, 0.3)]
+    x = np.asarray(x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    comp = brute.components(range(len(u)), [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near)))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicates(df, block=block, tile_rows=tile_rows).collect())
+    assert got == [(i, int(near[i].sum()), comp[i]) for i in range(len(u))]
+
+
+def test_cells_prune(spark):
+    """Every pair within a block's budget meets in a cell; of clustered vectors few cells are visited."""
+    from loomrec.llm.embedding_dedup import Cells, block_edges, part_of, rotation
+
+    r = np.random.default_rng(2)
+    loose = r.standard_normal((2000, 64))
+    tight = np.repeat(r.standard_normal((20, 64)), 100, 0) + 0.1 * r.standard_normal((2000, 64))
+    visited = []
+    for x in (loose, tight):
+        y = ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(64)).astype(np.float32)
+        for a, z in block_edges(64, 16):
+            part, cells = part_of(0.2, 64, a, z), Cells(y[:, a:z].astype(float), 5)
+            for k in range(32):
+                held = y[cells.home(y[:, a:z]) == k, a:z]
+                cells.low[k], cells.high[k] = held.min(0), held.max(0)
+            row, cell, home = cells.visits(y[:, a:z], part)
+            own = cell[home][np.argsort(row[home])]
+            there = set(zip(row.tolist(), cell.tolist()))
+            d = ((y[:, None, a:z] - y[None, :, a:z]) ** 2).sum(2)
+            for i, j in zip(*np.nonzero(np.triu(d <= part, 1))):
+                assert (i, own[j]) in there or (j, own[i]) in there
+            visited.append(len(row) / (2000 * 16.5))  # of half of all cells, which is what comparing all pairs takes
+    assert max(visited) < 1 and max(visited[4:]) < 0.25
+
+
 def test_embeddings_of_many_lengths(spark):
     from loomrec.llm.embedding_dedup import near_duplicates
 
