@@ -1,14 +1,21 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page is read once into text blocks with the elements around them. A linear classifier over a block's tags, attribute
-words, length, punctuation and links gives log odds of being content, which become capacities to the two terminals.
+A page is read once into text blocks with the elements around them. A logistic classifier over a block's tag, length,
+punctuation, links and attribute words gives log odds of being content, which become capacities to the two terminals.
 Edges for smoothness join blocks that follow one another and blocks that are neighbours under one DOM element. A minimum
 cut then labels the blocks. Blocks whose terminal capacity outweighs all their edges are labelled at once and their
 edges folded into their neighbours' terminals, which changes no minimum cut; maximum flow decides the rest.
 
-Boilerplate words in attributes, and forms, count against all that an element holds, unless it wraps the page: it holds
-most of the text of the page's main or article elements, or, on a page that has none, most of its text. Within a block,
-runs of text in inline elements that are hidden or marked as boilerplate are left out.
+The classifier is fitted to pages that mark their article by an element or a role: blocks within it are content, others
+are not, and the mark itself is no feature. At most `sample_pages` pages and `sample_blocks` blocks of each are used.
+The capacity of a kind of edge is half the log odds that its ends have one label on these pages, so that both kinds of
+capacity are on one scale. Weights and capacities start from those of `DEFAULT`, which hold where no page is marked.
+
+What the result must not hold by its definition has fixed log odds: menus, footers, sidebars, forms and hidden elements
+are never content, nor page headers; words in attributes that name such a part count strongly against all that an
+element holds, unless it wraps the page: it holds most of the text of the page's main or article elements, or, on a page
+that has none, most of its text. Words that may as well belong to an article (legal, related, share) are only features.
+Within a block, runs of text in inline elements that are hidden or marked as boilerplate are left out.
 
 Defined results: null or empty html, or a page without content, gives empty text; broken markup never fails (unclosed
 elements end with their parents, unmatched end tags are ignored); equal pages give equal text; extra columns are
@@ -21,9 +28,14 @@ import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from html import unescape
+from math import log1p
+from operator import mul
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomrec.llm.text import slices
 
@@ -40,36 +52,54 @@ BLOCK = frozenset(
 #: An open element of the value's kinds ends where one of the key begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-#: Log odds of content. Elements and roles that never hold the main text:
+#: Fixed log odds of content. Elements and roles that never hold the main text:
 NEVER = -60.0
 NEVER_TAGS = frozenset("nav footer aside form button select option template svg canvas object dialog menu search head audio video".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
-BASE, PAGE_HEADER, IN_ARTICLE, BESIDE_ARTICLE, HINT_BAD, HINT_GOOD = -0.6, -8.0, 3.0, -3.5, -8.0, 1.0
-PARAGRAPH, HEADING, ITEM, CELL = 1.0, 0.6, -0.2, -0.4
-LINKS, PER_WORD, MOST_WORDS, SENTENCE = -3.0, 0.08, 2.0, 0.4
-BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion promoted banner nav navbar navigation menu sidebar aside "
-    "footer header masthead topbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup social share sharing "
-    "related recommend recommended recommendations comment comments commentlist reply replies respond discussion disqus breadcrumb breadcrumbs pagination pager paging widget "
-    "login register copyright legal disclaimer skip toolbar tags taglist hidden".split()
+PAGE_HEADER, IN_ARTICLE, BESIDE_ARTICLE, NAMED, HINT_GOOD = -8.0, 3.0, -3.5, -12.0, 1.0
+#: Words that name what the text is to be without.
+NAMED_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored nav navbar navigation menu sidebar aside footer header masthead topbar cookie cookies consent "
+    "gdpr notice notification newsletter subscribe subscription signup comment comments commentlist reply replies respond disqus breadcrumb breadcrumbs pagination pager paging".split()
+)
+#: Words that are more often beside an article than in one.
+BESIDE_WORDS = frozenset(
+    "promo promotion promoted banner alert popup modal overlay social share sharing related recommend recommended recommendations discussion widget login register copyright legal "
+    "disclaimer skip toolbar tags taglist hidden".split()
 )
 GOOD_WORDS = frozenset("article content post entry story main body text maincontent articlebody".split())
 #: Sections of these words may hold more text than the article: they wrap a page only if hardly any text is outside.
 THREAD_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus related recommend recommended recommendations".split())
 MOST, NEARLY_ALL = 0.5, 0.9
-#: Capacities of edges: following one another, and so under one element; neighbours under one element; under one grandparent.
-FOLLOWS, FOLLOWS_SAME, SIBLING, COUSIN, NEIGHBOURLY = 0.15, 0.45, 0.45, 0.2, -5.0
+#: A block below this for its elements alone is not content, whatever it says, and says nothing about others.
+NEIGHBOURLY = -5.0
+#: Kinds of edges: following one another, and so under one element; neighbours under one element; under one grandparent.
+FOLLOWS, FOLLOWS_SAME, SIBLING, COUSIN = range(4)
+FEATURES = ("one", "paragraph", "heading", "item", "cell", "words", "links", "sentence", "beside")
+LEAST_CAPACITY, MOST_CAPACITY = 0.05, 1.5
+
+
+class Model(NamedTuple):
+    """A weight for each of FEATURES and a capacity for each kind of edge."""
+
+    weights: tuple[float, ...]
+    capacities: tuple[float, ...]
+
+
+DEFAULT = Model((-1.0, 1.0, 0.6, -0.2, -0.4, 0.55, -3.0, 0.4, -1.0), (0.4, 0.9, 0.9, 0.4))
+#: Of the weights: how firmly DEFAULT holds. The share of content, and how long it is, differ from page to page.
+PRECISIONS = (10.0, 1.0, 1.0, 1.0, 1.0, 10.0, 1.0, 1.0, 1.0)
 
 
 class Element:
     """hard and soft are an element's own log odds, bias those of all elements around it too; soft ones fall away from
     elements that wrap the page (`settle`)."""
 
-    __slots__ = ("tag", "hard", "soft", "thread", "marked", "article", "link", "parent", "block", "bias", "mute", "size", "main_size")
+    __slots__ = ("tag", "hard", "soft", "thread", "beside", "doubtful", "marked", "article", "link", "parent", "block", "bias", "mute", "size", "main_size")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.parent = tag, parent
-        self.article, self.link = (parent.article, parent.link) if parent else (False, False)
+        self.article, self.link, self.beside = (parent.article, parent.link, parent.beside) if parent else (False, False, False)
         self.hard = self.soft = self.bias = self.mute = 0.0
         self.thread = False
         self.size = self.main_size = 0
@@ -86,19 +116,21 @@ class Element:
             self.hard += PAGE_HEADER
         if attributes and not attributes.isspace():
             self._read(attributes)
-        #: The outermost element that marks the article.
+        #: The outermost element that marks the article; it is in doubt within an element that is named as beside one.
         self.marked = self.article and not (parent and parent.article)
+        self.doubtful = self.beside if self.marked else bool(parent and parent.doubtful)
 
     def _read(self, attributes: str) -> None:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
             if name in ("class", "id", "itemprop", "aria-label") and self.tag not in ("html", "body", "article", "main"):
                 found = set(WORDS.findall(value))
-                bad = found & BAD_WORDS
+                bad = found & NAMED_WORDS
+                self.beside |= bool(found & BESIDE_WORDS)
                 if bad == {"header"} and (self.article or found & GOOD_WORDS):  # an article's own head
                     continue
                 if bad:
-                    self.soft += HINT_BAD
+                    self.soft += NAMED
                     self.thread |= bool(bad & THREAD_WORDS)
                 elif found & GOOD_WORDS and name in ("class", "id"):
                     self.hard += HINT_GOOD
@@ -135,9 +167,9 @@ def settle(elements: list[Element], runs: list[tuple[Element, int]]) -> None:
         e.bias = e.hard + e.soft + (e.parent.bias if e.parent else 0.0)
 
 
-def blocks(html: str) -> tuple[list[str], list[float], list[Element]]:
-    """Texts of the page's blocks in order, their log odds, and the element around each."""
-    texts, odds, around = [], [], []
+def blocks(html: str) -> tuple[list[str], list[tuple[float, ...]], list[Element]]:
+    """Texts of the page's blocks in order, their features, and the element around each."""
+    texts, rows, around = [], [], []
     top = Element("html", "", None)
     elements = [top]
     part: list[tuple[str, Element]] = []
@@ -217,22 +249,25 @@ def blocks(html: str) -> tuple[list[str], list[float], list[Element]]:
         text = " ".join("".join([t for t, _ in runs]).split())
         if not text:
             continue
-        n, linked = text.count(" ") + 1, sum(len(t) for t, e in runs if e.link)
-        value = BASE + near.bias + IN_ARTICLE * near.article + LINKS * min(1.0, linked / len(text)) + min(MOST_WORDS, PER_WORD * n)
-        tag = near.tag
-        value += PARAGRAPH if tag in ("p", "blockquote", "pre") else HEADING if tag[0] == "h" and tag[1:].isdigit() else ITEM if tag in ("li", "dt", "dd") else CELL if tag in ("td", "th") else 0.0
-        if text[-1] in ".!?:;…。\"'”»)" and n > 2:
-            value += SENTENCE
+        n, linked, tag = text.count(" ") + 1, sum(len(t) for t, e in runs if e.link), near.tag
+        kinds = (tag in ("p", "blockquote", "pre"), tag[0] == "h" and tag[1:].isdigit(), tag in ("li", "dt", "dd"), tag in ("td", "th"))
+        sentence = n > 2 and text[-1] in ".!?:;…。\"'”»)"
         texts.append(text)
-        odds.append(value)
+        rows.append((1.0, *map(float, kinds), min(5.0, log1p(n)), min(1.0, linked / len(text)), float(sentence), float(near.beside)))
         around.append(near)
-    if any(e.article for e in around):  # a page that marks its article has little else to say
-        odds = [o if e.article else o + BESIDE_ARTICLE for o, e in zip(odds, around)]
-    return texts, odds, around
+    return texts, rows, around
+
 
+def log_odds(rows: list[tuple[float, ...]], around: list[Element], weights: tuple[float, ...]) -> list[float]:
+    """Log odds of content: the classifier's, the elements' own, and the page's mark of its article."""
+    sure, marked = (any(e.article and not e.doubtful * k for e in around) for k in (1, 0))
+    # A page that marks its article has little else to say.
+    mark = [IN_ARTICLE if e.article and not (e.doubtful and sure) else BESIDE_ARTICLE * marked for e in around]
+    return [sum(map(mul, weights, x)) + e.bias + m for x, e, m in zip(rows, around, mark)]
 
-def neighbours(around: list[Element]) -> list[tuple[int, int, float]]:
-    """Edges (i, j, capacity) by order and by DOM proximity. What is never content says nothing about others."""
+
+def neighbours(around: list[Element]) -> list[tuple[int, int, int]]:
+    """Edges (i, j, kind) by order and by DOM proximity."""
     edges, last, older = [], {}, {}
     for i, e in enumerate(around):
         if e.mute < NEIGHBOURLY:
@@ -240,9 +275,9 @@ def neighbours(around: list[Element]) -> list[tuple[int, int, float]]:
         box, out = id(e.parent), id(e.parent.parent) if e.parent else 0
         if i and around[i - 1].mute >= NEIGHBOURLY:
             edges.append((i - 1, i, FOLLOWS_SAME if around[i - 1].parent is e.parent else FOLLOWS))
-        for seen, key, capacity in ((last, box, SIBLING), (older, out, COUSIN)):
+        for seen, key, kind in ((last, box, SIBLING), (older, out, COUSIN)):
             if key in seen and seen[key] != i - 1:
-                edges.append((seen[key], i, capacity))
+                edges.append((seen[key], i, kind))
             seen[key] = i
     return edges
 
@@ -301,21 +336,75 @@ def _source_side(odds: dict[int, float], near: dict[int, dict[int, float]]) -> s
             room[j][i] = room[j].get(i, 0.0) + flow
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    texts, odds, around = blocks(html)
-    labels = minimum_cut(odds, neighbours(around))
+def labelled(html: str | None, model: Model = DEFAULT) -> tuple[list[str], list[float], list[bool]]:
+    """The blocks' texts, log odds and labels."""
+    texts, rows, around = blocks(html or "")
+    odds = log_odds(rows, around, model.weights)
+    return texts, odds, minimum_cut(odds, [(i, j, model.capacities[kind]) for i, j, kind in neighbours(around)])
+
+
+def main_text(html: str | None, model: Model = DEFAULT) -> str:
+    texts, _, labels = labelled(html, model)
     return "\n".join(t for t, keep in zip(texts, labels) if keep)
 
 
-def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The carried columns, text and n_chars for every page."""
+def examples(html: str | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a marked page's blocks, at most so many, evenly spaced: features with what words in attributes add to the log odds
+    last, and labels; edges by kind and whether labels agree."""
+    _, rows, around = blocks(html or "")
+    y = np.asarray([e.article and not e.doubtful and e.bias > NEIGHBOURLY for e in around], bool)
+    edges = np.zeros((4, 2), np.int64)
+    if not y.any():
+        return np.zeros((0, len(FEATURES) + 1)), y[:0], edges
+    for i, j, kind in neighbours(around):
+        edges[kind, int(y[i] == y[j])] += 1
+    at = np.unique(np.linspace(0, len(y) - 1, min(most, len(y))).astype(int))
+    return np.column_stack([rows, [e.bias - e.mute for e in around]])[at], y[at], edges
+
+
+def fitted(x: np.ndarray, y: np.ndarray, edges: np.ndarray, rounds: int = 20, evidence: float = 200.0) -> Model:
+    """The most likely weights under a normal prior around DEFAULT; capacities from the edges that agree.
+
+    Pages of one template say the same again and again, so all blocks, and all edges, weigh as `evidence` ones at most."""
+    x, given = x[:, :-1], x[:, -1]
+    start, firm = np.asarray(DEFAULT.weights), np.asarray(PRECISIONS)
+    w, each = start.copy(), min(1.0, evidence / max(len(y), 1))
+    edges = edges * min(1.0, evidence / max(int(edges.sum()), 1))
+    for _ in range(rounds):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w + given, -30, 30)))
+        step = np.linalg.solve(each * (x.T * (p * (1 - p))) @ x + np.diag(firm), each * x.T @ (y - p) - firm * (w - start))
+        w = w + step / max(1.0, np.abs(step).max())
+    usual = 1 / (1 + np.exp(-2 * np.asarray(DEFAULT.capacities)))
+    agree = 0.5 * np.log((edges[:, 1] + 10 * usual) / (edges[:, 0] + 10 * (1 - usual)))  # as if ten edges were known
+    return Model(tuple(w.tolist()), tuple(np.clip(agree, LEAST_CAPACITY, MOST_CAPACITY).tolist()))
+
+
+def fit(pages: DataFrame, sample_pages: int = 2000, sample_blocks: int = 100) -> Model:
+    """The model of a sample of pages, chosen by a hash of their html."""
+    share = min(1.0, 2.0 * sample_pages / max(pages.count(), 1))
+    key = F.xxhash64("html")
+    some = pages.where(F.pmod(key, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("html", key.alias("key")).orderBy("key", "html").limit(sample_pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            found = [examples(h, sample_blocks) for h in b.column(0).to_pylist()]
+            cols = [[x.astype("<f8").tobytes() for x, _, _ in found], [y.astype("<u1").tobytes() for _, y, _ in found], [e.astype("<i8").tobytes() for *_, e in found]]
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "x", "y", "edges"])
+
+    rows = sorted(some.mapInArrow(run, "key long, x binary, y binary, edges binary").collect())  # at most sample_pages
+    x, y = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("x", "<f8"), ("y", "<u1")))
+    edges = sum((np.frombuffer(r["edges"], "<i8").reshape(4, 2) for r in rows), np.zeros((4, 2), np.int64))
+    return fitted(x.reshape(-1, len(FEATURES) + 1), y.astype(float), edges)
+
+
+def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), model: Model | None = None) -> DataFrame:
+    """The carried columns, text and n_chars for every page; the model is fitted to the pages unless given."""
     kinds = dict(pages.dtypes)
+    model = model or fit(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            found = [main_text(h) for h in b.column(b.num_columns - 1).to_pylist()]
+            found = [main_text(h, model) for h in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=[*carry, "text", "n_chars"])
 
     return pages.select(*carry, "html").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "text string", "n_chars long"]))

@@ -506,6 +506,8 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and len(got) == 1 + len(odd)
     assert got[11]["text"] == ("plain words " * 20).strip()
     assert extract(df.limit(0)).collect() == []
+    long = spark.createDataFrame([(k, "u", f"<article>{'<p>' + LONG + '.</p>'}" * 3000) for k in (5, 5)], "page_id long, url string, html string")
+    assert [(r["page_id"], r["text"]) for r in extract(long).collect()] == [(5, "\n".join([f"{LONG}."] * 3000))] * 2
 
 
 STORY = "".join(f"<p>{prose(k, 40)}.</p>" for k in range(4))
@@ -532,6 +534,91 @@ def test_html_wrappers(html, want):
     assert main_text(f"<html><body>{html}</body></html>") == want
 
 
+LONG = prose(70, 30)
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><h1>Legal news</h1><div class='legal'><p>The court ruled on Monday that it holds.</p></div></article>", "Legal news\nThe court ruled on Monday that it holds."),
+        (f"<h1>Study</h1><div class='related-work'><p>{LONG}.</p><p>{LONG}!</p></div>", f"Study\n{LONG}.\n{LONG}!"),
+        (f"<article><p>{LONG}.</p><section class='comments'><p>{LONG}, said a reader.</p></section></article>", f"{LONG}."),
+        (f"<div class=cookie-notice><p>We use cookies, {LONG}.</p></div><div><p>{LONG}.</p><p>{LONG}.</p></div>", f"{LONG}.\n{LONG}."),
+    ],
+)
+def test_html_words_in_attributes(html, want, fitted):
+    from loomrec.llm.html_extract import DEFAULT, main_text
+
+    assert main_text(f"<html><body>{html}</body></html>", _fitted() if fitted else DEFAULT) == want
+
+
+def _page(r: random.Random) -> tuple[str, str]:
+    """A page that marks its article, and the article's text."""
+    said = lambda n: prose(r.randrange(10**6), n)
+    told = [said(6), *(f"{said(r.randrange(4, 60))}." for _ in range(r.randrange(2, 8)))]
+    box, end = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div role=main><div>", "</div></div>")])
+    menu = "".join(f"<li><a href=/{k}>{said(1)}</a>" for k in range(r.randrange(1, 7)))
+    side = [f"<div class=ad>{said(9)}.</div>", f"<nav><ul>{menu}</ul></nav>", f"<div class='comments'><p>{said(30)}.</p></div>", f"<aside><p>{said(20)}.</p></aside>", f"<ul class=links>{menu}</ul>"]
+    r.shuffle(side)
+    at = r.randrange(len(side))
+    body = f"<h1>{told[0]}</h1>" + "".join(f"<p>{t}</p>" for t in told[1:])
+    return f"<html><body>{''.join(side[:at])}{box}{body}{end}{''.join(side[at:])}<footer>{said(5)}</footer></body></html>", "\n".join(told)
+
+
+def _fitted():
+    from loomrec.llm.html_extract import examples, fitted
+
+    found = [examples(_page(random.Random(k))[0], 100) for k in range(60)]
+    return fitted(np.concatenate([x for x, _, _ in found]), np.concatenate([y for _, y, _ in found]).astype(float), sum(e for *_, e in found))
+
+
+def test_html_generated_pages(spark):
+    """Pages with marks are read back whole by the model that they fit, and nearly all of them without their marks."""
+    from loomrec.llm.html_extract import DEFAULT, extract, fit, main_text
+
+    pages = [_page(random.Random(k)) for k in range(60)]
+    df = spark.createDataFrame([(k, "u", h) for k, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    model = fit(df.repartition(5))
+    assert np.allclose(model.weights, _fitted().weights) and np.allclose(model.capacities, _fitted().capacities)
+    assert [r["text"] for r in extract(df).orderBy("page_id").collect()] == [t for _, t in pages]
+    bare = [(h.replace("<article>", "<div>").replace("</article>", "</div>").replace("<main>", "<div>").replace("</main>", "</div>").replace(" role=main", ""), t) for h, t in pages]
+    assert sum(main_text(h, model) == t for h, t in bare) >= 57
+    assert np.allclose(fit(df.limit(0)).weights, DEFAULT.weights) and np.allclose(fit(df.limit(0)).capacities, DEFAULT.capacities)
+
+
+def test_html_neighbours_decide():
+    """A short block among paragraphs, and one paragraph-like line among links, take their neighbours' label."""
+    from loomrec.llm.html_extract import labelled, minimum_cut
+
+    changed = 0
+    for html, want in [
+        (f"<div><p>{LONG}.</p><div>Figure 2</div><p>{LONG}.</p></div><footer>f</footer>", [True, True, True, False]),
+        (f"<article><p>{LONG}.</p></article><div>" + "".join(f"<div><a href={k}>{prose(k, 3)}</a></div>" for k in range(4)) + "</div>", [True] + [False] * 4),
+    ]:
+        texts, odds, labels = labelled(html)
+        assert labels == want
+        changed += sum((o > 0) != x for o, x in zip(odds, labels))
+    assert changed > 0
+    assert minimum_cut([-0.4, 3.0, 3.0], [(0, 1, 0.9), (1, 2, 0.9)]) == [True, True, True]
+
+
+def test_html_model_is_the_best():
+    """No small step away from the fitted weights makes the labels and the prior more likely."""
+    from loomrec.llm.html_extract import DEFAULT, PRECISIONS, fitted
+
+    r = np.random.default_rng(3)
+    x = np.column_stack([np.ones(150), r.random((150, 8))])
+    y = (x @ r.standard_normal(9) + r.standard_normal(150) > 0).astype(float)
+    given = r.choice([0.0, -2.0], 150)
+    w = np.asarray(fitted(np.column_stack([x, given]), y, np.zeros((4, 2))).weights)
+
+    def loss(w):
+        return np.log1p(np.exp(np.where(y > 0, -1, 1) * (x @ w + given))).sum() + 0.5 * (PRECISIONS * (w - DEFAULT.weights) ** 2).sum()
+
+    assert all(loss(w) <= loss(w + d) + 1e-9 for k in range(9) for d in (0.01 * np.eye(9)[k], -0.01 * np.eye(9)[k]))
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_minimum_cut(seed):
     from loomrec.llm.html_extract import minimum_cut
