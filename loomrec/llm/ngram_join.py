@@ -1,6 +1,7 @@
 """N-gram Jaccard join with signature trees.
 
-Texts become sets of hashed word shingles; equal sets are one class (its id is a 64-bit hash of the set). Two sets of
+Texts become sets of hashed word shingles; equal sets are one class (its id is a 64-bit hash of the set, or a second one
+where several sets share the first). Two sets of
 Jaccard similarity at least 0.75 share a shingle among the first n - ceil(3n/4) + 1 of each under any common order, so
 only such prefixes are grouped. The order puts shingles that are common in the corpus last, which keeps groups small;
 as any order is exact, its list of common shingles may be bounded.
@@ -22,7 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from loomrec.llm.text import slices
 from loomrec.scratch import materialise
 
 MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, 32, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BUCKET_SHINGLES = 4_000_000  # of sets, about a quarter of which meet in one task as prefixes
+MOST_SHARED = 10_000  # ids of several sets; chance makes a few
 _hashes: dict[bytes, int] = {}
 
 
@@ -63,12 +66,33 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def class_id(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def set_hash(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
-def common_shingles(docs: DataFrame, most: int, n: int) -> np.ndarray:
-    """At most `most` shingles that recur within tasks, least common first: what every task counts is summed up over all."""
+def second_hash(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw, seed=1) - (1 << 63)
+
+
+class Names:
+    """Ids of sets: a 64-bit hash, or a second one where the first is shared by several sets."""
+
+    def __init__(self, first: Callable[[bytes], int] = set_hash, shared: frozenset[int] = frozenset()):
+        self.first, self.shared = first, shared
+
+    def __call__(self, tokens: np.ndarray) -> int:
+        raw = tokens.tobytes()
+        name = self.first(raw)
+        return second_hash(raw) if name in self.shared else name
+
+
+SEEN = "doc_id long, n_shingles long, class long, second long, bits binary, tokens binary, times binary"
+
+
+def scanned(docs: DataFrame, n: int, names: Names) -> DataFrame:
+    """One pass over the texts: a row (doc_id, n_shingles, class, second, bits) for every document, and rows (tokens,
+    times) of packed shingles that recur among the different sets that a task has seen for a while."""
+    schema = pa.schema([(c, k) for c, k in zip(("doc_id", "n_shingles", "class", "second", "bits", "tokens", "times"), [pa.int64()] * 4 + [pa.binary()] * 3)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
@@ -76,24 +100,43 @@ def common_shingles(docs: DataFrame, most: int, n: int) -> np.ndarray:
         def counted():
             tokens, times = np.unique(np.concatenate(held), return_counts=True)
             some = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(times[some])], names=["token", "times"])
+            packed = [tokens[some].tobytes(), times[some].astype(np.int64).tobytes()]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, schema.field(k).type) for k in range(5)), *(pa.array([x], pa.binary()) for x in packed)], schema=schema)
 
         for b in slices(batches, 256):
-            for text in b.column(0).to_pylist():
-                tokens = shingles(text, n)
-                key = class_id(tokens)
-                if key in seen:
-                    continue
-                seen.add(key)
-                held.append(tokens)
-                size += len(tokens)
-                if size > 1_000_000:
-                    yield counted()
-                    seen, held, size = set(), [], 0
+            sets = [shingles(t, n) for t in b.column(1).to_pylist()]
+            keys = [names(s) if len(s) else None for s in sets]
+            cols = [
+                b.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(keys, pa.int64()),
+                pa.array([second_hash(s.tobytes()) if len(s) else None for s in sets], pa.int64()),
+                pa.array([bitmap(s, width(len(s))) if len(s) else None for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(sets), pa.binary()) for _ in range(2))], schema=schema)
+            for key, tokens in zip(keys, sets):
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    held.append(tokens)
+                    size += len(tokens)
+            if size > 1_000_000:
+                yield counted()
+                seen, held, size = set(), [], 0
         if held:
             yield counted()
 
-    found = docs.select("text").mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    return docs.select("doc_id", "text").mapInArrow(run, SEEN)
+
+
+def common_shingles(passed: DataFrame, most: int) -> np.ndarray:
+    """At most `most` shingles that recur within tasks, least common first: what every task counts is summed up over all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(k, np.int64))], names=["token", "times"])
+
+    found = passed.where("tokens is not null").select("tokens", "times").mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     top = found.orderBy(F.desc("times"), "token").limit(most).toArrow()
     return top["token"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
@@ -112,31 +155,11 @@ def prefix(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarr
     return np.concatenate([rare, rest[np.argsort(rank[at[is_common]])][: want - len(rare)]])
 
 
-def classified(docs: DataFrame, n: int) -> DataFrame:
-    """A row (doc_id, n_shingles, class, bits) for every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            sets = [shingles(t, n) for t in b.column(1).to_pylist()]
-            some = [len(s) > 0 for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([class_id(s) if k else None for s, k in zip(sets, some)], pa.int64()),
-                    pa.array([bitmap(s, width(len(s))) if k else None for s, k in zip(sets, some)], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "class", "bits"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary")
-
-
-def prefixes(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataFrame:
+def prefixes(docs: DataFrame, common: np.ndarray, buckets: int, n: int, names: Names) -> DataFrame:
     """Rows (bucket, tokens, classes) of packed prefixes."""
     order = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[order], order))  # bounded by common_shingles' `most`
-    names = ["bucket", "tokens", "classes"]
+    columns = ["bucket", "tokens", "classes"]
     kinds = [pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +173,12 @@ def prefixes(docs: DataFrame, common: np.ndarray, buckets: int, n: int) -> DataF
             t, c, bucket = t[by], c[by], bucket[by]
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(t)]
             rows = [(int(bucket[a]), t[a:z].tobytes(), c[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=columns)
 
         for b in slices(batches, 256):
             for text in b.column(0).to_pylist():
                 tokens = shingles(text, n)
-                key = class_id(tokens) if len(tokens) else None
+                key = names(tokens) if len(tokens) else None
                 if key is not None and key not in seen:
                     seen.add(key)
                     parts.append(prefix(tokens, common, rank))
@@ -297,8 +320,10 @@ def unsettled(groups: DataFrame, parts: DataFrame) -> DataFrame:
     return groups.join(open_, "group")
 
 
-def may_be_similar(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): classes of a group, as connected as the pairs whose bitmaps allow Jaccard 0.75."""
+def may_be_similar(groups: DataFrame, classes: DataFrame, most: int = 20_000) -> DataFrame:
+    """(a, b): classes of a group, as connected as the pairs whose bitmaps allow Jaccard 0.75.
+
+    A group of more than `most` classes is dealt over tasks that each hold two parts of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -314,16 +339,22 @@ def may_be_similar(groups: DataFrame, classes: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for g, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if g != group:
+            for g, i, j, *row in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if (g, i, j) != group:
                     out += linked()
-                    group, held = g, []
+                    group, held = (g, i, j), []
                 held.append(row)
             yield sent(list(set(out)))
         yield sent(linked())
 
-    rows = groups.join(classes, "class").select("group", "class", "n_shingles", "bits")
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    large = materialise(groups.groupBy("group").agg(F.count("*").alias("k")).where(F.col("k") > most).select("group", F.ceil(2 * F.col("k") / most).cast("int").alias("parts")), "large_groups")
+    dealt = groups.join(few(large, 200_000), "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.hash("class"), F.col("parts")))
+    # With two parts or more, a part's classes meet among themselves wherever it meets another part.
+    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
+    dealt = dealt.withColumn("other", F.explode(other)).select("group", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.join(classes, "class").select("group", "i", "j", "class", "n_shingles", "bits")
+    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
 
 
 class Node:
@@ -431,32 +462,42 @@ def search(members: DataFrame, *keys: str) -> DataFrame:
     return members.groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int = 1_000_000) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int = 1_000_000, group: int = 20_000, ident: Callable[[bytes], int] = set_hash) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs: documents linked at Jaccard 0.75 or more."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = materialise(shared_prefixes(prefixes(docs, common_shingles(docs, common, n), buckets, n), buckets), "groups")
-    every = materialise(classified(docs, n), "classified")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    passed = materialise(scanned(docs, n, Names(ident)), "scanned")
+    every = passed.where("tokens is null")
+    shared = every.where("class is not null").groupBy("class").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high")
+    shared = frozenset(r["class"] for r in shared.select("class").limit(MOST_SHARED + 1).collect())
+    if len(shared) > MOST_SHARED:
+        raise ValueError(f"more than {MOST_SHARED} ids are shared by several sets")
+    names = Names(ident, shared)
+    if shared:
+        every = every.withColumn("class", F.when(F.col("class").isin([*shared]), F.col("second")).otherwise(F.col("class")))
+    total = every.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(parts, -(-total // BUCKET_SHINGLES))  # a task's share does not grow with the corpus
+    groups = materialise(shared_prefixes(prefixes(docs, common_shingles(passed, common), buckets, n, names), buckets), "groups")
     classes = every.where("class is not null").select("class", "n_shingles", "bits")
     classes = classes.join(few(groups.select("class").distinct(), 200_000), "class", "left_semi").dropDuplicates(["class"])
     classes = materialise(classes, "classes")
     every = every.select("doc_id", "n_shingles", "class")
     first = materialise(first_pairs(groups, classes), "first_pairs")
     parts = materialise(components(first).withColumnRenamed("id", "class"), "first_parts")
-    clusters = components(first.unionByName(may_be_similar(unsettled(groups, parts), classes)))
+    clusters = components(first.unionByName(may_be_similar(unsettled(groups, parts), classes, group)))
     clusters = materialise(clusters.select(F.col("id").alias("class"), F.col("root").alias("cluster")), "clusters")
 
     # The sets themselves, for one document of each class in a cluster; large clusters are dealt over blocks by hash.
     large = clusters.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > block)
     large = materialise(large.select("cluster", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "large")
     first = every.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    first = materialise(first, "first")
     wanted = materialise(first.join(clusters, "class").join(few(large), "cluster", "left").select("doc_id", "class", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks")), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             texts, classes = b.column(3).to_pylist(), b.column(0).to_pylist()
             tokens = [shingles(t, n) for t in texts]
-            same = [len(t) > 0 and class_id(t) == c for t, c in zip(tokens, classes)]  # not so if an id has several texts
+            same = [len(t) > 0 and names(t) == c for t, c in zip(tokens, classes)]  # not so if an id has several texts
             keep = pa.array(same)
             cols = [b.column(i).filter(keep) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([t.tobytes() for t, s in zip(tokens, same) if s], pa.binary())], names=["class", "cluster", "blocks", "tokens"])
@@ -487,7 +528,10 @@ def similar_documents(docs: DataFrame, n: int = 5, block: int = 128, common: int
         residents = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         links = links.unionByName(search(residents.unionByName(visitors), "cluster", "block", "chunk"))
 
-    roots = components(links).select(F.col("id").alias("class"), "root")
-    every = every.join(roots, "class", "left").withColumn("_of", F.coalesce("root", "class"))
-    least = every.where("_of is not null").groupBy("_of").agg(F.min("doc_id").alias("component_id"))
-    return every.join(least, "_of", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Components by class, so that a component of many documents is no key of a join; only equal texts share one.
+    roots = materialise(components(links).select(F.col("id").alias("class"), "root"), "roots")
+    linked = first.join(roots, "class")
+    linked = linked.join(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("class", "component_id")
+    of = materialise(first.join(linked, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    some = every.where("class is not null").join(of, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return some.unionByName(every.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

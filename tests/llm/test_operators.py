@@ -341,8 +341,8 @@ def test_ngram_join_in_blocks(spark):
     slide = prose(8, 400).split()
     rows += [(200 + i, " ".join(slide[5 * i : 5 * i + 60])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for common in (1_000_000, 1):
-        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in similar_documents(df, block=8, common=common).collect()}
+    for options in ({"group": 6}, {"common": 1, "ident": lambda raw: len(raw) % 5}):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in similar_documents(df, block=8, **options).collect()}
         assert got == brute.jaccard(rows)
 
 
