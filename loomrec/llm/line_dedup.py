@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from loomrec.llm.mixing import few
 from loomrec.scratch import materialise, shared_dir
 
+BATCH_DOCS = 50_000_000
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,9 +98,11 @@ def _keys(text: Column, min_chars: int) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: F.length(k) >= min_chars)
 
 
-def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int | None, fanout: int) -> DataFrame:
     """(doc_id, h1, h2): the lines that a document loses."""
     ids = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    if batches is None:  # more for a larger input, so that a batch stays of a size that one sort can take
+        batches = 4 + int(ids.count() // BATCH_DOCS)
     cuts = ids.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     batch = F.lit(0)
@@ -119,7 +122,7 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
     return found.where("doc_id < holder").join(enough, ["h1", "h2"]).select("doc_id", "h1", "h2")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 2) -> DataFrame:
     """docs with two more columns: kept_text, the lines that stay joined by \\n, and n_dropped.
 
     A line key of at least min_chars characters found in at least min_docs documents stays in the largest doc_id alone."""

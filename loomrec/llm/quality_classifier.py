@@ -6,7 +6,8 @@ bin, and trees are complete binary trees stored as flat arrays, so that scoring
 
 Defined results: null or empty text has all-zero statistics and gets a score like any other; without usable labels, or
 with one class only, every score is the smoothed share of label 1; rows with a null label are left out; several labels
-of one id count as their largest; equal texts get equal scores; extra columns are ignored.
+of one id count as their largest; a labelled id that several rows repeat is fitted by its smallest text; equal texts get
+equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,15 +110,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label:
     """Fit on at most sample_rows labelled documents."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     part = min(1.0, 0.95 * sample_rows / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(part * 1_000_000))).limit(sample_rows)
-    rows = docs.join(few(known, sample_rows), "doc_id").select("doc_id", "y", "text")
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # A doc_id that several rows repeat is one labelled row: its smallest text.
+    rows = docs.join(few(known, sample_rows), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.float64()), pa.array([statistics(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    found = rows.mapInArrow(run, "doc_id long, y double, x array<double>").limit(2 * sample_rows).toPandas()
-    found = found.assign(key=found["x"].map(tuple)).sort_values(["doc_id", "key"])
+    found = rows.mapInArrow(run, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id")
     x = np.asarray(found["x"].tolist(), float).reshape(-1, N_FEATURES)
     return fit(x, found["y"].to_numpy(float))
 

@@ -656,6 +656,30 @@ def test_classifier_awkward(spark, docs, rows):
     assert ((fit(x, y).score(x) > 0.5) == y).mean() > 0.9
 
 
+def test_trees_score_as_walked():
+    from loomrec.llm.quality_classifier import fit
+
+    r = np.random.default_rng(4)
+    x = r.standard_normal((300, 4))
+    trees = fit(x, (x[:, 0] + x[:, 2] ** 2 > 0.5).astype(float), rounds=20, depth=3)
+    for row, got in zip(x, trees.score(x)):
+        total = trees.base
+        for feature, edge, value in zip(trees.feature.tolist(), trees.edge.tolist(), trees.value.tolist()):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > edge[node] else 1)
+            total += value[node - len(feature)]
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-12
+    assert trees.score(x[:0]).shape == (0,)
+
+
+def test_classifier_of_no_documents(spark, docs):
+    from loomrec.llm.quality_classifier import score, train
+
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    assert score(docs.limit(0), train(docs.limit(0), labels)).collect() == []
+
+
 def test_empty_tables(spark, nothing):
     for name in ("op1_ngram_join", "op2_quality_rules", "op3_best_fit_packing", "op4_source_mixing", "op5_suffix_dedup", "op10_line_dedup"):
         assert queries.QUERIES[name](spark, "").collect() == [], name
