@@ -68,8 +68,10 @@ def parsed_snippets(texts: DataFrame) -> DataFrame:
     """user_id, snippets: node id -> the rest of its line, from numbered lines '1. [Item-5] ...'."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"^\d+\. \[(Item|User)-\d+\]"))
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"\[((?:Item|User)-\d+)\]", 1).alias("k"), F.regexp_replace(x, r"^\d+\. \[(?:Item|User)-\d+\] ?", "").alias("v")))
-    last = F.filter(pairs, lambda p: p["k"] != "")
-    return texts.select("user_id", F.map_from_entries(F.array_distinct(last)).alias("snippets"))
+    held = texts.select("user_id", F.filter(pairs, lambda p: p["k"] != "").alias("_p"))
+    # Of several lines of a node the last counts.
+    last = F.filter("_p", lambda p, i: ~F.exists(F.slice("_p", i + 2, F.size("_p")), lambda q: q["k"] == p["k"]))
+    return held.select("user_id", F.map_from_entries(last).alias("snippets"))
 
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -132,6 +134,15 @@ def collaborative_summary(facets: DataFrame) -> DataFrame:
     return text.select("user_id", F.when(F.length("text") > 500, F.concat(F.substring("text", 1, 500), F.lit("..."))).otherwise(F.col("text")).alias("summary"))
 
 
+def candidate_explanations(candidates: DataFrame, notes: DataFrame) -> DataFrame:
+    """candidates (user_id, item_id) with explanation, from notes (user_id, item_id, nth, fit, rationale): the first note of
+    a candidate, or that it comes from collaborative signals."""
+    first = notes.groupBy("user_id", "item_id").agg(F.min_by(F.struct("fit", "rationale"), "nth").alias("_n"))
+    told = F.format_string("Item %d (fit: %.2f): %s", F.col("item_id"), F.coalesce(F.col("_n.fit"), F.lit(0.0)), F.coalesce(F.col("_n.rationale"), F.lit("")))
+    none = F.format_string("Item %d is recommended based on collaborative signals.", F.col("item_id"))
+    return candidates.join(first, ["user_id", "item_id"], "left").withColumn("explanation", F.when(F.col("_n").isNull(), none).otherwise(told)).drop("_n")
+
+
 def pluggable(requests: DataFrame, step, schema: str) -> DataFrame:
     """Run a batch model step: a callable from an iterator of pandas frames to an iterator of frames of the schema."""
     return requests.mapInPandas(step, schema)

@@ -37,12 +37,14 @@ def _node(raw) -> str | None:
 
 
 def _confidence(raw) -> float:
+    """A number from 0 to 1: numbers are clipped, texts may be percentages, anything else is 0.5."""
+    share = isinstance(raw, str) and "%" in raw
     if isinstance(raw, str):
-        m = re.search(r"-?\d+(\.\d+)?", raw)
-        raw = float(m[0]) / (100 if "%" in raw else 1) if m else 0.5
-    if isinstance(raw, bool) or not isinstance(raw, (int, float)) or raw != raw:
-        return float(raw) if isinstance(raw, bool) else 0.5
-    return min(1.0, max(0.0, float(raw)))
+        digits = re.findall(r"-?(?:\d+\.?\d*|\.\d+)", raw)
+        raw = float(digits[0]) if digits else None
+    if not isinstance(raw, (int, float)) or raw != raw:
+        return 0.5
+    return min(1.0, max(0.0, raw / 100 if share else float(raw)))
 
 
 def _facet(raw) -> dict | None:
@@ -65,16 +67,18 @@ def _facet(raw) -> dict | None:
 
 
 def _entries(value) -> list | None:
-    """The list of entries in a decoded value, whatever wraps it."""
-    if isinstance(value, list):
-        return value
+    """The list of entries in a decoded value: itself, the first field that may hold one, or one facet by itself."""
+    held = value
     if isinstance(value, dict):
-        for k in LIST_KEYS:
-            v = value.get(k)
-            if isinstance(v, (list, dict, str)):
-                return v if isinstance(v, list) else list(v.values()) if isinstance(v, dict) else [v]
-        if any(k in value for k in TEXT_KEYS):
-            return [value]
+        named = [value[k] for k in LIST_KEYS if isinstance(value.get(k), (list, dict, str))]
+        held = named[0] if named else [value] if set(TEXT_KEYS) & set(value) else None
+    match held:
+        case list():
+            return held
+        case dict():
+            return list(held.values())
+        case str() if held is not value:
+            return [held]
     return None
 
 
@@ -168,8 +172,10 @@ def answered(requests: DataFrame, parsed: DataFrame) -> DataFrame:
 def facet_vectors(facets: DataFrame, width: int = 64) -> DataFrame:
     """facets (user_id, facet, confidence) -> user_id, dim, value: non-zero entries of the user's vector.
 
-    Each facet is a bag of hashed words of length 1, weighted by confidence; the mean has length 1 again."""
-    rows = facets.select("user_id", "facet", F.coalesce("confidence", F.lit(0.5)).alias("confidence")).withColumn("_id", F.xxhash64("user_id", "facet", "confidence"))
+    Each facet is a bag of hashed words of length 1, weighted by confidence; the mean has length 1 again. A facet that a
+    user has several times counts as often."""
+    rows = facets.groupBy("user_id", "facet", F.coalesce("confidence", F.lit(0.5)).alias("_c")).agg(F.count("*").alias("_times"))
+    rows = rows.select("user_id", "facet", (F.col("_c") * F.col("_times")).alias("confidence"), F.struct("facet", "_c").alias("_id"))
     words = rows.select("user_id", "_id", "confidence", F.explode(word_list(F.col("facet"))).alias("word"))
     dims = words.groupBy("user_id", "_id", "confidence", draw(F.md5("word"), F.lit(width)).alias("dim")).agg(F.count("*").alias("n"))
     norms = dims.groupBy("user_id", "_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))

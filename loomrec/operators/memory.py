@@ -45,6 +45,22 @@ def item_lookup(asked: DataFrame, memories: DataFrame) -> DataFrame:
     return asked.join(mine, "item_id", "left").withColumn("memory", F.coalesce("memory", F.lit("")))
 
 
+def user_lookup(asked: DataFrame, states: DataFrame) -> DataFrame:
+    """asked users with their state; a user without one is an error."""
+    absent = asked.select("user_id").distinct().join(states, "user_id", "left_anti").limit(5).collect()
+    if absent:
+        raise KeyError(f"no state of users {[r['user_id'] for r in absent]}")
+    return asked.join(states, "user_id")
+
+
+def write_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """requests (user_id, seq, item_id) with the model's answer; one that failed or is missing has blank memories and no
+    updates, and says so."""
+    out = requests.join(responses, "user_id", "left").withColumn("failed", F.col("user_memory").isNull())
+    none = F.array().cast(dict(responses.dtypes)["neighbor_updates"])
+    return out.withColumns({"user_memory": F.coalesce("user_memory", F.lit("")), "item_memory": F.coalesce("item_memory", F.lit("")), "neighbor_updates": F.coalesce("neighbor_updates", none)})
+
+
 def patches(responses: DataFrame, known: DataFrame) -> DataFrame:
     """responses (user_id, seq, item_id, user_memory, item_memory, neighbor_updates array<struct<neighbor_id, memory_update>>)
     and known neighbours (user_id, nb_type, nb_id) -> patch rows; updates of unknown neighbours are left out."""
@@ -113,6 +129,12 @@ def user_states(users: DataFrame, memories: DataFrame, texts: DataFrame, neighbo
     return out.select("user_id", "user_memory", F.coalesce("neighbors_text", F.lit("")).alias("neighbors_text"), F.coalesce("neighbor_ids", F.array().cast("array<string>")).alias("neighbor_ids"), F.coalesce("n_train_items", F.lit(0)).alias("n_train_items"))
 
 
+def rebuilt(log: DataFrame, edges: DataFrame, neighbors: DataFrame, texts: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A snapshot's users and item memories from a saved log of patches, without any model call."""
+    kept = compacted(log)
+    return user_states(edges.select("user_id").distinct(), kept, texts, neighbors, edges), item_closure(candidates, neighbors, kept)
+
+
 def item_closure(candidates: DataFrame, neighbors: DataFrame, memories: DataFrame) -> DataFrame:
     """Memories of all candidate and neighbour items."""
     wanted = candidates.select("item_id").union(neighbors.where("nb_type = 'item'").select("nb_id")).distinct()

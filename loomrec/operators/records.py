@@ -49,6 +49,13 @@ def missing_users(splits: DataFrame, states: DataFrame, candidates: DataFrame) -
     return rows.groupBy("part", status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def record_counts(splits: DataFrame, states: DataFrame, candidates: DataFrame, leaked: DataFrame) -> DataFrame:
+    """missing_users(), with the users that were dropped for a leak counted apart."""
+    gone = leaked.select("user_id").distinct()
+    rows = missing_users(splits.join(gone, "user_id", "left_anti"), states, candidates)
+    return rows.unionByName(splits.join(gone, "user_id").groupBy("part", F.lit("leaked").alias("status")).agg(F.count("*").alias("n")))
+
+
 def in_band(rows: DataFrame, low: float = 0.2, high: float = 0.8) -> DataFrame:
     return rows.where(F.col("baseline_h1").isNull() | F.col("baseline_h1").between(low, high))
 

@@ -68,6 +68,12 @@ def response_ranking(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     return ranked(out.select("user_id", "item_id", "pos", F.when(F.coalesce("ok", F.lit(False)), F.coalesce("score", F.lit(0.0))).otherwise(0.5).alias("score")))
 
 
+def note_scores(candidates: DataFrame, notes: DataFrame) -> DataFrame:
+    """candidates (user_id, item_id, pos) with the fit of their last note (user_id, item_id, nth, fit), 0 without one."""
+    last = notes.groupBy("user_id", "item_id").agg(F.max_by("fit", "nth").alias("score"))
+    return candidates.join(last, ["user_id", "item_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def pseudo_logit(prompt: Column, item: Column) -> Column:
     """A number in [-4, 4) from the first 64 bits of sha256(prompt|item)."""
     half = lambda a: F.conv(F.substring(F.sha2(F.concat_ws("|", prompt, item.cast("string")), 256), a, 8), 16, 10).cast("double")

@@ -137,6 +137,20 @@ def gain_by_sparsity(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(cuts)).groupBy((1 + F.aggregate("q", F.lit(0), lambda s, x: s + (F.col("n_train") > x).cast("int"))).alias("quartile")).agg(F.count("*").alias("n"), F.avg("gain").alias("mean_gain"))
 
 
+def label_entropy(positions: DataFrame) -> DataFrame:
+    """positions (pos of the gold item) -> n, entropy in bits of where it stands: low where a model always answers alike."""
+    counts = positions.groupBy("pos").agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("n"))
+    p = F.col("c") / F.col("n")
+    return counts.join(F.broadcast(total)).agg(F.max("n").alias("n"), (-F.sum(p * F.log2(p))).alias("entropy"))
+
+
+def paired_scores(proxy: DataFrame, reference: DataFrame, column: str) -> DataFrame:
+    """user_id, arm, proxy, reference for the pairs that both tables score."""
+    one, two = (df.select("user_id", "arm", F.col(column).alias(name)) for df, name in ((proxy, "proxy"), (reference, "reference")))
+    return one.join(two, ["user_id", "arm"])
+
+
 def permutation_scores(rows: DataFrame) -> DataFrame:
     """rows (req_id, candidates, ranking arrays) -> req_id, item_id, score = 1 - rank/n; with missing and repeated flags."""
     n = F.size("candidates")

@@ -44,9 +44,15 @@ def repeated(drawn: DataFrame, users: DataFrame, n: int) -> DataFrame:
 
 
 def all_others(users: DataFrame, mine: DataFrame, n_items: int) -> DataFrame:
-    """user_id, item_id: every item of 0..n_items-1 that is not in mine. For the few users whose probes do not suffice."""
-    items = F.sequence(F.lit(0).cast("long"), F.lit(n_items - 1).cast("long"))
-    return users.select("user_id", F.explode(items).alias("item_id")).join(mine, ["user_id", "item_id"], "left_anti")
+    """user_id, item_id: every item of 0..n_items-1 that is not in mine, from the gaps between a user's items in order.
+
+    For the few users whose probes do not suffice: they have most items, and their gaps are short."""
+    users = users.select("user_id").distinct()
+    ends = users.select("user_id", F.explode(F.array(F.lit(-1).cast("long"), F.lit(n_items).cast("long"))).alias("item_id"))
+    held = mine.select("user_id", F.col("item_id").cast("long").alias("item_id")).where(F.col("item_id").between(0, n_items - 1)).join(users, "user_id", "left_semi")
+    after = F.lead("item_id").over(Window.partitionBy("user_id").orderBy("item_id"))
+    gaps = held.distinct().unionByName(ends).select("user_id", "item_id", after.alias("after")).where(F.col("after") - F.col("item_id") > 1)
+    return gaps.select("user_id", F.explode(F.sequence(F.col("item_id") + 1, F.col("after") - 1)).alias("item_id"))
 
 
 def candidates(targets: DataFrame, positives: DataFrame, n_items: int, n: int, seed: int, salt: int = 0, skip_short: bool = True) -> DataFrame:
@@ -145,6 +151,24 @@ def overlapping_users(splits: DataFrame) -> DataFrame:
     return splits.groupBy("user_id").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n")).where("parts > 1 or n > 1")
 
 
+def checked_splits(splits: DataFrame, parts: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """The splits, if every part is there and no user is in two or twice in one; else an error."""
+    missing = sorted(set(parts) - {r["part"] for r in splits.select("part").distinct().collect()})
+    if missing:
+        raise ValueError(f"splits lack {missing}")
+    if not overlapping_users(splits).isEmpty():
+        raise ValueError("users are in several parts, or repeated")
+    return splits
+
+
+def listed_candidates(lists: DataFrame, targets: DataFrame, n: int) -> DataFrame:
+    """user_id, item_id, is_target, pos from ready-made lists (user_id, item_id, pos), as candidates() gives them: users
+    whose first n items hold their target."""
+    rows = lists.where(F.col("pos") < n).join(targets.select("user_id", "target"), "user_id")
+    rows = rows.withColumn("is_target", F.col("item_id") == F.col("target"))
+    return rows.withColumn("_any", F.max("is_target").over(Window.partitionBy("user_id"))).where("_any").select("user_id", "item_id", "is_target", "pos")
+
+
 def first_of_each(splits: DataFrame, n: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("part").orderBy("user_id"))
     return splits.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")

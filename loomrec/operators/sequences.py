@@ -90,6 +90,11 @@ def exploded_reviews(ranked: DataFrame, items: str, reviews: str) -> DataFrame:
     return ranked.where(n > 0).select("user_id", F.inline(both)).where("review_text is not null")
 
 
+def instructions(ranked: DataFrame, instruction: str, persona: str) -> DataFrame:
+    """user_id, instruction, persona under the running ids; null texts are empty."""
+    return ranked.select("user_id", *[F.coalesce(c, F.lit("")).alias(name) for c, name in ((instruction, "instruction"), (persona, "persona"))])
+
+
 def metadata_from_mapping(mapping: DataFrame) -> DataFrame:
     missing = {"index", "asin", "title"} - set(mapping.columns)
     if missing:

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where none is set (tests, one machine)."""
+    """The session's spark.checkpoint.dir; a folder of our own only where none is set and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = getattr(spark, "_loomrec_scratch", None)
         if not found:
             found = spark._loomrec_scratch = "file://" + tempfile.mkdtemp(prefix="spark-loomrec-")

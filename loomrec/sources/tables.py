@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomrec.operators.memory import changed_items
 from loomrec.operators.records import SCHEMA as RECORD
 
 INTERACTIONS = "user_id long, item_id long, rating double, timestamp double"
@@ -102,10 +103,44 @@ def save_memories(memories: DataFrame, path: str) -> None:
     memories.write.mode("overwrite").parquet(path)
 
 
+def load_memories(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def export_memories(memories: DataFrame, items: DataFrame, path: str) -> None:
+    """JSON lines of all users' memories and of those item memories that say more than the title."""
+    memories.where("entity_type = 'user'").select(F.col("entity_id").alias("user_id"), "memory").write.mode("overwrite").json(f"{path}/users")
+    changed_items(memories, items).write.mode("overwrite").json(f"{path}/items")
+
+
+#: What runs are called in summaries.
+MODES = {"full": "full", "vanilla": "no memory", "no_retrieval": "no collaborative read"}
+
+
+def result_row(metrics: DataFrame, mode: str, ks: tuple[int, ...] = (1, 3, 5, 10), names: tuple[str, ...] = ("hit", "ndcg", "mrr")) -> DataFrame:
+    """One row of a run from metric, k, value rows: its mode's label, then a column for each k and metric in order."""
+    cells = [F.max(F.when((F.col("metric") == m) & (F.col("k") == k), F.col("value"))).alias(f"{m}@{k}") for k in ks for m in names]
+    return metrics.agg(F.lit(MODES.get(mode, mode)).alias("mode"), *cells)
+
+
 def append_result(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
 
+def write_report(report: DataFrame, dropped: DataFrame, path: str) -> None:
+    """A validation report of one or a few rows, and the log of dropped users with their reasons, as JSON."""
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    dropped.select("user_id", "reason").write.mode("overwrite").json(f"{path}/dropped")
+
+
+def write_conversion(interactions: DataFrame, reviews: DataFrame, items: DataFrame, told: DataFrame, statistics: DataFrame, prefix: str) -> None:
+    """The four TSV tables that load_all() reads, and a text file of statistics, a line for each number."""
+    for df, end in ((interactions, "inter"), (reviews, "text"), (items, "meta"), (told, "instruction")):
+        write_tsv(df, f"{prefix}.{end}")
+    lines = F.explode(F.array(*[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in statistics.columns])).alias("value")
+    statistics.select(lines).coalesce(1).write.mode("overwrite").text(f"{prefix}.statistics")
+
+
 def item_table(part: DataFrame) -> DataFrame:
     """Items from a part table: title is the name, description brand and type."""
     return part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("description"))
