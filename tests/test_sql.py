@@ -8,8 +8,11 @@ import os
 import duckdb
 import pytest
 
-from loomrec.oracles import ORACLES
-from loomrec.queries import QUERIES
+from loomrec import oracles, queries, record_queries
+
+
+QUERIES = queries.QUERIES | record_queries.QUERIES
+ORACLES = oracles.ORACLES | record_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
