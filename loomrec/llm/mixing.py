@@ -69,9 +69,13 @@ def inclusion(sized: DataFrame, shares: DataFrame) -> DataFrame:
     return shares.join(rates, "sid", "left")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), limit: float = 3.0, seed: str = "mix", cells: int = 4096) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): copies from 0 to limit for every row of docs."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), limit: float = 3.0, seed: str = "mix", cells: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): copies from 0 to limit for every row of docs.
+
+    Columns named in carry follow. They are written once beside the sizes, and no shuffle moves them: the rows meet only
+    tables of a row a source."""
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carried)
     word = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
     u = (F.conv(F.substring(word, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     sized = materialise(sized.withColumn("u", u).withColumn("odds", F.length(F.bin("size"))), "sizes")
@@ -84,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), limit: fl
     rank = F.when(p >= 1, F.lit(0.0)).otherwise(F.col("u") * (1 - p) / (F.col("u") * (1 - p) + (1 - F.col("u")) * p))
     ranked = sized.join(few(shares.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     ranked = ranked.withColumn("q", F.when((F.col("size") > 0) & (F.col("rest") > 0) & (p > 0), rank)).withColumn("cell", F.floor(F.col("q") * cells))
-    drawn = ranked.where("q is not null")
+    drawn = ranked.where("q is not null").drop("carried")
 
     by_cell = drawn.groupBy("sid", "rest", "cell").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("sid").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,4 +110,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), limit: fl
     out = ranked.join(few(last), "sid", "left")
     taken = F.col("q").isNotNull() & (F.col("cut").isNull() | (F.col("cell") < F.col("cut")) | (F.col("q") <= F.col("to_q")) | F.coalesce((F.col("q") == F.col("best_q")) & (F.col("size") == F.col("best_size")), F.lit(False)))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(taken, 1).otherwise(0)).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), *[F.col("carried")[c].alias(c) for c in carry])

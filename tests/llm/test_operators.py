@@ -268,6 +268,16 @@ def test_mixing(spark, docs, table, monkeypatch):
     assert collected(queries.op4_source_mixing(spark, "")) == collected(queries.op4_source_mixing(spark, ""))
 
 
+def test_mixing_carries_columns_along(spark, docs):
+    from loomrec.llm.mixing import mix, word_count
+
+    out = mix(docs, carry=("text", "lang"))
+    assert collected(out.select("doc_id", "text", "lang")) == collected(docs.select("doc_id", "text", "lang"))
+    assert collected(out.drop("text", "lang")) == collected(mix(docs))
+    assert out.where(word_count(F.col("text")) != F.col("size")).count() == 0
+    assert collected(mix(docs.limit(0), carry=("text", "lang"))) == []
+
+
 def test_inclusion_follows_the_odds(spark):
     from loomrec.llm.mixing import mix
 
