@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrec.llm.line_dedup import dedup_lines
-from loomrec.llm.mixing import mix, word_count
+from loomrec.llm.mixing import mix
 from loomrec.llm.ngram_join import similar_documents
 from loomrec.llm.packing import pack
 from loomrec.llm.quality_rules import judge
@@ -45,10 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
-    copies = mix(docs).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
-    copies = copies.select(*[F.col(c).alias(f"_{c}") for c in copies.columns])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+    mixed = mix(docs, carry=("text", "lang", "n_chars")).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
