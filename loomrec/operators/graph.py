@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomrec.scratch import materialise
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """kind, id, degree: bag counts of users and items."""
@@ -25,21 +27,80 @@ def item_neighbors(edges: DataFrame, most: int = 100) -> DataFrame:
     return edges.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most).select("user_id", "item_id", "recency", "ord")
 
 
-def user_neighbors(edges: DataFrame, most: int = 50, max_item_degree: int | None = None) -> DataFrame:
+def user_neighbors(edges: DataFrame, most: int = 50, max_item_degree: int | None = None, hot_degree: int = 10_000, hot_items: int = 8, block: int = 4096) -> DataFrame:
     """user_id, neighbor_id, overlap, ord: users by bag overlap, then first shared position, then id.
 
-    Edges are summed up per (user, item) before the self-join, so repeated edges cost no pairs. max_item_degree leaves
-    out items of more users than that; it changes results and is off unless given."""
+    Edges are summed up per (user, item) before users meet over an item. Results are the same whatever the last three
+    parameters are: the hot_items items of most users, if they have more than hot_degree, make no pairs of users (see
+    _over_hot), and of other items the users are dealt to blocks, so that no key joins more than block users to the rest.
+    max_item_degree leaves out items of more users than that; it changes results and is off unless given."""
     bag = edges.groupBy("user_id", "item_id").agg(F.count("*").alias("k"), F.min("pos").alias("first"))
+    d = bag.groupBy("item_id").agg(F.count("*").alias("d"))
     if max_item_degree is not None:
-        bag = bag.join(bag.groupBy("item_id").agg(F.count("*").alias("d")).where(F.col("d") <= max_item_degree).select("item_id"), "item_id")
-    other = bag.select("item_id", F.col("user_id").alias("neighbor_id"), F.col("k").alias("k2"))
-    pairs = bag.join(other, "item_id").where("user_id <> neighbor_id")
-    pairs = pairs.groupBy("user_id", "neighbor_id").agg(F.sum(F.col("k") * F.col("k2")).alias("overlap"), F.min("first").alias("first"))
+        d = d.where(F.col("d") <= max_item_degree)
+        bag = bag.join(d.select("item_id"), "item_id", "left_semi")
+    hot = [r["item_id"] for r in d.where(F.col("d") > hot_degree).orderBy(F.desc("d"), "item_id").limit(hot_items).collect()]
+    rest = bag.where(~F.col("item_id").isin(hot)) if hot else bag
+    pairs = _pairs(rest, d, block)
+    if hot:
+        pairs = _over_hot(materialise(bag.where(F.col("item_id").isin(hot)), "hot"), pairs, hot, most)
     order = Window.partitionBy("user_id").orderBy(F.desc("overlap"), "first", "neighbor_id")
     return pairs.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most).select("user_id", "neighbor_id", "overlap", "ord")
 
 
+def _pairs(bag: DataFrame, degrees: DataFrame, block: int) -> DataFrame:
+    """user_id, neighbor_id, overlap, first of users with an item in common; a large item's users are dealt to blocks on
+    one side and repeated for every block on the other."""
+    large = degrees.where(F.col("d") > block).select("item_id", F.ceil(F.col("d") / block).cast("int").alias("blocks"))
+    bag = bag.join(large, "item_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = bag.withColumn("at", F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int"))
+    other = bag.select("item_id", F.col("user_id").alias("neighbor_id"), F.col("k").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+    pairs = mine.join(other, ["item_id", "at"]).where("user_id <> neighbor_id")
+    return pairs.groupBy("user_id", "neighbor_id").agg(F.sum(F.col("k") * F.col("k2")).alias("overlap"), F.min("first").alias("first"))
+
+
+def _over_hot(bag: DataFrame, pairs: DataFrame, hot: list, most: int) -> DataFrame:
+    """pairs completed by what users have in common in hot items, with every pair that may be among a user's first `most`
+    and has only hot items in common.
+
+    Users with the same counts of the hot items are one kind. They differ by id alone to anyone else, so the most + 1
+    smallest ids of a kind stand for it, and kinds meet kinds; a kind's users take over what it found."""
+    n = range(len(hot))
+    count = lambda i: F.coalesce(F.sum(F.when(F.col("item_id") == hot[i], F.col("k"))), F.lit(0))
+    users = bag.groupBy("user_id").agg(F.array(*[count(i) for i in n]).alias("kind"), F.array(*[F.min(F.when(F.col("item_id") == hot[i], F.col("first"))) for i in n]).alias("firsts"))
+    users = materialise(users, "hot_users")
+
+    by_id = Window.partitionBy("kind").orderBy("user_id")
+    ids = users.select("kind", "user_id", F.row_number().over(by_id).alias("nth")).where(F.col("nth") <= most + 1)
+    ids = materialise(ids.select(F.col("kind").alias("other"), F.col("user_id").alias("neighbor_id")), "hot_ids")
+    held = ids.groupBy("other").agg(F.count("*").alias("held"))
+    on = lambda c: F.explode(F.filter(F.transform(F.col(c), lambda k, i: F.when(k > 0, i)), lambda i: i.isNotNull())).alias("i")
+    theirs = held.select("other", "held", on("other"))
+    meet = held.select(F.col("other").alias("kind")).select("kind", on("kind")).join(theirs, "i").select("kind", "other", "held").distinct()
+    shared = F.zip_with("kind", "other", lambda a, b: a * b)
+    meet = meet.select("kind", "other", "held", F.aggregate(shared, F.lit(0).cast("long"), lambda s, x: s + x).alias("overlap"), F.transform(shared, lambda x: x > 0).alias("mask"))
+    # Kinds that fewer than most + 1 users of a larger overlap come before, and of equal ones the smallest ids for each
+    # set of shared items: the first shared position depends on that set.
+    upto = F.sum("held").over(Window.partitionBy("kind").orderBy(F.desc("overlap")).rangeBetween(Window.unboundedPreceding, 0))
+    meet = meet.withColumn("before", upto - F.sum("held").over(Window.partitionBy("kind", "overlap"))).where(F.col("before") <= most)
+    near = Window.partitionBy("kind", "overlap", "mask").orderBy("neighbor_id")
+    found = meet.join(ids, "other").withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= most + 1)
+    found = found.groupBy("kind").agg(F.collect_list(F.struct("neighbor_id", "overlap", "mask")).alias("found"))  # kinds times ids, not users
+
+    first = lambda mask, firsts: F.array_min(F.zip_with(mask, firsts, lambda m, f: F.when(m, f)))
+    only_hot = users.join(found, "kind").select("user_id", "firsts", F.explode("found").alias("f"))
+    only_hot = only_hot.select("user_id", "f.neighbor_id", "f.overlap", first(F.col("f.mask"), F.col("firsts")).alias("first")).where("user_id <> neighbor_id")
+
+    theirs = users.select(F.col("user_id").alias("neighbor_id"), F.col("kind").alias("other"))
+    both = pairs.join(users, "user_id", "left").join(theirs, "neighbor_id", "left")
+    shared = F.zip_with("kind", "other", lambda a, b: a * b)
+    more = F.coalesce(F.aggregate(shared, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0))
+    firsts = F.least("first", first(F.transform(shared, lambda x: x > 0), F.col("firsts")))  # nulls do not count
+    both = both.select("user_id", "neighbor_id", (F.col("overlap") + more).alias("overlap"), firsts.alias("first"))
+    # A pair found both ways has its whole overlap in the larger row, and its first position is the smaller.
+    return both.unionByName(only_hot).groupBy("user_id", "neighbor_id").agg(F.max("overlap").alias("overlap"), F.min("first").alias("first"))
+
+
 def lookup(edges: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (user_id, item_id) with recency (0 if there is no edge) and both degrees (0 if unknown)."""
     recency = edges.groupBy("user_id", "item_id").agg(F.max("recency").alias("recency"))

@@ -127,6 +127,32 @@ def bag(spark):
     return lists, seq.leave_one_out(spark.createDataFrame(rows, "user_id long, item_id long, pos int, n long"))
 
 
+def test_neighbors_over_an_item_of_all(spark):
+    """An item that every user has, others that most have, and few besides: with hot items, with blocks, with neither."""
+    r = random.Random(8)
+    rows = []
+    for u in range(70):
+        bag = [0] + [i for i in (1, 2) if r.random() < 0.7] + [0] * (r.random() < 0.2) + [r.randrange(3, 40) for _ in range(r.randrange(4))]
+        r.shuffle(bag)
+        rows += [(u, i, p) for p, i in enumerate(bag)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, pos int")
+    has = {}
+    for u, i, p in rows:
+        has.setdefault(u, {}).setdefault(i, []).append(p)
+    want = []
+    for u, mine in has.items():
+        seen = []
+        for o, other in has.items():
+            both = [i for i in mine if i in other]
+            if o != u and both:
+                seen.append((-sum(len(mine[i]) * len(other[i]) for i in both), min(min(mine[i]) for i in both), o))
+        want += [(u, o, -n, k) for k, (n, _, o) in enumerate(sorted(seen)[:6], 1)]
+    for hot, n, block in ((10, 3, 4096), (10, 1, 4096), (10, 2, 7), (1000, 8, 16), (1000, 8, 4096)):
+        got = graph.user_neighbors(edges, 6, hot_degree=hot, hot_items=n, block=block).collect()
+        assert sorted(map(tuple, got)) == sorted(want), (hot, n, block)
+    assert graph.user_neighbors(edges.limit(0)).count() == 0
+
+
 def test_split_and_neighbors(bag):
     lists, split = bag
     train = {u: v[:-2] for u, v in lists.items() if len(v) >= 3}
