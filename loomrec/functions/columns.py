@@ -11,6 +11,12 @@ def tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("long")
 
 
+def three_places(x: Column) -> Column:
+    """A number with three decimals, halves to the even side; by whole thousandths, so that every engine agrees."""
+    n = F.abs(F.rint(x * 1000)).cast("long")
+    return F.concat(F.when(F.rint(x * 1000) < 0, "-").otherwise(""), F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+
 def normalised(text: Column) -> Column:
     """Lower case, every run of other characters than a-z and 0-9 one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomrec.functions.columns import node_id, tokens
+from loomrec.functions.columns import node_id, three_places, tokens
 
 NONE = "(none available)"
 
@@ -29,8 +29,8 @@ def snippets(chosen: DataFrame, items: DataFrame, recent: DataFrame) -> DataFram
     rows = chosen.join(about, ["nb_type", "nb_id"], "left").join(late, ["nb_type", "nb_id"], "left")
     node = F.concat(F.lit("["), node_id(F.col("nb_type"), F.col("nb_id")), F.lit("]"))
     about = F.when(F.length("_about") > 0, F.concat(F.lit(" | "), F.substring("_about", 1, 120))).otherwise("")
-    item = F.concat(node, F.when(F.col("_title").isNotNull(), F.concat(F.lit(" "), F.substring("_title", 1, 80), about)).otherwise(""), F.format_string(" (score=%.3f)", "score"))
-    user = F.concat(node, F.format_string(" (overlap_score=%.3f)", "score"), F.when(F.length("recent") > 0, F.concat(F.lit(" - Recent: "), "recent")).otherwise(""))
+    item = F.concat(node, F.when(F.col("_title").isNotNull(), F.concat(F.lit(" "), F.substring("_title", 1, 80), about)).otherwise(""), F.lit(" (score="), three_places(F.col("score")), F.lit(")"))
+    user = F.concat(node, F.lit(" (overlap_score="), three_places(F.col("score")), F.lit(")"), F.when(F.length("recent") > 0, F.concat(F.lit(" - Recent: "), "recent")).otherwise(""))
     text = F.substring(F.when(F.col("nb_type") == "item", item).otherwise(user), 1, 200)
     return rows.withColumn("node", node_id(F.col("nb_type"), F.col("nb_id"))).withColumn("snippet", text).drop("_title", "_about", "recent")
 

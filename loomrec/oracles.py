@@ -70,6 +70,18 @@ ranked AS (SELECT req_id, item_id, pos, logit, exp(logit - max(logit) OVER (PART
 ARMS = f"""al AS (SELECT user_id, arm, item_id, pos, is_target, {LOGIT.format(p="(arm || ' ' || user_id)")} AS logit FROM cand, (SELECT unnest(['sample1', 'sample2', 'shuffled', 'lorem', 'empty']) AS arm)),
 ar AS (SELECT *, row_number() OVER (PARTITION BY user_id, arm ORDER BY logit DESC, pos) - 1 AS r FROM al),
 arms AS (SELECT user_id, arm, r AS gold_rank, CASE WHEN r < 5 THEN 1 / log2(r + 2.0) ELSE 0 END AS ndcg_at_5, CASE WHEN r < 1 THEN 1.0::DOUBLE ELSE 0 END AS hit_at_1 FROM ar WHERE is_target)"""
+THREE = "CAST(round_even(score * 1000, 0)::BIGINT // 1000 AS VARCHAR) || '.' || lpad(CAST(round_even(score * 1000, 0)::BIGINT % 1000 AS VARCHAR), 3, '0')"
+PACKED = f"""recent AS (SELECT user_id, string_agg(substr(title, 1, 40), ', ' ORDER BY pos) AS recent FROM edges JOIN items USING (item_id) WHERE pos >= n_train - 3 AND title IS NOT NULL GROUP BY user_id),
+snip AS (SELECT t.user_id, score, ord, CASE WHEN nb_type = 'item' THEN 'Item-' ELSE 'User-' END || nb_id AS node,
+  substr(CASE WHEN nb_type = 'item' THEN '[Item-' || nb_id || ']' || CASE WHEN i.item_id IS NULL THEN '' ELSE ' ' || substr(coalesce(title, 'Item-' || nb_id), 1, 80) || CASE WHEN length(description) > 0 THEN ' | ' || substr(description, 1, 120) ELSE '' END END || ' (score=' || {THREE} || ')'
+    ELSE '[User-' || nb_id || '] (overlap_score=' || {THREE} || ')' || CASE WHEN length(recent) > 0 THEN ' - Recent: ' || recent ELSE '' END END, 1, 200) AS snippet
+  FROM top t LEFT JOIN items i ON nb_type = 'item' AND i.item_id = nb_id LEFT JOIN recent r ON nb_type = 'user' AND r.user_id = nb_id),
+running AS (SELECT *, sum(length(snippet) // 4) OVER (PARTITION BY user_id ORDER BY score DESC, ord) AS upto, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ord) AS place FROM snip),
+packed AS (SELECT * FROM running WHERE upto <= 500)"""
+CONTEXT = """nbt AS (SELECT user_id, string_agg(place || '. ' || snippet, chr(10) ORDER BY place) AS t, count(*) AS n FROM packed GROUP BY 1),
+ct AS (SELECT user_id, string_agg((pos + 1) || '. [Item-' || item_id || '] ' || substr(coalesce(title, 'N/A'), 1, 60), chr(10) ORDER BY pos) AS t FROM cand LEFT JOIN items USING (item_id) WHERE pos < 10 GROUP BY 1),
+ctx AS (SELECT u.user_id, 'User memory: No memory yet.' || chr(10) || chr(10) || 'Neighbors:' || chr(10) || coalesce(nbt.t, '(none available)') || chr(10) || chr(10) || 'Candidates:' || chr(10) || coalesce(ct.t, '(none available)') AS context, coalesce(n, 0) AS n_neighbors
+  FROM (SELECT DISTINCT user_id FROM edges) u LEFT JOIN nbt USING (user_id) LEFT JOIN ct USING (user_id))"""
 NORM = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 def q(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([BASE.strip(), *ctes]) + "\n" + body
@@ -97,6 +109,8 @@ ORACLES = {
     "hybrid_topk": q("SELECT user_id, nb_type, nb_id, round(score, 6) AS score, ord FROM top", NEIGHBORS, HYBRID, MIX),
     "mlp_topk": q("SELECT user_id, nb_type, nb_id, round(score, 6) AS score, ord FROM top", NEIGHBORS, MLP, MIX),
     "popularity": q("SELECT item_id, count(*) AS n, round(count(*) / (SELECT count(*) FROM edges), 9) AS popularity FROM edges GROUP BY 1"),
+    "packed_context": q("SELECT user_id, context, n_neighbors, length(context) // 4 AS n_tokens FROM ctx", NEIGHBORS, HYBRID, MIX, PACKED, EVAL, CONTEXT),
+    "snippet_parse": q("SELECT user_id, count(DISTINCT node) AS n, string_agg(DISTINCT node, ',' ORDER BY node) AS nodes FROM packed GROUP BY 1", NEIGHBORS, HYBRID, MIX, PACKED),
     "eval_candidates": q("SELECT user_id, item_id, is_target, pos FROM cand", EVAL),
     "warmup_candidates": q("SELECT user_id, item_id, is_target, pos FROM cand", candidates("valid", "split = 'train'", 1, "cand")),
     "candidate_overlap": q("""SELECT a.user_id, a.item_id, round(max(coalesce(c.common, 0)) / any_value(nu.n), 6) AS share FROM (SELECT DISTINCT user_id, item_id FROM item_nb) a JOIN cand ON cand.user_id = a.user_id LEFT JOIN common c ON c.x = a.item_id AND c.y = cand.item_id JOIN nu ON nu.item_id = a.item_id GROUP BY a.user_id, a.item_id""",
