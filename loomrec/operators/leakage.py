@@ -39,9 +39,9 @@ def contained_passages(texts: DataFrame, passages: DataFrame, width: int = 8) ->
     which have no words between, are found where their words are whole."""
     p = passages.select("item_id", normalised(F.col("text")).alias("passage")).where("passage <> ''").withColumn("w", F.split("passage", " "))
     inner = F.when(F.size("w") > 2, F.slice("w", 2, F.least(F.size("w") - 2, F.lit(width)))).otherwise(F.col("w"))
-    p = p.select("item_id", "passage", F.size(inner).alias("n"), F.xxhash64(F.array_join(inner, " ")).alias("h"))
+    p = p.select("item_id", "passage", F.size(inner).alias("n"), F.xxhash64(_hashes(inner)).alias("h"))
     widths = sorted(r[0] for r in p.select("n").distinct().collect())  # at most `width` numbers
-    bodies = texts.select("doc_id", normalised(F.col("text")).alias("body")).where("body <> ''").withColumn("w", F.split("body", " "))
+    bodies = texts.select("doc_id", normalised(F.col("text")).alias("body")).where("body <> ''").withColumn("w", _hashes(F.split("body", " ")))
     windows = None
     for k in widths:
         one = bodies.where(F.size("w") >= k).select("doc_id", F.lit(k).alias("n"), F.explode(F.array_distinct(_windows(k))).alias("h"))
@@ -52,9 +52,13 @@ def contained_passages(texts: DataFrame, passages: DataFrame, width: int = 8) ->
     return hits.join(bodies.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id").distinct()
 
 
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _windows(k: int) -> Column:
-    """Hashes of all windows of k words of an array column w."""
-    return F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
+    """Hashes of all windows of k words, from an array column w of the words' hashes."""
+    return F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k)))
 
 
 def record_faults(records: DataFrame) -> DataFrame:

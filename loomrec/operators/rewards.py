@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrec.functions.columns import cosine, tokens
 from loomrec.operators.metrics import hit, ndcg, rank_of
+from loomrec.operators.sequences import running_sums
 
 RECORD_COLUMNS = ("user_id", "candidates", "gold_item_id", "candidate_titles", "candidate_memories", "instruction", "neighbor_snippets")
 
@@ -86,8 +87,12 @@ def average_ranks(rows: DataFrame, column: str, *groups: str) -> DataFrame:
 
     Equal values are counted first, so a task orders distinct values, and a group's rows are never sorted as they are."""
     counts = rows.groupBy(*groups, column).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*(groups or [F.lit(1)])).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(f"{column}_rank", F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
+    if groups:
+        before = Window.partitionBy(*groups).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    else:
+        counts = running_sums(counts, column, "_c", "_b")
+    ranks = counts.withColumn(f"{column}_rank", F.col("_b") + (F.col("_c") + 1) / 2).drop("_b", "_c")
     return rows.join(ranks, [*groups, column])
 
 

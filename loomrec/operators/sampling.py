@@ -3,7 +3,7 @@ seed and ids, so results do not depend on partitions, and no user is ever crosse
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrec.functions.columns import draw, keyed
@@ -76,26 +76,32 @@ def short_pools(candidate_rows: DataFrame, n: int) -> DataFrame:
 def weighted_negatives(users: DataFrame, edges: DataFrame, positives: DataFrame, n: int, seed: int, oversample: int = 8, buckets: int = 256, n_items: int | None = None) -> DataFrame:
     """user_id, item_id, nth (1 to n): draws without replacement in proportion to popularity.
 
-    A probe picks one of the numbered train edges and takes its item; edges are numbered within buckets of items, so
-    the only global step adds up one count per bucket. Dropping repeats of draws with replacement is drawing without.
+    A probe picks one of the numbered train edges and takes its item. Edges themselves are not numbered: counts of items
+    are added up within buckets, and one count per bucket overall. Dropping repeats of draws with replacement is drawing without.
     Users whose probes do not suffice make `oversample` times as many; those who are short still draw the rest from all
     items of 0..n_items-1 (by default up to the largest id) that are left, by weighted keys, items without train edges
     last and in order of their hash. Where there are too few, the last is repeated; 0 for users without any."""
     if n_items is None:
         n_items = 1 + max(df.agg(F.coalesce(F.max("item_id"), F.lit(-1))).head()[0] for df in (edges, positives))
-    item = Window.partitionBy("bucket").orderBy("item_id", "user_id", "pos")
-    numbered = edges.select("item_id", "user_id", "pos", F.pmod("item_id", F.lit(buckets)).alias("bucket"))
-    sizes = numbered.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    numbered = numbered.withColumn("k", F.row_number().over(item) - 1).join(F.broadcast(starts), "bucket").select((F.col("start") + F.col("k")).alias("edge"), "item_id")
-    total = edges.agg(F.nullif(F.count("*"), F.lit(0)).alias("total"))
+    counts = edges.groupBy("item_id").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod("item_id", F.lit(buckets)))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", earlier(Window.partitionBy(F.lit(1)).orderBy("bucket")).alias("start"))
+    total = counts.agg(F.nullif(F.sum("n"), F.lit(0)).alias("total"), F.ceil(F.sum("n") / F.count("*")).alias("span"))
+    ranges = counts.withColumn("at", earlier(Window.partitionBy("bucket").orderBy("item_id"))).join(F.broadcast(starts), "bucket").join(F.broadcast(total))
+    # Item i owns the edges low..high-1. Stretches of `span` edges, as many as items, bring probes and items together; those
+    # of a very common item are listed in two steps, so that no row holds a long array.
+    ranges = ranges.select("item_id", "span", (F.col("start") + F.col("at")).alias("low"), (F.col("start") + F.col("at") + F.col("n")).alias("high"))
+    a, b, step = F.floor(F.col("low") / F.col("span")), F.floor((F.col("high") - 1) / F.col("span")), 1 << 14
+    ranges = ranges.select("item_id", "low", "high", a.alias("a"), b.alias("b")).select("*", F.explode(F.sequence(F.floor(F.col("a") / step), F.floor(F.col("b") / step))).alias("s"))
+    ranges = ranges.select("item_id", "low", "high", F.explode(F.sequence(F.greatest("a", F.col("s") * step), F.least("b", F.col("s") * step + step - 1))).alias("stretch"))
     mine = positives.select("user_id", "item_id").distinct()
     users = users.select("user_id").distinct()
 
     def probed(who: DataFrame, times: int) -> DataFrame:
         probes = who.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(n * times - 1))).alias("j")).join(F.broadcast(total))
-        probes = probes.select("user_id", "j", draw(keyed(seed, "weighted", F.col("user_id"), F.col("j")), F.col("total")).alias("edge"))
-        found = probes.join(numbered, "edge").groupBy("user_id", "item_id").agg(F.min("j").alias("j")).join(mine, ["user_id", "item_id"], "left_anti")
+        probes = probes.select("user_id", "j", "span", draw(keyed(seed, "weighted", F.col("user_id"), F.col("j")), F.col("total")).alias("edge"))
+        met = probes.withColumn("stretch", F.floor(F.col("edge") / F.col("span"))).join(ranges, "stretch").where("edge >= low and edge < high")
+        found = met.groupBy("user_id", "item_id").agg(F.min("j").alias("j")).join(mine, ["user_id", "item_id"], "left_anti")
         nth = F.row_number().over(Window.partitionBy("user_id").orderBy("j"))
         return materialise(found.withColumn("nth", nth).where(F.col("nth") <= n).select("user_id", "item_id", "nth"), "weighted")
 
@@ -118,9 +124,24 @@ def weighted_negatives(users: DataFrame, edges: DataFrame, positives: DataFrame,
     return repeated(materialise(out.unionByName(rest), "weighted"), users, n)
 
 
+#: Up to so many users are taken as the smallest of all partitions; more are cut off at their place in a range sort.
+SMALL = 100_000
+
+
+def _first_users(users: DataFrame, key: Column, n: int) -> DataFrame:
+    """user_id, nth (from 0) of the n users that are first in the order of key."""
+    from loomrec.operators.sequences import running_ids
+
+    rows = users.select(F.col("user_id").alias("id"), key.alias("key"))
+    if n <= SMALL:
+        nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("key", "id")) - 1
+        return rows.orderBy("key", "id").limit(n).select(F.col("id").alias("user_id"), nth.cast("long").alias("nth"))
+    return running_ids(rows, "key").where(F.col("user_id") < n).select(F.col("id").alias("user_id"), F.col("user_id").alias("nth"))
+
+
 def user_sample(users: DataFrame, n: int, seed: int) -> DataFrame:
     """n users in the order of their hash, sorted by id; all if there are no more."""
-    return users.select("user_id").distinct().orderBy(keyed(seed, F.col("user_id")), "user_id").limit(n).orderBy("user_id")
+    return _first_users(users.select("user_id").distinct(), keyed(seed, F.col("user_id")), n).select("user_id").orderBy("user_id")
 
 
 def chosen_users(population: DataFrame, seed: int, listed: DataFrame | None = None, n: int | None = None) -> DataFrame:
@@ -139,11 +160,11 @@ def eligible_users(split: DataFrame, min_train: int = 1) -> DataFrame:
 def user_splits(users: DataFrame, pinned_test: DataFrame, n_train: int, n_val: int, seed: int) -> DataFrame:
     """user_id, part: pinned users test; of the others, by hash, the first n_train train and the next n_val val."""
     pinned = pinned_test.select("user_id").distinct()
-    free = users.select("user_id").distinct().join(pinned, "user_id", "left_anti").orderBy(keyed(seed, "split", F.col("user_id")), "user_id").limit(n_train + n_val)
+    free = users.select("user_id").distinct().join(pinned, "user_id", "left_anti")
+    free = materialise(_first_users(free, keyed(seed, "split", F.col("user_id")), n_train + n_val), "free_users")
     if free.count() < n_train + n_val:
         raise ValueError(f"not enough eligible users for {n_train} + {n_val}")
-    nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(keyed(seed, "split", F.col("user_id")), "user_id"))  # n_train + n_val rows
-    return free.select("user_id", F.when(nth <= n_train, "train").otherwise("val").alias("part")).unionByName(pinned.select("user_id", F.lit("test").alias("part")))
+    return free.select("user_id", F.when(F.col("nth") < n_train, "train").otherwise("val").alias("part")).unionByName(pinned.select("user_id", F.lit("test").alias("part")))
 
 
 def overlapping_users(splits: DataFrame) -> DataFrame:

@@ -83,6 +83,15 @@ def running_ids(table: DataFrame, key: str) -> DataFrame:
     return rows.join(sizes, "_part").withColumn("user_id", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
+def running_sums(table: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """table with name: the sum of value over all rows of a smaller key; keys are distinct. No task sees them all."""
+    rows = materialise(table.repartitionByRange(F.col(key)).select("*", F.spark_partition_id().alias("_part")), "ranges")
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_part").agg(F.sum(value).alias("_n")).select("_part", earlier("_n", Window.partitionBy(F.lit(1)).orderBy("_part")).alias("_before"))
+    within = earlier(value, Window.partitionBy("_part").orderBy(key))
+    return rows.join(sizes, "_part").withColumn(name, F.col("_before") + within).drop("_part", "_before")
+
+
 def exploded_reviews(ranked: DataFrame, items: str, reviews: str) -> DataFrame:
     """user_id, item_id, review_text: both arrays up to the shorter one, null reviews dropped."""
     n = F.least(F.size(items), F.size(reviews))

@@ -446,3 +446,23 @@ def test_facet_parse_keeps_every_document(spark, monkeypatch):
     rows = [(k, t) for k, t in enumerate([None, "", "...", "é ü", "plain", None, "!", "-"])]
     monkeypatch.setattr(queries, "table", lambda spark, d, name: spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["req_id"] for r in queries.facet_parse(spark, "").collect()) == list(range(8))
+
+
+def test_first_users_alike_by_limit_and_by_ranges(spark, monkeypatch):
+    users = spark.range(500).withColumnRenamed("id", "user_id")
+    small = [r["user_id"] for r in sampling.user_sample(users, 60, 3).collect()]
+    parts = sorted(map(tuple, sampling.user_splits(users, users.limit(5), 50, 20, 3).collect()))
+    monkeypatch.setattr(sampling, "SMALL", 0)
+    assert [r["user_id"] for r in sampling.user_sample(users, 60, 3).collect()] == small and len(small) == 60
+    assert sorted(map(tuple, sampling.user_splits(users, users.limit(5), 50, 20, 3).collect())) == parts and len(parts) == 75
+
+
+def test_spearman_over_everything(spark):
+    r = random.Random(2)
+    pairs = [(float(r.randrange(9)), float(r.randrange(40))) for _ in range(300)]
+    got = rewards.spearman(spark.createDataFrame(pairs, "x double, y double"), "x", "y").head()
+    rank = lambda v: [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
+    x, y = (rank([p[k] for p in pairs]) for k in (0, 1))
+    mx, my = sum(x) / 300, sum(y) / 300
+    want = sum((a - mx) * (b - my) for a, b in zip(x, y)) / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+    assert got["n"] == 300 and abs(got["rho"] - want) < 1e-9
