@@ -94,7 +94,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n_lines.alias("n_lines"), "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomrec.llm.lm_scoring import Model, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    scored = score(docs, Model(docs, ~held_out, tokenizer_path("piece_bpe_32k.model")))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomrec.llm.token_alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomrec.llm.source_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_html_extract, op9_quality_classifier, op10_line_dedup)
+    for f in (op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_html_extract, op9_quality_classifier, op10_line_dedup, op11_lm_scoring, op12_token_alignment, op13_source_divergence)
 }
