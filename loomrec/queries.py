@@ -306,22 +306,16 @@ def patch_stream(spark, d):
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_folder(source, spark, d, "conversations"))
     stream = stream.select(F.col("role").alias("entity_type"), F.col("conv_id").alias("entity_id"), F.col("text").alias("memory"), F.col("turn").alias("seq"))
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    incremental.append_patches(stream, f"{at}/log", f"{at}/state").awaitTermination()
-    return incremental.memories(spark, f"{at}/log").select("entity_type", "entity_id", F.md5("memory").alias("md5"), "seq", "n_updates")
+    incremental.upsert_patches(stream, f"{at}/memories", f"{at}/state", buckets=int(spark.conf.get("spark.sql.shuffle.partitions"))).awaitTermination()
+    return incremental.memories(spark, f"{at}/memories").select("entity_type", "entity_id", F.md5("memory").alias("md5"), "seq", "n_updates")
 
 
 def degree_stream(spark, d):
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).parquet(_folder(source, spark, d, "events")).select("user_id", F.ascii("event_type").cast("long").alias("item_id"))
-    name = f"degrees_{uuid.uuid4().hex[:12]}"
-    at = f"{shared_dir(spark)}/{name}"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out")
-
-    query = incremental.running_degrees(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    at = f"{shared_dir(spark)}/degrees-{uuid.uuid4().hex[:12]}"
+    incremental.upsert_degrees(stream, f"{at}/degrees", f"{at}/state").awaitTermination()
+    return incremental.current_degrees(spark, f"{at}/degrees")
 
 
 def _folder(source: DataFrame, spark, d: str, name: str) -> str:

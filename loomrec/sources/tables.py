@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrec.operators.memory import changed_items
 from loomrec.operators.records import SCHEMA as RECORD
+from loomrec.sources.records import records
 
 INTERACTIONS = "user_id long, item_id long, rating double, timestamp double"
 ITEMS = "item_id long, asin string, title string, description string"
@@ -22,13 +23,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
-    """A headed TSV with quoted, possibly multi-line fields; the header's own columns are taken by name."""
+    """A headed TSV with quoted, possibly multi-line fields, read by split; the header's own columns are taken by name."""
     if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], schema)
     header = spark.read.option("sep", "\t").option("header", True).csv(path).limit(0).columns
     plain = [c.split(":")[0] for c in header]
-    raw = spark.read.schema(", ".join(f"`{c}` string" for c in plain)).options(sep="\t", header=True, multiLine=True, quote='"', escape='"').csv(path)
     kinds = [f.strip().split(" ", 1) for f in schema.split(", ")]
+    fields = F.from_csv("value", ", ".join(f"`{c}` string" for c in plain), {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    raw = records(spark, path).where("not first").select(fields.alias("r")).select("r.*")
     return raw.select(*[(F.col(c).try_cast(k) if c in plain else F.lit(None).cast(k)).alias(c) for c, k in kinds])
 
 

@@ -375,14 +375,68 @@ def test_memory(spark):
     assert sorted((r["entity_type"], r["entity_id"]) for r in memory.patches(answers, known).collect()) == [("item", 0), ("item", 3), ("user", 1)]
 
 
-def test_streams(spark, tmp_path):
-    schema = "entity_type string, entity_id long, memory string, seq long"
-    spark.createDataFrame([("user", 1, "a", 1)], schema).write.parquet(f"{tmp_path}/in")
-    run = lambda: incremental.append_patches(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/log", f"{tmp_path}/state").awaitTermination()
+PATCH = "entity_type string, entity_id long, memory string, seq long"
+
+
+def _versions(path):
+    return {int(b.name[7:]): sorted(int(v.parent.name[8:]) for v in path.glob(f"version=*/{b.name}")) for b in path.glob("version=*/bucket=*")}
+
+
+def test_patch_stream(spark, tmp_path):
+    """Batches rewrite the buckets that they touch, repeated patches count once, and the rest stays as it was."""
+    run = lambda: incremental.upsert_patches(spark.readStream.schema(PATCH).parquet(f"{tmp_path}/in"), f"{tmp_path}/kept", f"{tmp_path}/state", buckets=16).awaitTermination()
+    log = [("user", k, f"m{k}", 1) for k in range(40)] + [("user", 1, " ", 9), ("item", 1, "i", 3)]
+    spark.createDataFrame(log, PATCH).write.parquet(f"{tmp_path}/in")
     run()
-    spark.createDataFrame([("user", 1, "b", 2), ("user", 1, "old", 0), ("user", 1, "a", 1)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    more = [("user", 1, "b", 2), ("user", 1, "old", 0), ("user", 1, "m1", 1), ("user", 1, "b", 2)]
+    spark.createDataFrame(more, PATCH).write.mode("append").parquet(f"{tmp_path}/in")
     run()
-    assert [(r["memory"], r["n_updates"]) for r in incremental.memories(spark, f"{tmp_path}/log").collect()] == [("b", 3)]
+    log += more
+    want = {tuple(r) for r in memory.compacted(spark.createDataFrame(log, PATCH).distinct()).collect()}
+    got = incremental.memories(spark, f"{tmp_path}/kept").select("entity_type", "entity_id", "memory", "seq", "n_updates").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    versions = _versions(tmp_path / "kept")
+    assert len(versions) > 8 and sum(len(v) == 2 for v in versions.values()) == 1 and sum(v == [0] for v in versions.values()) == len(versions) - 1
+
+
+def test_bucketed_state_replays(spark, tmp_path):
+    """A batch that runs again, also after part of it was written, leaves the same rows; old versions can go."""
+    state = incremental.BucketedState(spark, f"{tmp_path}/s", incremental.ENTITY, buckets=4)
+    rows = lambda *x: memory.compacted(spark.createDataFrame(list(x), PATCH))
+    read = lambda: sorted((r["entity_id"], r["memory"], r["n_updates"]) for r in state.read().collect())
+    state.merge(0, rows(*[("user", k, "a", 1) for k in range(9)]), incremental.merged_memories)
+    for _ in range(3):
+        assert len(state.merge(1, rows(("user", 3, "b", 2)), incremental.merged_memories)) == 1
+        assert read() == sorted([(k, "a", 1) for k in range(9) if k != 3] + [(3, "b", 2)])
+    (tmp_path / "s/manifest/batch=1/_SUCCESS").unlink()  # the batch did not get to its end: the one before it is read
+    assert read() == [(k, "a", 1) for k in range(9)]
+    state.merge(1, rows(("user", 3, "b", 2)), incremental.merged_memories)
+    assert state.merge(2, rows(("user", 3, "  ", 5)), incremental.merged_memories) == []
+    state.merge(3, rows(("user", 3, "c", 1), ("user", 5, "d", 7)), incremental.merged_memories)
+    before = read()
+    state.vacuum(keep=1)
+    assert read() == before == sorted([(k, "a", 1) for k in range(9) if k not in (3, 5)] + [(3, "b", 3), (5, "d", 2)])
+    assert all(len(v) == 1 for v in _versions(tmp_path / "s").values())
+
+
+def test_degree_stream(spark, tmp_path):
+    """What a batch writes are the nodes that it changed; runs are merged by level and replays change nothing."""
+    schema, edges = "user_id long, item_id long", []
+    run = lambda: incremental.upsert_degrees(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/d", f"{tmp_path}/state", fanout=2).awaitTermination()
+    for k in range(5):
+        new = [(u, u % 7) for u in range(200)] if k == 0 else [(k, 3)]
+        edges += new
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+        want = sorted(tuple(r) for r in graph.degrees(spark.createDataFrame(edges, schema)).collect())
+        assert sorted(tuple(r) for r in incremental.current_degrees(spark, f"{tmp_path}/d").select("kind", "id", "degree").collect()) == want
+    written = {int(p.name[4:]): spark.read.parquet(str(p)).count() for p in (tmp_path / "d").glob("level=0/run=*")}
+    assert written == {0: 207, 1: 2, 2: 2, 3: 2, 4: 2}
+    held = incremental._newest(spark, f"{tmp_path}/d")
+    assert len(held) < 5 and max(r["level"] for r in held) == 1
+    runs = incremental.ChangeRuns(spark, f"{tmp_path}/d", incremental.NODE, fanout=2)
+    runs.append(4, spark.createDataFrame([("user", 4, 2), ("item", 3, 33)], "kind string, id long, degree long"))
+    assert sorted(tuple(r) for r in runs.read().select("kind", "id", "degree").collect()) == want
 
 
 def test_files(spark, tmp_path):
