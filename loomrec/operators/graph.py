@@ -27,38 +27,83 @@ def item_neighbors(edges: DataFrame, most: int = 100) -> DataFrame:
     return edges.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most).select("user_id", "item_id", "recency", "ord")
 
 
-def user_neighbors(edges: DataFrame, most: int = 50, max_item_degree: int | None = None, hot_degree: int = 10_000, hot_items: int = 8, block: int = 4096) -> DataFrame:
+def user_neighbors(edges: DataFrame, most: int = 50, max_item_degree: int | None = None, hot_degree: int = 10_000, hot_items: int = 8, block: int = 4096, light_degree: int = 512) -> DataFrame:
     """user_id, neighbor_id, overlap, ord: users by bag overlap, then first shared position, then id.
 
-    Edges are summed up per (user, item) before users meet over an item. Results are the same whatever the last three
+    Edges are summed up per (user, item) before users meet over an item. Results are the same whatever the last four
     parameters are: the hot_items items of most users, if they have more than hot_degree, make no pairs of users (see
-    _over_hot), and of other items the users are dealt to blocks, so that no key joins more than block users to the rest.
+    _over_hot); items of more than light_degree users are met in order of their users' number, by those users alone that
+    may still find a neighbour there (see _bounded_pairs); and the users of large items are dealt to blocks, so that no
+    key joins more than block users to the rest.
     max_item_degree leaves out items of more users than that; it changes results and is off unless given."""
     bag = edges.groupBy("user_id", "item_id").agg(F.count("*").alias("k"), F.min("pos").alias("first"))
-    d = bag.groupBy("item_id").agg(F.count("*").alias("d"))
+    d = bag.groupBy("item_id").agg(F.count("*").alias("d"), F.max("k").alias("top"))
     if max_item_degree is not None:
         d = d.where(F.col("d") <= max_item_degree)
         bag = bag.join(d.select("item_id"), "item_id", "left_semi")
-    hot = [r["item_id"] for r in d.where(F.col("d") > hot_degree).orderBy(F.desc("d"), "item_id").limit(hot_items).collect()]
+    largest = [(r["item_id"], r["d"]) for r in d.orderBy(F.desc("d"), "item_id").limit(hot_items + 1).collect()]
+    hot = [i for i, n in largest[:hot_items] if n > hot_degree]
     rest = bag.where(~F.col("item_id").isin(hot)) if hot else bag
-    pairs = _pairs(rest, d, block)
+    if [n for i, n in largest if i not in hot and n > light_degree]:
+        pairs = _bounded_pairs(bag, d, hot, most, block, light_degree)
+    else:
+        pairs = _pairs(rest, rest, d, block)
     if hot:
         pairs = _over_hot(materialise(bag.where(F.col("item_id").isin(hot)), "hot"), pairs, hot, most)
     order = Window.partitionBy("user_id").orderBy(F.desc("overlap"), "first", "neighbor_id")
     return pairs.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most).select("user_id", "neighbor_id", "overlap", "ord")
 
 
-def _pairs(bag: DataFrame, degrees: DataFrame, block: int) -> DataFrame:
-    """user_id, neighbor_id, overlap, first of users with an item in common; a large item's users are dealt to blocks on
-    one side and repeated for every block on the other."""
+def _pairs(mine: DataFrame, other: DataFrame, degrees: DataFrame, block: int) -> DataFrame:
+    """user_id, neighbor_id, overlap, first of users of mine and of other with an item in common; a large item's users are
+    dealt to blocks on one side and repeated for every block on the other."""
     large = degrees.where(F.col("d") > block).select("item_id", F.ceil(F.col("d") / block).cast("int").alias("blocks"))
-    bag = bag.join(large, "item_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = bag.withColumn("at", F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int"))
-    other = bag.select("item_id", F.col("user_id").alias("neighbor_id"), F.col("k").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+    mine, other = (x.join(large, "item_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for x in (mine, other))
+    mine = mine.withColumn("at", F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int"))
+    other = other.select("item_id", F.col("user_id").alias("neighbor_id"), F.col("k").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
     pairs = mine.join(other, ["item_id", "at"]).where("user_id <> neighbor_id")
     return pairs.groupBy("user_id", "neighbor_id").agg(F.sum(F.col("k") * F.col("k2")).alias("overlap"), F.min("first").alias("first"))
 
 
+def _bounded_pairs(bag: DataFrame, degrees: DataFrame, hot: list, most: int, block: int, light_degree: int) -> DataFrame:
+    """Pairs over the items that are not hot, as _pairs() gives them, but for those that cannot be among a user's first `most`.
+
+    Items are met by level, each of four times as many users as the one before. What a user can still gain from items not
+    met is at most the sum of its own counts times the largest count of each. Once the last of its first `most` has more
+    than that, nobody whom it has not met yet can come in: the search ends, and those it has met that are still near
+    enough are completed by looking up what they have in the other items. Others go on to the next level."""
+    level = F.when(F.col("d") <= light_degree, 0).otherwise(F.ceil(F.log(F.col("d") / light_degree) / F.log(F.lit(4.0)))).cast("int")
+    level = F.when(F.col("item_id").isin(hot), 1 << 20).otherwise(level) if hot else level
+    bag = materialise(bag.join(degrees, "item_id").select("user_id", "item_id", "k", "first", level.alias("level"), (F.col("k") * F.col("top")).alias("gain")), "leveled")
+    levels = sorted(r["level"] for r in bag.select("level").distinct().collect() if r["level"] < 1 << 20)  # a few dozen at most
+    searching, met, out = None, None, None
+    for at in levels:
+        here = bag.where(F.col("level") == at)
+        mine = here if searching is None else here.join(searching, "user_id", "left_semi")
+        found = _pairs(mine, here, degrees, block)
+        if met is not None:
+            found = met.join(searching, "user_id", "left_semi").unionByName(found).groupBy("user_id", "neighbor_id").agg(F.sum("overlap").alias("overlap"), F.min("first").alias("first"))
+        met = materialise(found, "met")
+        if at == levels[-1]:
+            out = met if out is None else out.unionByName(met)
+            break
+        left = bag.where(F.col("level") > at).groupBy("user_id").agg(F.sum("gain").alias("left"))
+        nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("overlap")))
+        last = met.select("user_id", "overlap", nth.alias("nth")).where(F.col("nth") == most).select("user_id", F.col("overlap").alias("least"))
+        users = bag.select("user_id").distinct() if searching is None else searching
+        state = users.join(left, "user_id", "left").join(last, "user_id", "left").select("user_id", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("least", F.lit(0)).alias("least"))
+        state = materialise(state.withColumn("done", (F.col("left") == 0) | (F.col("least") > F.col("left"))), "search")
+        near = met.join(state.where("done"), "user_id").where(F.col("overlap") + F.col("left") >= F.col("least")).select("user_id", "neighbor_id", "overlap", "first")
+        beyond = bag.where((F.col("level") > at) & (F.col("level") < 1 << 20))
+        theirs = beyond.select(F.col("user_id").alias("neighbor_id"), "item_id", F.col("k").alias("k2"))
+        more = near.select("user_id", "neighbor_id").join(beyond.select("user_id", "item_id", "k", "first"), "user_id").join(theirs, ["neighbor_id", "item_id"])
+        more = more.select("user_id", "neighbor_id", (F.col("k") * F.col("k2")).alias("overlap"), "first")
+        whole = near.unionByName(more).groupBy("user_id", "neighbor_id").agg(F.sum("overlap").alias("overlap"), F.min("first").alias("first"))
+        out = whole if out is None else out.unionByName(whole)
+        searching = state.where("not done").select("user_id")
+    return materialise(out, "bounded")
+
+
 def _over_hot(bag: DataFrame, pairs: DataFrame, hot: list, most: int) -> DataFrame:
     """pairs completed by what users have in common in hot items, with every pair that may be among a user's first `most`
     and has only hot items in common.

@@ -147,12 +147,37 @@ def test_neighbors_over_an_item_of_all(spark):
             if o != u and both:
                 seen.append((-sum(len(mine[i]) * len(other[i]) for i in both), min(min(mine[i]) for i in both), o))
         want += [(u, o, -n, k) for k, (n, _, o) in enumerate(sorted(seen)[:6], 1)]
-    for hot, n, block in ((10, 3, 4096), (10, 1, 4096), (10, 2, 7), (1000, 8, 16), (1000, 8, 4096)):
-        got = graph.user_neighbors(edges, 6, hot_degree=hot, hot_items=n, block=block).collect()
-        assert sorted(map(tuple, got)) == sorted(want), (hot, n, block)
+    for hot, n, block, light in ((10, 3, 4096, 512), (10, 1, 4096, 1), (10, 2, 7, 2), (1000, 8, 16, 3), (1000, 8, 4096, 512)):
+        got = graph.user_neighbors(edges, 6, hot_degree=hot, hot_items=n, block=block, light_degree=light).collect()
+        assert sorted(map(tuple, got)) == sorted(want), (hot, n, block, light)
     assert graph.user_neighbors(edges.limit(0)).count() == 0
 
 
+def test_neighbor_search_ends(spark, monkeypatch):
+    """Users who share rare items meet few others over an item that all have: far fewer pairs than d^2, and the same neighbours."""
+    r = random.Random(4)
+    rows = []
+    for u in range(400):
+        team = u // 8  # eight users who share five rare items, some of them twice
+        items = [1000 + 10 * team + k for k in range(5)] + [1000 + 10 * team + r.randrange(5)] + [r.randrange(3)] + [7] * (u % 40 == 0)
+        rows += [(u, i, p) for p, i in enumerate(items)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, pos int")
+    made, plain = [], graph._pairs
+
+    def counted(mine, other, degrees, block):
+        made.append(mine.select("item_id").join(other.select("item_id"), "item_id").count())
+        return plain(mine, other, degrees, block)
+
+    monkeypatch.setattr(graph, "_pairs", counted)
+    every = sorted(map(tuple, graph.user_neighbors(edges, 5).collect()))
+    whole = sum(made)
+    made.clear()
+    assert sorted(map(tuple, graph.user_neighbors(edges, 5, light_degree=16).collect())) == every
+    assert sum(made) < 0.3 * whole and len(made) > 1
+    made.clear()
+    assert sorted(map(tuple, graph.user_neighbors(edges, 5, light_degree=16, hot_degree=130, hot_items=1).collect())) == every
+
+
 def test_split_and_neighbors(bag):
     lists, split = bag
     train = {u: v[:-2] for u, v in lists.items() if len(v) >= 3}
