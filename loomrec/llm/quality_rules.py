@@ -8,10 +8,13 @@ language's, and that one likewise with all documents', so that a small group fol
 Fences lie a few quartile distances outside the quartiles and are joined to the documents. Word lengths are measured by the ratio of the quartiles, so that a low fence
 stays positive.
 
-No cutoff is fixed: a document fails where it lies outside its group's fence and further from the group's quartile than
-counting alone explains. A count s out of n is judged against the quartile q on the scale of square roots, where a
-count's standard deviation is 1/2 however large it is: sqrt(s) may exceed sqrt(n * q) by `reach` of these (each count
-with 3/8 added). For a mean word length a word's length is taken to deviate by about half the mean.
+No cutoff is fixed: a document fails where it lies outside its group's fence and further from what is usual in the
+group than counting alone explains. Usual is the upper quartile of the group's sketch or its mean, whichever is more: of
+signs and repeated lines most documents have none, so the quartile is 0 and the mean says how many a text of some length
+may have. A count s out of n is judged against the usual rate q on the scale of square roots, where a count's standard
+deviation is 1/2 however large it is: sqrt(s) may exceed sqrt(n * q) by `reach` of these (each count with 3/8 added), so
+what is allowed grows with a text's length. Repeated lines are counted per word, as lines are long or short. For a mean
+word length a word's length is taken to deviate by about half the mean.
 
 Defined results: null or blank text has no words and fails the base rule; null language or source is a group of its
 own; equal rows are judged alike; an empty table gives an empty result; extra columns are ignored unless `carry` names
@@ -33,11 +36,11 @@ from loomrec.llm.text import SPACES, gram_codes, slices, words
 from loomrec.scratch import materialise
 
 SYMBOLS = "#*$%&|<>"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutters")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_stutters")
 #: Measure: (count, out of, quartile distances in one reach). Only high values of these are bad.
 MEASURES = {
     "symbols": ("n_symbols", "n_words", 1),
-    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "dup_lines": ("n_dup_lines", "n_words", 1),
     "upper": ("n_upper", "word_chars", 3),
     "stutters": ("n_stutters", "n_words", 3),
 }
@@ -66,7 +69,7 @@ def counts(text: str | None) -> tuple[int, ...]:
     upper = int(((raw >= 65) & (raw <= 90)).sum())
     if not text.isascii():
         upper += sum(c.isupper() for c in text if c > "\x7f")
-    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), covered, len(lines), upper, sum(map(eq, w, w[1:]))
+    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), covered, upper, sum(map(eq, w, w[1:]))
 
 
 def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -116,20 +119,21 @@ def blended(sketches: DataFrame, prior: int) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, gamma: float) -> DataFrame:
-    """(lang, source, measure, docs, q25, q75) as the sketches give them."""
+    """(lang, source, measure, docs, mean, q25, q75) as the sketches give them."""
     group = Window.partitionBy("lang", "source", "measure")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     s = sketches.withColumn("upto", upto).withColumn("docs", F.sum("n").over(group))
     value = F.when(F.col("bucket") == -100000, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), F.col("bucket") - 0.5))
     quart = [F.min(F.when(F.col("upto") >= q * F.col("docs"), F.struct("bucket", value.alias("v"))))["v"].alias(f"q{int(100 * q)}") for q in (0.25, 0.75)]
-    return s.groupBy("lang", "source", "measure").agg(F.max("docs").alias("docs"), *quart)
+    mean = F.sum(F.col("n") * value) / F.sum("n")
+    return s.groupBy("lang", "source", "measure").agg(F.max("docs").alias("docs"), mean.alias("mean"), *quart)
 
 
 def fences(found: DataFrame, reach: float) -> DataFrame:
-    """(_lang, _source, and each measure's quartile and fence) for every group."""
-    s = found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "measure", "q25", "q75")
+    """(_lang, _source, and each measure's usual rate and fence) for every group."""
+    s = found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "measure", "mean", "q25", "q75")
     times = F.create_map(*[F.lit(x) for m, (*_, k) in MEASURES.items() for x in (m, float(k))])[F.col("measure")]
-    ends = [F.max(F.when(F.col("measure") == m, c)).alias(f"_{name}_{m}") for m in MEASURES for name, c in (("usual", F.col("q75")), ("high", F.col("q75") + reach * times * (F.col("q75") - F.col("q25"))))]
+    ends = [F.max(F.when(F.col("measure") == m, c)).alias(f"_{name}_{m}") for m in MEASURES for name, c in (("usual", F.greatest("q75", "mean")), ("high", F.col("q75") + reach * times * (F.col("q75") - F.col("q25"))))]
     ends += [F.max(F.when(F.col("measure") == LENGTH, c)).alias(f"_{name}_{LENGTH}") for name, c in (("low", F.col("q25")), ("high", F.col("q75")), ("factor", F.pow(F.col("q75") / F.col("q25"), F.lit(reach * LENGTH_TIMES))))]
     return s.groupBy("_lang", "_source").agg(*ends)
 
