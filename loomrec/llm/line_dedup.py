@@ -6,9 +6,12 @@ largest document that holds them; keys that a run holds already go to a tally of
 runs they are merged into one of the next level, so a batch meets few runs however many batches came before it.
 Because later ids come first, the run that first holds a key names the document that keeps it.
 
+Lines travel as (document, position, hash), without their text. What a document loses are positions, taken from the
+sequence of all positions by hash, so the work is linear in a document's lines.
+
 Defined results: null or empty text is one empty line; a document without an id takes no part and stays as it is; rows
 that repeat a doc_id count as one document and each keeps its row; an empty table gives an empty result; extra columns
-are carried through, but for kept_text, n_dropped, _id, _drops and _kept, which are replaced or dropped.
+are carried through, but for kept_text, n_dropped and the names of SCRATCH, which are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from loomrec.llm.mixing import few
 from loomrec.scratch import materialise, shared_dir
 
 BATCH_DOCS = 50_000_000
+SCRATCH = ("_id", "_key", "_text", "_drops", "_lines", "_kept")
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,12 +98,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _keys(text: Column, min_chars: int) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: F.length(k) >= min_chars)
-
-
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int | None, fanout: int) -> DataFrame:
-    """(doc_id, h1, h2): the lines that a document loses."""
+    """(doc_id, text_key, pos): the lines that each document loses, by position; text_key tells rows of one doc_id apart."""
     ids = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     if batches is None:  # more for a larger input, so that a batch stays of a size that one sort can take
         batches = 4 + int(ids.count() // BATCH_DOCS)
@@ -108,35 +108,37 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int
     batch = F.lit(0)
     for k, cut in enumerate(cuts):
         batch = F.when(F.col("doc_id") > cut, k + 1).otherwise(batch)
-    lines = ids.select("doc_id", batch.alias("batch"), F.explode(F.array_distinct(F.transform(_keys(F.col("text"), min_chars), line_hash))).alias("k"))
-    lines = materialise(lines.select("doc_id", "batch", "k.h1", "k.h2"), "lines")
+    # Keys are taken of whole texts before their lines become rows.
+    each = ids.select("doc_id", text_key(F.col("text")).alias("text_key"), batch.alias("batch"), F.split("text", "\n").alias("lines"))
+    each = each.select("doc_id", "text_key", "batch", F.posexplode("lines").alias("pos", "line"))
+    keyed = each.select("doc_id", "text_key", "batch", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    lines = materialise(keyed.select("doc_id", "text_key", "batch", "pos", line_hash(F.col("key")).alias("k")).select("doc_id", "text_key", "batch", "pos", "k.h1", "k.h2"), "lines")
     store = LineRuns(docs.sparkSession, fanout)
     for b in range(len(cuts), -1, -1):
         held = lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.max("doc_id").alias("holder"), F.count("*").alias("n"))
         store.add(materialise(held, "batch_keys"))
-    # Rows that repeat a doc_id were counted as often; over the few lines left, documents are counted exactly.
+    # Lines that a document repeats, and rows that repeat a doc_id, were counted as often; over the few lines left, documents are counted exactly.
     frequent = materialise(store.frequent(min_docs), "frequent")
-    found = lines.join(few(frequent, 100_000), ["h1", "h2"]).select("doc_id", "h1", "h2", "holder").distinct()
-    found = materialise(found, "found")
-    enough = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
-    return found.where("doc_id < holder").join(enough, ["h1", "h2"]).select("doc_id", "h1", "h2")
+    found = materialise(lines.join(few(frequent, 100_000), ["h1", "h2"]).select("doc_id", "text_key", "pos", "h1", "h2", "holder"), "found")
+    enough = found.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    return found.where("doc_id < holder").join(few(materialise(enough, "enough"), 100_000), ["h1", "h2"]).select("doc_id", "text_key", "pos")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 2) -> DataFrame:
     """docs with two more columns: kept_text, the lines that stay joined by \\n, and n_dropped.
 
     A line key of at least min_chars characters found in at least min_docs documents stays in the largest doc_id alone."""
-    docs = docs.drop("kept_text", "n_dropped", "_id", "_drops", "_kept")
+    docs = docs.drop("kept_text", "n_dropped", *SCRATCH)
     drops = repeated_lines(docs, min_chars, min_docs, batches, fanout)
-    drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_drops"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains("_drops", line_hash(key))
-
-    out = docs.join(drops, F.col("doc_id") == F.col("_id"), "left")
-    out = out.withColumn("_kept", F.when(F.col("_drops").isNotNull(), F.filter(lines, stays)))
-    out = out.withColumn("kept_text", F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_kept", "\n")))
-    out = out.withColumn("n_dropped", F.when(F.col("_drops").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
-    return out.drop("_id", "_drops", "_kept")
+    drops = drops.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("_drops"))
+    # The lines are a column of the joined rows, so that they are split once and not once a position.
+    out = docs.withColumns({"_text": text_key(F.col("text")), "_lines": F.split(F.coalesce("text", F.lit("")), "\n")})
+    out = out.join(drops, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drops")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    out = out.withColumn("kept_text", F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept))
+    return out.withColumn("n_dropped", F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long")).drop(*SCRATCH)
