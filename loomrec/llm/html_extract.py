@@ -12,9 +12,12 @@ The capacity of a kind of edge is half the log odds that its ends have one label
 capacity are on one scale. Weights and capacities start from those of `DEFAULT`, which hold where no page is marked.
 
 What the result must not hold by its definition has fixed log odds: menus, footers, sidebars, forms and hidden elements
-are never content, nor page headers; words in attributes that name such a part count strongly against all that an
-element holds, unless it wraps the page: it holds most of the text of the page's main or article elements, or, on a page
-that has none, most of its text. Words that may as well belong to an article (legal, related, share) are only features.
+are never content, nor page headers; words in attributes that name nothing but such a part (cookie, sidebar, comments)
+count strongly against all that an element holds, unless it wraps the page: it holds most of the text of the page's main
+or article elements, or, on a page that has none, most of its text. Words that an article's own parts may have (menu,
+notice, a single comment or reply) are features with a weight each, fitted to how often marked articles hold them, so
+that text and neighbours decide; two or more comments or replies under one element are readers' and count strongly.
+Words that may as well belong to an article (legal, related, share) are only features.
 Within a block, runs of text in inline elements that are hidden or marked as boilerplate are left out.
 
 Defined results: null or empty html, or a page without content, gives empty text; broken markup never fails (unclosed
@@ -25,7 +28,7 @@ carried if named.
 from __future__ import annotations
 
 import re
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from html import unescape
 from math import log1p
@@ -59,9 +62,12 @@ NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 PAGE_HEADER, IN_ARTICLE, BESIDE_ARTICLE, NAMED, HINT_GOOD = -8.0, 3.0, -3.5, -12.0, 1.0
 #: Words that name what the text is to be without.
 NAMED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored nav navbar navigation menu sidebar aside footer header masthead topbar cookie cookies consent "
-    "gdpr notice notification newsletter subscribe subscription signup comment comments commentlist reply replies respond disqus breadcrumb breadcrumbs pagination pager paging".split()
+    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored nav navbar navigation sidebar footer header masthead topbar cookie cookies consent "
+    "gdpr newsletter subscribe signup comments commentlist replies disqus breadcrumb breadcrumbs pagination pager".split()
 )
+#: Words that name such parts on many pages and parts of the article on others; those of a thread count as NAMED if repeated.
+DOUBTFUL_WORDS = ("menu", "notice", "notification", "subscription", "comment", "reply", "respond", "aside", "paging")
+REPEATED = frozenset(("comment", "reply", "respond"))
 #: Words that are more often beside an article than in one.
 BESIDE_WORDS = frozenset(
     "promo promotion promoted banner alert popup modal overlay social share sharing related recommend recommended recommendations discussion widget login register copyright legal "
@@ -75,7 +81,7 @@ MOST, NEARLY_ALL = 0.5, 0.9
 NEIGHBOURLY = -5.0
 #: Kinds of edges: following one another, and so under one element; neighbours under one element; under one grandparent.
 FOLLOWS, FOLLOWS_SAME, SIBLING, COUSIN = range(4)
-FEATURES = ("one", "paragraph", "heading", "item", "cell", "words", "links", "sentence", "beside")
+FEATURES = ("one", "paragraph", "heading", "item", "cell", "words", "links", "sentence", "beside", *DOUBTFUL_WORDS)
 LEAST_CAPACITY, MOST_CAPACITY = 0.05, 1.5
 
 
@@ -86,22 +92,22 @@ class Model(NamedTuple):
     capacities: tuple[float, ...]
 
 
-DEFAULT = Model((-1.0, 1.0, 0.6, -0.2, -0.4, 0.55, -3.0, 0.4, -1.0), (0.4, 0.9, 0.9, 0.4))
+DEFAULT = Model((-1.0, 1.0, 0.6, -0.2, -0.4, 0.55, -3.0, 0.4, -1.0, *[-4.0] * len(DOUBTFUL_WORDS)), (0.4, 0.9, 0.9, 0.4))
 #: Of the weights: how firmly DEFAULT holds. The share of content, and how long it is, differ from page to page.
-PRECISIONS = (10.0, 1.0, 1.0, 1.0, 1.0, 10.0, 1.0, 1.0, 1.0)
+PRECISIONS = (10.0, 1.0, 1.0, 1.0, 1.0, 10.0, 1.0, 1.0, 1.0, *[1.0] * len(DOUBTFUL_WORDS))
 
 
 class Element:
-    """hard and soft are an element's own log odds, bias those of all elements around it too; soft ones fall away from
-    elements that wrap the page (`settle`)."""
+    """hard and soft are an element's own log odds, bias those of all elements around it too; named are the doubtful words
+    of all of them. Soft ones and words fall away from elements that wrap the page (`settle`)."""
 
-    __slots__ = ("tag", "hard", "soft", "thread", "beside", "doubtful", "marked", "article", "link", "parent", "block", "bias", "mute", "size", "main_size")
+    __slots__ = ("named", "tag", "hard", "soft", "thread", "beside", "doubtful", "marked", "article", "link", "parent", "block", "bias", "mute", "size", "main_size")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.parent = tag, parent
         self.article, self.link, self.beside = (parent.article, parent.link, parent.beside) if parent else (False, False, False)
         self.hard = self.soft = self.bias = self.mute = 0.0
-        self.thread = False
+        self.thread, self.named = False, frozenset()
         self.size = self.main_size = 0
         self.block = tag in BLOCK
         if tag == "a":
@@ -127,6 +133,8 @@ class Element:
                 found = set(WORDS.findall(value))
                 bad = found & NAMED_WORDS
                 self.beside |= bool(found & BESIDE_WORDS)
+                self.named |= found.intersection(DOUBTFUL_WORDS)
+                self.thread |= bool(found & REPEATED)
                 if bad == {"header"} and (self.article or found & GOOD_WORDS):  # an article's own head
                     continue
                 if bad:
@@ -159,11 +167,16 @@ def settle(elements: list[Element], runs: list[tuple[Element, int]]) -> None:
             e.parent.size += e.size
             e.parent.main_size += e.main_size
     top = elements[0]
+    said = Counter((id(e.parent), word) for e in elements for word in e.named & REPEATED)
     for e in elements:
-        if e.soft:
+        if any(said[id(e.parent), word] > 1 for word in e.named):
+            e.soft += NAMED
+        if e.soft or e.named:
             inside, whole = (e.main_size, top.main_size) if top.main_size else (e.size, top.size)
             if not (e.marked and top.main_size) and inside > (NEARLY_ALL if e.thread else MOST) * whole:
-                e.soft = 0.0
+                e.soft, e.named = 0.0, frozenset()
+        if e.parent:
+            e.named |= e.parent.named
         e.bias = e.hard + e.soft + (e.parent.bias if e.parent else 0.0)
 
 
@@ -253,7 +266,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[float, ...]], list[Element]
         kinds = (tag in ("p", "blockquote", "pre"), tag[0] == "h" and tag[1:].isdigit(), tag in ("li", "dt", "dd"), tag in ("td", "th"))
         sentence = n > 2 and text[-1] in ".!?:;…。\"'”»)"
         texts.append(text)
-        rows.append((1.0, *map(float, kinds), min(5.0, log1p(n)), min(1.0, linked / len(text)), float(sentence), float(near.beside)))
+        rows.append((1.0, *map(float, kinds), min(5.0, log1p(n)), min(1.0, linked / len(text)), float(sentence), float(near.beside), *(float(w in near.named) for w in DOUBTFUL_WORDS)))
         around.append(near)
     return texts, rows, around
 

@@ -607,6 +607,12 @@ LONG = prose(70, 30)
         (f"<h1>Study</h1><div class='related-work'><p>{LONG}.</p><p>{LONG}!</p></div>", f"Study\n{LONG}.\n{LONG}!"),
         (f"<article><p>{LONG}.</p><section class='comments'><p>{LONG}, said a reader.</p></section></article>", f"{LONG}."),
         (f"<div class=cookie-notice><p>We use cookies, {LONG}.</p></div><div><p>{LONG}.</p><p>{LONG}.</p></div>", f"{LONG}.\n{LONG}."),
+        ("<article><h1>Council</h1><p>It met.</p><div class='notice-of-meeting'><p>The council gave notice of its next meeting on Monday.</p></div></article>", "Council\nIt met.\nThe council gave notice of its next meeting on Monday."),
+        (f"<article><p>{LONG}.</p><blockquote class='reply'>We will not go, the minister said.</blockquote><p>{LONG}.</p></article>", f"{LONG}.\nWe will not go, the minister said.\n{LONG}."),
+        (f"<article><h1>Soup</h1><div id='menu'><p>Our menu for the week begins with a soup.</p></div><p>{LONG}.</p></article>", f"Soup\nOur menu for the week begins with a soup.\n{LONG}."),
+        (f"<article><h1>Views</h1><div class='comment'><p>{LONG}, we think.</p><p>{LONG}.</p></div></article>", f"Views\n{LONG}, we think.\n{LONG}."),
+        (f"<article><p>{LONG}.</p><ul class='menu'><li><a href=a>Home</a><li><a href=b>News</a></ul></article>", f"{LONG}."),
+        (f"<article><p>{LONG}.</p><ol><li class=comment><p>{LONG}, said a reader.</p><li class=comment><p>No, it is {LONG}.</p></ol></article>", f"{LONG}."),
     ],
 )
 def test_html_words_in_attributes(html, want, fitted):
@@ -665,20 +671,42 @@ def test_html_neighbours_decide():
     assert minimum_cut([-0.4, 3.0, 3.0], [(0, 1, 0.9), (1, 2, 0.9)]) == [True, True, True]
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_html_pages_by_brute_force(seed):
+    """The text of small generated pages, marked or not, is that of the best of all labellings."""
+    from loomrec.llm.html_extract import blocks, log_odds, main_text, neighbours
+
+    r = random.Random(seed)
+    piece = lambda: r.choice([f"<p>{prose(r.randrange(99), r.randrange(1, 12))}</p>", f"<div class={r.choice(['menu', 'comment', 'notice', 'ad', 'x'])}><p>{prose(r.randrange(99), 9)}.</p></div>", f"<li><a href=a>{prose(r.randrange(99), 2)}</a>", f"<h2>{prose(r.randrange(99), 3)}</h2>"])
+    inner = "".join(piece() for _ in range(r.randrange(1, 6)))
+    html = f"<body>{''.join(piece() for _ in range(3))}{r.choice([f'<article>{inner}</article>', f'<div>{inner}</div>'])}{piece()}<footer>f</footer></body>"
+    model = _fitted()
+    texts, rows, around = blocks(html)
+    odds, edges = log_odds(rows, around, model.weights), [(i, j, model.capacities[k]) for i, j, k in neighbours(around)]
+
+    def cost(label):
+        return sum(abs(o) for o, x in zip(odds, label) if (o > 0) != x) + sum(c for i, j, c in edges if label[i] != label[j])
+
+    labels = [[bool(k >> i & 1) for i in range(len(texts))] for k in range(1 << len(texts))]
+    best = min(map(cost, labels))
+    assert main_text(html, model) in {"\n".join(t for t, x in zip(texts, label) if x) for label in labels if cost(label) < best + 1e-9}
+
+
 def test_html_model_is_the_best():
     """No small step away from the fitted weights makes the labels and the prior more likely."""
     from loomrec.llm.html_extract import DEFAULT, PRECISIONS, fitted
 
     r = np.random.default_rng(3)
-    x = np.column_stack([np.ones(150), r.random((150, 8))])
-    y = (x @ r.standard_normal(9) + r.standard_normal(150) > 0).astype(float)
+    n = len(PRECISIONS)
+    x = np.column_stack([np.ones(150), r.random((150, n - 1))])
+    y = (x @ r.standard_normal(n) + r.standard_normal(150) > 0).astype(float)
     given = r.choice([0.0, -2.0], 150)
     w = np.asarray(fitted(np.column_stack([x, given]), y, np.zeros((4, 2))).weights)
 
     def loss(w):
         return np.log1p(np.exp(np.where(y > 0, -1, 1) * (x @ w + given))).sum() + 0.5 * (PRECISIONS * (w - DEFAULT.weights) ** 2).sum()
 
-    assert all(loss(w) <= loss(w + d) + 1e-9 for k in range(9) for d in (0.01 * np.eye(9)[k], -0.01 * np.eye(9)[k]))
+    assert all(loss(w) <= loss(w + d) + 1e-9 for k in range(n) for d in (0.01 * np.eye(n)[k], -0.01 * np.eye(n)[k]))
 
 
 @pytest.mark.parametrize("seed", range(30))
