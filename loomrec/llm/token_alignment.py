@@ -7,10 +7,10 @@ one's suffix and the right one's prefix make; without a common end on one side t
 operation is associative, so fragments of a very long text are composed by a tree, level by level, whichever tasks
 they come from.
 
-Texts are cut for the tokenizers where both provably start anew: before a single space between two characters that are
-no spaces, as no token of either holds a space behind another character. Parts of about `part_bytes` are
-dealt over tasks; a part gives one fragment for every byte range of `range_bytes` that it has tokens ending in. A
-stretch between two cuts (mostly a word) is tokenized once a task and looked up after that.
+Texts are cut for the tokenizers where both provably start anew: before a line end, or a single space, that follows a
+character that is no white space, as no token of either holds one behind such a character. Parts of about `part_bytes`
+are dealt over tasks; a part gives one fragment for every byte range of `range_bytes` that it has tokens ending in. A
+stretch between two cuts (mostly a word) is tokenized once a task, together with other new ones, and looked up after that.
 
 The corpus-wide counts of pairs are summed from a table of pairs by text and joined back; they are broadcast only after
 being counted.
@@ -42,8 +42,10 @@ from loomrec.scratch import materialise
 #: A token: (id, offset of its end).
 Token = tuple[int, int]
 PAIRS = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
-#: Where both tokenizers start anew: a single space between characters that are no white space.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Where both tokenizers start anew: a single space between characters that are no white space, a line end behind one.
+CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n))")
+#: Stretches that can be tokenized as one text, one behind the other.
+CHAINS = re.compile(r"(?: \S|\n).*(?<=\S)", re.S)
 
 
 def linked(a: list[Token], b: list[Token]) -> list[tuple[int, int]]:
@@ -145,27 +147,67 @@ class Pair:
         self.first.encode_special_tokens = True
         self.bytes_a = _byte_level(self.first)
         self.bytes_b = [_piece_bytes(self.second, i) for i in range(self.second.get_piece_size())]
-        self.safe = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for x in [*self.bytes_a.values(), *self.bytes_b])
+        self.safe = not any(re.search(r"\S[ \n]", x.decode("utf-8", "replace")) for x in [*self.bytes_a.values(), *self.bytes_b])
+        self.names = [str(i) for i in range(1 + max(len(self.bytes_b), *self.bytes_a))]
         self.seen: dict[str, tuple] = {}
-        self.most = 300_000
+        self.most = 150_000
 
     def __call__(self, stretches: list[str]) -> list[tuple]:
         """For each stretch (it begins with a space): bytes, n_a, n_b, n_groups, n_links, groups, pairs; groups is None where its tokens do not spell it."""
-        new = list({s for s in stretches if s not in self.seen})
-        if len(self.seen) + len(new) > self.most:
-            self.seen = {}
-            new = list(set(stretches))
-        if new:
-            for s, ids_a, ids_b in zip(new, *self.ids(new)):
-                a, b, ok = self.tokens(s, ids_a, ids_b)
-                f = whole(fragment(a, b)) if ok else Fragment()
-                pairs = tuple(x for x, n in f.pairs.items() for _ in range(n))
-                self.seen[s] = (len(s.encode("utf-8", "surrogatepass")), f.n_a, f.n_b, f.n_groups, f.n_links, b";".join(f.groups) if ok else None, pairs)
         seen = self.seen
+        new = {s for s in stretches if s not in seen}
+        if len(seen) + len(new) > self.most:
+            seen = self.seen = {}
+            new = set(stretches)
+        chain = [s for s in new if CHAINS.fullmatch(s)] if self.safe else []
+        for s in new.difference(chain):
+            self._one(s)
+        for a in range(0, len(chain), 4096):
+            self._chain(chain[a : a + 4096])
         return [seen[s] for s in stretches]
 
-    def ids(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.first.encode_batch(stretches, add_special_tokens=False)], self.second.encode([s[1:] for s in stretches], num_threads=1)
+    def ids(self, stretch: str) -> tuple[list[int], list[int]]:
+        """Both sides' ids; the second side puts a space before what it is given."""
+        ids_b = self.second.encode(stretch.removeprefix(" "))
+        return self.first.encode(stretch, add_special_tokens=False).ids, ids_b if stretch.startswith(" ") else ids_b[1:]
+
+    def _one(self, s: str) -> None:
+        a, b, ok = self.tokens(s, *self.ids(s))
+        f = whole(fragment(a, b)) if ok else Fragment()
+        pairs = [x for x, n in f.pairs.items() for _ in range(n)]
+        self.seen[s] = (len(s.encode("utf-8", "surrogatepass")), f.n_a, f.n_b, f.n_groups, f.n_links, b";".join(f.groups) if ok else None, pairs)
+
+    def _chain(self, chain: list[str]) -> None:
+        """Tokenize stretches as one text, behind a word of its own, and align each; where bytes differ, halves are tried."""
+        text = " x" + "".join(chain)
+        ids_a, ids_b = self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:])
+        bytes_a, bytes_b, names = self.bytes_a, self.bytes_b, self.names
+        raw = text.encode("utf-8", "surrogatepass")
+        if not (b"".join([bytes_a[i] for i in ids_a]) == raw == b"".join([bytes_b[i] for i in ids_b])):
+            for half in (chain[: len(chain) // 2], chain[len(chain) // 2 :]):
+                self._chain(half) if len(chain) > 1 else [self._one(s) for s in half]
+            return
+        i = j = 0
+        end_a = end_b = end = 0
+        for s in ["", *chain]:  # the first one is the word of its own
+            n = len(s.encode("utf-8", "surrogatepass")) if s else 2
+            end, first_a, first_b, groups, pairs = end + n, i, j, [], []
+            while end_a < end or end_b < end:  # one group
+                a, b = ids_a[i], ids_b[j]
+                end_a, end_b, i, j = end_a + len(bytes_a[a]), end_b + len(bytes_b[b]), i + 1, j + 1
+                name_a, name_b = names[a], names[b]
+                pairs.append(a << 32 | b)
+                while end_a != end_b:
+                    if end_a < end_b:
+                        a, i = ids_a[i], i + 1
+                        end_a, name_a = end_a + len(bytes_a[a]), f"{name_a},{names[a]}"
+                    else:
+                        b, j = ids_b[j], j + 1
+                        end_b, name_b = end_b + len(bytes_b[b]), f"{name_b},{names[b]}"
+                    pairs.append(a << 32 | b)
+                groups.append(f"{name_a}|{name_b}")
+            self.seen[s] = (n, i - first_a, j - first_b, len(groups), len(pairs), ";".join(groups).encode(), pairs)
+        del self.seen[""]
 
     def tokens(self, stretch: str, ids_a: list[int], ids_b: list[int]) -> tuple[list[Token], list[Token], bool]:
         """Both sides' tokens and whether they spell the stretch."""
@@ -212,7 +254,7 @@ def stretches_of(part: str, safe: bool) -> list[str]:
     if not safe:
         return [part]
     head, *rest = CUT.split(part)
-    return [head, *(" " + x for x in rest)]
+    return [head, *(x if x.startswith("\n") else " " + x for x in rest)]
 
 
 def fragments(first: int, part: str, pair: Pair, range_bytes: int) -> list[tuple[int, Fragment]]:
@@ -233,7 +275,7 @@ def fragments(first: int, part: str, pair: Pair, range_bytes: int) -> list[tuple
             r = int(where[k])
             out[r] = compose(out.get(r, Fragment()), closed(found[k:n]))
             continue
-        a, b, _ = pair.tokens(stretches[k], *(x[0] for x in pair.ids(stretches[k : k + 1])))
+        a, b, _ = pair.tokens(stretches[k], *pair.ids(stretches[k]))
         a, b = ([(i, e + int(begins[k])) for i, e in x] for x in (a, b))
         for r in sorted({e // range_bytes for _, e in a + b}):
             own = fragment(*([t for t in x if t[1] // range_bytes == r] for x in (a, b)))
