@@ -77,10 +77,16 @@ def parsed_snippets(texts: DataFrame) -> DataFrame:
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def letter(pos: Column) -> Column:
+    """A to Z for places 0 to 25, AA to ZZ for the next 676."""
+    one = lambda n: F.substring(F.lit(LETTERS), (n + 1).cast("int"), F.lit(1))
+    return F.when(pos < 26, one(pos)).otherwise(F.concat(one(F.floor(pos / 26) - 1), one(pos % 26)))
+
+
 def choice_prompt(requests: DataFrame) -> DataFrame:
     """requests (req_id, pos, title, memory, facets array<string>, instruction) -> req_id, prompt with a letter for each candidate."""
     about = F.when(F.length("memory") > 0, F.concat(F.lit(" - "), F.substring("memory", 1, 150))).otherwise("")
-    line = F.concat(F.substring(F.lit(LETTERS), F.col("pos") + 1, F.lit(1)), F.lit(". "), "title", about)
+    line = F.concat(letter(F.col("pos")), F.lit(". "), "title", about)
     listed = ordered_text(requests, "req_id", F.col("pos"), line, "\n")
     head = requests.groupBy("req_id").agg(F.first("instruction", True).alias("instruction"), F.first("facets", True).alias("facets"))
     ask = F.when(F.length("instruction") > 0, F.concat(F.lit("Request: "), "instruction", F.lit("\n"))).otherwise("")

@@ -155,17 +155,21 @@ def lookup(edges: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("user_id", "item_id", F.coalesce("recency", F.lit(0.0)).alias("recency"), F.coalesce("user_degree", F.lit(0)).alias("user_degree"), F.coalesce("item_degree", F.lit(0)).alias("item_degree"))
 
 
-def candidate_overlap(edges: DataFrame, neighbors: DataFrame, candidates: DataFrame) -> DataFrame:
+def candidate_overlap(edges: DataFrame, neighbors: DataFrame, candidates: DataFrame, block: int = 8192) -> DataFrame:
     """user_id, item_id, share: for each neighbour item, the largest number of users it has in common with one of the
     user's candidates, over its own users.
 
-    Common users are counted once per pair of items that some user asks for, not once per asking user."""
+    An item's users are held as one set for each block of user ids. Pairs of items that some user asks for meet block by
+    block, once per pair and not once per asking user, and common users are counted by intersecting two sets."""
     users = edges.select("item_id", "user_id").distinct()
-    asked = neighbors.select("user_id", "item_id").distinct().join(candidates.select("user_id", F.col("item_id").alias("candidate")).distinct(), "user_id")
-    pairs = asked.select("item_id", "candidate").distinct()
-    left = pairs.join(users.withColumnRenamed("user_id", "by"), "item_id")
-    right = users.select(F.col("item_id").alias("candidate"), F.col("user_id").alias("by"))
-    common = left.join(right, ["candidate", "by"]).groupBy("item_id", "candidate").agg(F.count("*").alias("common"))
-    best = asked.join(common, ["item_id", "candidate"], "left").groupBy("user_id", "item_id").agg(F.max(F.coalesce("common", F.lit(0))).alias("common"))
+    sets = users.groupBy("item_id", F.floor(F.col("user_id") / block).alias("block")).agg(F.collect_list(F.pmod("user_id", F.lit(block)).cast("int")).alias("own"))  # block at most
+    asked = materialise(neighbors.select("user_id", "item_id").distinct().join(candidates.select("user_id", F.col("item_id").alias("candidate")).distinct(), "user_id"), "asked")
+    # Overlap is the same both ways, so a pair is counted once.
+    ordered = asked.select(F.least("item_id", "candidate").alias("a"), F.greatest("item_id", "candidate").alias("b")).distinct()
+    left = ordered.join(sets.select(F.col("item_id").alias("a"), "block", "own"), "a")
+    both = left.join(sets.select(F.col("item_id").alias("b"), "block", F.col("own").alias("other")), ["b", "block"])
+    common = materialise(both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("own", "other"))).alias("common")).where("common > 0"), "common_users")
+    keyed_by = asked.withColumns({"a": F.least("item_id", "candidate"), "b": F.greatest("item_id", "candidate")})
+    best = keyed_by.join(common, ["a", "b"], "left").groupBy("user_id", "item_id").agg(F.max(F.coalesce("common", F.lit(0))).alias("common"))
     n_users = users.groupBy("item_id").agg(F.count("*").alias("n_users"))
     return best.join(n_users, "item_id", "left").select("user_id", "item_id", F.coalesce(F.try_divide("common", "n_users"), F.lit(0.0)).alias("share"))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.functions.columns import normalised
+from loomrec.scratch import materialise
 
 TITLE_FLOOR = 25
+#: Hashes of 12 bytes each that may go to every task.
+MOST_PASSAGES = 1_000_000
 
 
 def leak_reason(records: DataFrame) -> DataFrame:
@@ -36,19 +39,25 @@ def contained_passages(texts: DataFrame, passages: DataFrame, width: int = 8) ->
 
     A passage's first and last word may lie within longer words of a text, so texts and passages meet on the hash of
     the words between, at most `width` of them; the whole passage is then looked for. Passages of one or two words,
-    which have no words between, are found where their words are whole."""
+    which have no words between, are found where their words are whole.
+
+    Hashes of passages are counted first. Up to MOST_PASSAGES go to every task, so that windows are looked up where they
+    are made and only hits are shuffled; more are joined by a shuffle."""
     p = passages.select("item_id", normalised(F.col("text")).alias("passage")).where("passage <> ''").withColumn("w", F.split("passage", " "))
     inner = F.when(F.size("w") > 2, F.slice("w", 2, F.least(F.size("w") - 2, F.lit(width)))).otherwise(F.col("w"))
-    p = p.select("item_id", "passage", F.size(inner).alias("n"), F.xxhash64(_hashes(inner)).alias("h"))
+    p = materialise(p.select("item_id", "passage", F.size(inner).alias("n"), F.xxhash64(_hashes(inner)).alias("h")), "passages")
+    known = p.select("n", "h").distinct()
+    known = F.broadcast(known) if known.limit(MOST_PASSAGES + 1).count() <= MOST_PASSAGES else known
     widths = sorted(r[0] for r in p.select("n").distinct().collect())  # at most `width` numbers
     bodies = texts.select("doc_id", normalised(F.col("text")).alias("body")).where("body <> ''").withColumn("w", _hashes(F.split("body", " ")))
     windows = None
     for k in widths:
-        one = bodies.where(F.size("w") >= k).select("doc_id", F.lit(k).alias("n"), F.explode(F.array_distinct(_windows(k))).alias("h"))
+        one = bodies.where(F.size("w") >= k).select("doc_id", F.explode(_windows(k)).alias("h")).join(known.where(F.col("n") == k), "h", "left_semi")
+        one = one.select("doc_id", F.lit(k).alias("n"), "h")
         windows = one if windows is None else windows.unionByName(one)
     if windows is None:
         return texts.select("doc_id").join(passages.select("item_id"), F.lit(False)).limit(0)
-    hits = windows.join(p, ["n", "h"]).select("doc_id", "item_id", "passage").distinct()
+    hits = windows.distinct().join(p, ["n", "h"]).select("doc_id", "item_id", "passage").distinct()
     return hits.join(bodies.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id").distinct()
 
 

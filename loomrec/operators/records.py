@@ -15,20 +15,29 @@ LOREM = ("Lorem ipsum dolor sit amet", "Consectetur adipiscing elit", "Sed do ei
 
 
 def candidate_titles(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """candidates with title ('N/A' if unknown) and tags (empty if unknown)."""
-    about = items.select("item_id", "title", *(["tags"] if "tags" in items.columns else []))
+    """candidates with title ('N/A' if unknown) and tags (empty if unknown); of an item's repeated rows the smallest counts."""
+    named = ["title", *(["tags"] if "tags" in items.columns else [])]
+    about = items.groupBy("item_id").agg(F.min(F.struct(*named)).alias("_a")).select("item_id", *[F.col(f"_a.{c}") for c in named])
     out = candidates.join(about, "item_id", "left").withColumn("title", F.coalesce("title", F.lit("N/A")))
     return out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")) if "tags" in items.columns else F.array().cast("array<string>"))
 
 
 def candidate_memories(candidates: DataFrame, memories: DataFrame) -> DataFrame:
-    mine = memories.where("entity_type = 'item'").select(F.col("entity_id").alias("item_id"), "memory")
-    return candidates.join(mine, "item_id")
+    """candidates that have a memory, with it."""
+    return candidates.join(_item_memories(memories), "item_id")
+
+
+def _item_memories(memories: DataFrame) -> DataFrame:
+    """item_id, memory: of repeated rows the one of the largest seq counts, or the smallest memory where there is none."""
+    rows = memories.where("entity_type = 'item'")
+    memory = F.max_by("memory", F.struct("seq", "memory")) if "seq" in memories.columns else F.min("memory")
+    return rows.groupBy(F.col("entity_id").alias("item_id")).agg(memory.alias("memory"))
 
 
 def records(states: DataFrame, prompts: DataFrame, candidates: DataFrame, items: DataFrame, memories: DataFrame, instructions: DataFrame, snippet_maps: DataFrame) -> DataFrame:
-    """One record for each user that has a state, a prompt and candidates."""
-    rows = candidate_titles(candidates, items).join(memories.where("entity_type = 'item'").select(F.col("entity_id").alias("item_id"), "memory"), "item_id", "left")
+    """One record for each user that has a state, a prompt and candidates; an item is one candidate, however often it is listed."""
+    once = candidates.groupBy("user_id", "item_id").agg(F.min("pos").alias("pos"), F.max("is_target").alias("is_target"))
+    rows = candidate_titles(once, items).join(_item_memories(memories), "item_id", "left")
     c = rows.groupBy("user_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "item_id"))), lambda x: x["item_id"]).alias("candidates"),
         F.max(F.when(F.col("is_target"), F.col("item_id"))).alias("gold_item_id"),

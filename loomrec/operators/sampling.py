@@ -73,21 +73,33 @@ def short_pools(candidate_rows: DataFrame, n: int) -> DataFrame:
     return candidate_rows.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") < n)
 
 
+#: Share of all edges from which an item may count as heavy.
+HEAVY_SHARE = 1 / 64
+
+
 def weighted_negatives(users: DataFrame, edges: DataFrame, positives: DataFrame, n: int, seed: int, oversample: int = 8, buckets: int = 256, n_items: int | None = None) -> DataFrame:
     """user_id, item_id, nth (1 to n): draws without replacement in proportion to popularity.
 
     A probe picks one of the numbered train edges and takes its item. Edges themselves are not numbered: counts of items
     are added up within buckets, and one count per bucket overall. Dropping repeats of draws with replacement is drawing without.
+    Where a few items hold most edges, probes would hit little else: then such items (HEAVY_SHARE of all edges each, so
+    there are few) are not probed but each has a time of arrival of its own, exponential with its weight, probes of the
+    rest arrive as a Poisson stream of the remaining weight, and both are taken in order of time, which is the same draw.
     Users whose probes do not suffice make `oversample` times as many; those who are short still draw the rest from all
     items of 0..n_items-1 (by default up to the largest id) that are left, by weighted keys, items without train edges
     last and in order of their hash. Where there are too few, the last is repeated; 0 for users without any."""
     if n_items is None:
         n_items = 1 + max(df.agg(F.coalesce(F.max("item_id"), F.lit(-1))).head()[0] for df in (edges, positives))
-    counts = edges.groupBy("item_id").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod("item_id", F.lit(buckets)))
+    counts = materialise(edges.groupBy("item_id").agg(F.count("*").alias("n")), "item_counts")
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = [(r["item_id"], r["n"]) for r in counts.where(F.col("n") > HEAVY_SHARE * every).collect()]  # 1 / HEAVY_SHARE at most
+    heavy = heavy if 2 * sum(k for _, k in heavy) > every else []
+    light = counts.where(~F.col("item_id").isin([i for i, _ in heavy])) if heavy else counts
+    light = light.withColumn("bucket", F.pmod("item_id", F.lit(buckets)))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", earlier(Window.partitionBy(F.lit(1)).orderBy("bucket")).alias("start"))
-    total = counts.agg(F.nullif(F.sum("n"), F.lit(0)).alias("total"), F.ceil(F.sum("n") / F.count("*")).alias("span"))
-    ranges = counts.withColumn("at", earlier(Window.partitionBy("bucket").orderBy("item_id"))).join(F.broadcast(starts), "bucket").join(F.broadcast(total))
+    starts = light.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", earlier(Window.partitionBy(F.lit(1)).orderBy("bucket")).alias("start"))
+    total = light.agg(F.nullif(F.sum("n"), F.lit(0)).alias("total"), F.ceil(F.sum("n") / F.count("*")).alias("span"))
+    ranges = light.withColumn("at", earlier(Window.partitionBy("bucket").orderBy("item_id"))).join(F.broadcast(starts), "bucket").join(F.broadcast(total))
     # Item i owns the edges low..high-1. Stretches of `span` edges, as many as items, bring probes and items together; those
     # of a very common item are listed in two steps, so that no row holds a long array.
     ranges = ranges.select("item_id", "span", (F.col("start") + F.col("at")).alias("low"), (F.col("start") + F.col("at") + F.col("n")).alias("high"))
@@ -96,12 +108,20 @@ def weighted_negatives(users: DataFrame, edges: DataFrame, positives: DataFrame,
     ranges = ranges.select("item_id", "low", "high", F.explode(F.sequence(F.greatest("a", F.col("s") * step), F.least("b", F.col("s") * step + step - 1))).alias("stretch"))
     mine = positives.select("user_id", "item_id").distinct()
     users = users.select("user_id").distinct()
+    wait = lambda *parts: -F.log((F.conv(F.substring(keyed(seed, "weighted", F.col("user_id"), *parts), 9, 12), 16, 10).cast("double") + 0.5) / float(2**48))
 
     def probed(who: DataFrame, times: int) -> DataFrame:
         probes = who.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(n * times - 1))).alias("j")).join(F.broadcast(total))
-        probes = probes.select("user_id", "j", "span", draw(keyed(seed, "weighted", F.col("user_id"), F.col("j")), F.col("total")).alias("edge"))
+        probes = probes.select("user_id", "j", "span", "total", draw(keyed(seed, "weighted", F.col("user_id"), F.col("j")), F.col("total")).alias("edge"))
+        if heavy:  # when the probe arrives; without heavy items only the order counts
+            gaps = Window.partitionBy("user_id").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+            probes = probes.withColumn("j", F.sum(wait(F.col("j"), "gap") / F.col("total")).over(gaps))
         met = probes.withColumn("stretch", F.floor(F.col("edge") / F.col("span"))).join(ranges, "stretch").where("edge >= low and edge < high")
-        found = met.groupBy("user_id", "item_id").agg(F.min("j").alias("j")).join(mine, ["user_id", "item_id"], "left_anti")
+        found = met.groupBy("user_id", "item_id").agg(F.min("j").alias("j"))
+        if heavy:
+            own = who.select("user_id", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(k).alias("n")) for i, k in heavy])))
+            found = found.unionByName(own.select("user_id", "item_id", (wait("heavy", F.col("item_id")) / F.col("n")).alias("j")))
+        found = found.join(mine, ["user_id", "item_id"], "left_anti")
         nth = F.row_number().over(Window.partitionBy("user_id").orderBy("j"))
         return materialise(found.withColumn("nth", nth).where(F.col("nth") <= n).select("user_id", "item_id", "nth"), "weighted")
 
@@ -110,11 +130,15 @@ def weighted_negatives(users: DataFrame, edges: DataFrame, positives: DataFrame,
 
     first = probed(users, oversample)
     few = short(users, first)
+    if few.isEmpty():
+        return first
     more = probed(few, oversample * oversample)
     out = first.join(few, "user_id", "left_anti").unionByName(more)
     few = short(few, more)
+    if few.isEmpty():
+        return out
     held = more.join(few, "user_id", "left_semi")
-    rest = all_others(few, mine.unionByName(held.select("user_id", "item_id")), n_items).join(edges.groupBy("item_id").agg(F.count("*").alias("weight")), "item_id", "left")
+    rest = all_others(few, mine.unionByName(held.select("user_id", "item_id")), n_items).join(counts.withColumnRenamed("n", "weight"), "item_id", "left")
     key = keyed(seed, "weighted", F.col("user_id"), "all", F.col("item_id"))
     u = (F.conv(F.substring(key, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
     order = Window.partitionBy("user_id").orderBy(F.col("weight").isNull(), -F.log(u) / F.coalesce("weight", F.lit(1)), "item_id")

@@ -87,7 +87,7 @@ def first_users(spark, d):
     """Splits written and read again, and the first twenty users of each: a smoke subset."""
     at = folder(spark)
     tables.write_splits(_parts(spark, d), at)
-    return sampling.first_of_each(spark.read.schema("user_id long, part string").json(at), 20)
+    return sampling.first_of_each(tables.read_splits(spark, at), 20)
 
 
 @registered(q("SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY md5('42|' || user_id), user_id) AS r FROM (SELECT DISTINCT user_id FROM split)) WHERE r <= 100 UNION ALL SELECT -1 - count(*) FROM (SELECT DISTINCT s.user_id FROM split s JOIN (SELECT DISTINCT user_id FROM events) e USING (user_id))"))

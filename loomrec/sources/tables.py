@@ -61,12 +61,16 @@ def read_user_list(spark: SparkSession, path: str, population: DataFrame) -> Dat
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
-    """user_id, part from a JSON object of lists."""
+    """user_id, part from what write_splits() wrote, or from a JSON file with an object of lists."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return spark.read.schema("user_id long, part string").json(path)
     raw = spark.read.schema("splits map<string,array<long>>").json(path, multiLine=True)
     return raw.select(F.explode("splits").alias("part", "ids")).select(F.explode("ids").alias("user_id"), "part")
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
+    """A folder of JSON lines, a user each, which read_splits() reads; written by as many tasks as there are."""
     splits.select("user_id", "part").write.mode("overwrite").json(path)
 
 

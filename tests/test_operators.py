@@ -271,6 +271,45 @@ def test_weighted_draws_are_whole(spark):
     assert len({r["item_id"] for r in flat}) == 5
 
 
+def test_weighted_draws_beside_a_dominant_item(spark, monkeypatch):
+    """An item of 99.9 % of the edges: nobody walks through all items, and the others are drawn by their weights."""
+    edges = [(0, 0, k) for k in range(400_000)] + [(1, i, i) for i in range(1, 200)] + [(1, 7, k) for k in range(200)]
+    edges = spark.createDataFrame([(u, i) for u, i, _ in edges[:1]] + [(u, i) for u, i, _ in edges[400_000:]], "user_id long, item_id long").unionByName(spark.range(399_999).select(F.lit(0).cast("long").alias("user_id"), F.lit(0).cast("long").alias("item_id")))
+    users = spark.range(1000, 1300).withColumnRenamed("id", "user_id")
+    mine = users.where("user_id % 2 = 0").select("user_id", F.lit(0).cast("long").alias("item_id"))
+    listed, plain = [], sampling.all_others
+    monkeypatch.setattr(sampling, "all_others", lambda *x: listed.append(x) or plain(*x))
+    got = sampling.weighted_negatives(users, edges, mine, 5, 42, n_items=2000).collect()
+    assert listed == [] and len(got) == 1500 and len({(r["user_id"], r["item_id"]) for r in got}) == 1500
+    first = {r["user_id"]: r["item_id"] for r in got if r["nth"] == 1}
+    assert all(i == 0 for u, i in first.items() if u % 2) and all(i for u, i in first.items() if u % 2 == 0)
+    # Item 7 weighs as much as the other 198 together: about half of the first draws where item 0 is out.
+    assert abs(sum(i == 7 for u, i in first.items() if u % 2 == 0) - 75) < 25
+    again = sampling.weighted_negatives(users.repartition(3), edges, mine, 5, 42, n_items=2000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_overlap_by_sets(spark):
+    r = random.Random(8)
+    edges = {(r.choice([r.randrange(40), 10**12 + r.randrange(40)]), r.randrange(12)) for _ in range(200)}
+    near, asked = [[(u, i) for u in range(6) for i in r.sample(range(14), 4)] for _ in range(2)]
+    frame = lambda rows: spark.createDataFrame(list(rows), "user_id long, item_id long")
+    by = {i: {u for u, j in edges if j == i} for i in range(14)}
+    want = sorted((u, i, max(len(by[i] & by[c]) for v, c in asked if v == u) / len(by[i]) if by[i] else 0.0) for u, i in near)
+    for block in (4, 8192):
+        assert sorted(map(tuple, graph.candidate_overlap(frame(edges), frame(near), frame(asked), block).collect())) == want
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_passages_within_texts(spark, monkeypatch, most):
+    """The same hits whether passages go to every task or are joined."""
+    monkeypatch.setattr(leakage, "MOST_PASSAGES", most)
+    texts = [(1, "It says: Alpha beta, gamma delta. Epsilon!"), (2, "prealpha beta gamma deltapost"), (3, "nothing here"), (4, None), (5, "one two"), (6, "xone two"), (7, "a " * 50)]
+    passages = [(1, "alpha beta gamma delta"), (2, "Beta Gamma"), (3, "one"), (4, ""), (5, "one two three"), (6, " ".join("a" * 20))]
+    got = leakage.contained_passages(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (5, 3), (7, 6)]
+
+
 def test_every_train_edge_has_a_negative(spark):
     edges = spark.createDataFrame([(1, i, i) for i in range(90)] + [(2, i, i) for i in range(100)] + [(3, 5, 0)], "user_id long, item_id long, pos int")
     got = sampling.bpr_triples(edges, edges, 100, 42).collect()
@@ -322,6 +361,27 @@ def test_choice_prompt(spark):
     rows = spark.createDataFrame([(1, k, f"Book {101 + k}", None, [], None) for k in range(10)], "req_id long, pos int, title string, memory string, facets array<string>, instruction string")
     text = context.choice_prompt(rows).first()["prompt"]
     assert [x.split(". ")[0] for x in text.split("\n")[1:11]] == list("ABCDEFGHIJ") and "Preferences" not in text
+    many = spark.createDataFrame([(1, k, f"Book {k}", None, [], None) for k in range(60)], "req_id long, pos int, title string, memory string, facets array<string>, instruction string")
+    told = [x.split(". ")[0] for x in context.choice_prompt(many).first()["prompt"].split("\n")[1:61]]
+    assert told[25:29] == ["Z", "AA", "AB", "AC"] and told[51:53] == ["AZ", "BA"] and len(set(told)) == 60
+
+
+def test_records_of_repeated_rows(spark):
+    """Items and memories that come in several rows, and an item that is listed twice."""
+    states = spark.createDataFrame([(1, "m", "1. [Item-5] x", ["Item-5"], 3)], "user_id long, user_memory string, neighbors_text string, neighbor_ids array<string>, n_train_items int")
+    cand = spark.createDataFrame([(1, 7, 1, True), (1, 8, 0, False), (1, 7, 3, False)], "user_id long, item_id long, pos int, is_target boolean")
+    about = spark.createDataFrame([(7, "B"), (7, "A"), (8, None)], "item_id long, title string")
+    mem = spark.createDataFrame([("item", 7, "new", 5), ("item", 7, "old", 2), ("user", 1, "x", 1)], "entity_type string, entity_id long, memory string, seq long")
+    maps = spark.createDataFrame([(1, {"Item-5": "x"})], "user_id long, snippets map<string,string>")
+    got = records.records(states, context.policy_prompt(states), cand, about, mem, spark.createDataFrame([(1, "ask")], "user_id long, instruction string"), maps).collect()
+    assert len(got) == 1 and got[0]["candidates"] == [8, 7] and got[0]["gold_item_id"] == 7
+    assert got[0]["candidate_titles"] == {"7": "A", "8": "N/A"} and got[0]["candidate_memories"] == {"7": "new"} and got[0]["neighbor_snippets"] == {"Item-5": "x"}
+
+
+def test_splits_round_trip(spark, tmp_path):
+    parts = spark.createDataFrame([(u, "train" if u % 3 else "test") for u in range(50)], "user_id long, part string")
+    tables.write_splits(parts.repartition(4), f"{tmp_path}/splits")
+    assert sorted(map(tuple, tables.read_splits(spark, f"{tmp_path}/splits").collect())) == sorted(map(tuple, parts.collect()))
 
 
 SNIPPETS = [("Item-1", "epic fantasy dragons quest"), ("Item-2", "french cooking recipes kitchen"), ("User-3", "space opera starships")]
