@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,6 @@ Token = tuple[int, int]
 PAIRS = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
 #: Where both tokenizers start anew: a single space between characters that are no white space, a line end behind one.
 CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n))")
-#: Stretches that can be tokenized as one text, one behind the other.
-CHAINS = re.compile(r"(?: \S|\n).*(?<=\S)", re.S)
 
 
 def linked(a: list[Token], b: list[Token]) -> list[tuple[int, int]]:
@@ -137,87 +135,108 @@ def whole(f: Fragment) -> Fragment:
 
 
 class Pair:
-    """Two tokenizers as functions from a stretch (bytes behind a cut) to token ids and ends."""
+    """Two tokenizers as one function of stretches, which remembers what it has seen.
 
-    def __init__(self, path_a: str, path_b: str):
+    A stretch goes by a name: what is behind its space, or, if it begins otherwise, the stretch itself."""
+
+    def __init__(self, path_a: str, path_b: str, most: int = 90_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.first, self.second = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.first.encode_special_tokens = True
-        self.bytes_a = _byte_level(self.first)
+        by_id = _byte_level(self.first)
+        self.bytes_a = [by_id.get(i, b"") for i in range(1 + max(by_id))]
         self.bytes_b = [_piece_bytes(self.second, i) for i in range(self.second.get_piece_size())]
-        self.safe = not any(re.search(r"\S[ \n]", x.decode("utf-8", "replace")) for x in [*self.bytes_a.values(), *self.bytes_b])
-        self.names = [str(i) for i in range(1 + max(len(self.bytes_b), *self.bytes_a))]
+        self.safe = not any(re.search(r"\S[ \n]", x.decode("utf-8", "replace")) for x in [*self.bytes_a, *self.bytes_b])
+        self.lengths = [np.fromiter(map(len, x), np.int64) for x in (self.bytes_a, self.bytes_b)]
+        n = max(len(self.bytes_a), len(self.bytes_b))
+        #: Ids followed by what stands between them: within a side, between the sides, between groups, between stretches.
+        self.names = [[f"{i}{end}" for i in range(n)] for end in ",|;\n"]
+        #: What was met of late, and what was met before that; of the latter only what is met again is kept.
         self.seen: dict[str, tuple] = {}
-        self.most = 150_000
-
-    def __call__(self, stretches: list[str]) -> list[tuple]:
-        """For each stretch (it begins with a space): bytes, n_a, n_b, n_groups, n_links, groups, pairs; groups is None where its tokens do not spell it."""
-        seen = self.seen
-        new = {s for s in stretches if s not in seen}
-        if len(seen) + len(new) > self.most:
-            seen = self.seen = {}
-            new = set(stretches)
-        chain = [s for s in new if CHAINS.fullmatch(s)] if self.safe else []
-        for s in new.difference(chain):
-            self._one(s)
-        for a in range(0, len(chain), 4096):
-            self._chain(chain[a : a + 4096])
-        return [seen[s] for s in stretches]
+        self.older: dict[str, tuple] = {}
+        self.most = most
+
+    def __call__(self, names: list[str]) -> list[tuple]:
+        """For each stretch: bytes, n_a, groups, its links' pairs as packed numbers; groups is None where its tokens do not spell it."""
+        new = set(names).difference(self.seen)
+        if len(self.seen) + len(new) > self.most:
+            self.older, self.seen, new = self.seen, {}, set(names)
+        again = [x for x in new if x in self.older]
+        self.seen.update(zip(again, map(self.older.__getitem__, again)))
+        new.difference_update(again)
+        chain = [x for x in new if x and x[0] != " " and not x[-1].isspace()] if self.safe else []
+        for x in new.difference(chain):
+            self._one(x)
+        for a in range(0, len(chain), 8192):
+            self._chain(chain[a : a + 8192])
+        return list(map(self.seen.__getitem__, names))
 
     def ids(self, stretch: str) -> tuple[list[int], list[int]]:
         """Both sides' ids; the second side puts a space before what it is given."""
         ids_b = self.second.encode(stretch.removeprefix(" "))
         return self.first.encode(stretch, add_special_tokens=False).ids, ids_b if stretch.startswith(" ") else ids_b[1:]
 
-    def _one(self, s: str) -> None:
-        a, b, ok = self.tokens(s, *self.ids(s))
-        f = whole(fragment(a, b)) if ok else Fragment()
-        pairs = [x for x, n in f.pairs.items() for _ in range(n)]
-        self.seen[s] = (len(s.encode("utf-8", "surrogatepass")), f.n_a, f.n_b, f.n_groups, f.n_links, b";".join(f.groups) if ok else None, pairs)
-
-    def _chain(self, chain: list[str]) -> None:
-        """Tokenize stretches as one text, behind a word of its own, and align each; where bytes differ, halves are tried."""
-        text = " x" + "".join(chain)
-        ids_a, ids_b = self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:])
-        bytes_a, bytes_b, names = self.bytes_a, self.bytes_b, self.names
-        raw = text.encode("utf-8", "surrogatepass")
-        if not (b"".join([bytes_a[i] for i in ids_a]) == raw == b"".join([bytes_b[i] for i in ids_b])):
-            for half in (chain[: len(chain) // 2], chain[len(chain) // 2 :]):
-                self._chain(half) if len(chain) > 1 else [self._one(s) for s in half]
-            return
-        i = j = 0
-        end_a = end_b = end = 0
-        for s in ["", *chain]:  # the first one is the word of its own
-            n = len(s.encode("utf-8", "surrogatepass")) if s else 2
-            end, first_a, first_b, groups, pairs = end + n, i, j, [], []
-            while end_a < end or end_b < end:  # one group
-                a, b = ids_a[i], ids_b[j]
-                end_a, end_b, i, j = end_a + len(bytes_a[a]), end_b + len(bytes_b[b]), i + 1, j + 1
-                name_a, name_b = names[a], names[b]
-                pairs.append(a << 32 | b)
-                while end_a != end_b:
-                    if end_a < end_b:
-                        a, i = ids_a[i], i + 1
-                        end_a, name_a = end_a + len(bytes_a[a]), f"{name_a},{names[a]}"
-                    else:
-                        b, j = ids_b[j], j + 1
-                        end_b, name_b = end_b + len(bytes_b[b]), f"{name_b},{names[b]}"
-                    pairs.append(a << 32 | b)
-                groups.append(f"{name_a}|{name_b}")
-            self.seen[s] = (n, i - first_a, j - first_b, len(groups), len(pairs), ";".join(groups).encode(), pairs)
-        del self.seen[""]
-
-    def tokens(self, stretch: str, ids_a: list[int], ids_b: list[int]) -> tuple[list[Token], list[Token], bool]:
+    def tokens(self, stretch: str) -> tuple[list[Token], list[Token], bool]:
         """Both sides' tokens and whether they spell the stretch."""
         raw, sides, ok = stretch.encode("utf-8", "surrogatepass"), [], True
-        for ids, spell in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+        for ids, spell in zip(self.ids(stretch), (self.bytes_a, self.bytes_b)):
             parts = [spell[i] for i in ids]
             ok = ok and b"".join(parts) == raw
             sides.append(list(zip(ids, accumulate(map(len, parts)))))
         return *sides, ok
 
+    def _one(self, name: str) -> None:
+        stretch = stretch_of(name)
+        a, b, ok = self.tokens(stretch)
+        f = whole(fragment(a, b)) if ok else Fragment()
+        pairs = np.repeat(np.fromiter(f.pairs.keys(), np.int64), np.fromiter(f.pairs.values(), np.int64))
+        self.seen[name] = (len(stretch.encode("utf-8", "surrogatepass")), f.n_a, b";".join(f.groups) if ok else None, pairs.tobytes())
+
+    def _chain(self, chain: list[str]) -> None:
+        """Tokenize stretches as one text, behind a word of its own, and align them at once; where bytes differ, halves are tried."""
+        some = ["x", *chain]
+        stretches = list(map(stretch_of, some))
+        text = "".join(stretches)
+        raw = text.encode("utf-8", "surrogatepass")
+        sides = self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:])
+        if any(b"".join(map(spell.__getitem__, ids)) != raw for ids, spell in zip(sides, (self.bytes_a, self.bytes_b))):
+            for half in (chain[: len(chain) // 2], chain[len(chain) // 2 :]):
+                self._chain(half) if len(chain) > 1 else [self._one(x) for x in half]
+            return
+        size = list(map(len, stretches)) if len(raw) == len(text) else [len(x.encode("utf-8", "surrogatepass")) for x in stretches]
+        upto = np.cumsum(size)
+        ids_a, ids_b = (np.asarray(x) for x in sides)
+        ends_a, ends_b = np.cumsum(self.lengths[0][ids_a]), np.cumsum(self.lengths[1][ids_b])
+        # Between two neighbouring ends of either side lies one overlap of one token of each.
+        ends = np.union1d(ends_a, ends_b)
+        pairs = (ids_a[np.searchsorted(ends_a, ends)] << 32) | ids_b[np.searchsorted(ends_b, ends)]
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")  # tokens up to each group's end
+        # Each group's tokens of the first side, then those of the second.
+        told = np.empty(len(ids_a) + len(ids_b), object)
+        comma, bar, semicolon, line = self.names
+        before = np.r_[0, last[1]]
+        shut = np.zeros(len(ids_a), bool)
+        shut[last[0] - 1] = True
+        told[np.arange(len(ids_a)) + before[group_a]] = [(bar if x else comma)[i] for i, x in zip(sides[0], shut.tolist())]
+        kind = np.zeros(len(ids_b), np.int64)
+        kind[last[1] - 1] = 1
+        kind[np.searchsorted(ends_b, upto, "right") - 1] = 2
+        told[np.arange(len(ids_b)) + last[0][group_b]] = [(comma, semicolon, line)[x][i] for i, x in zip(sides[1], kind.tolist())]
+        groups = "".join(told.tolist()).encode().split(b"\n")
+        n_a = np.diff(np.r_[0, np.searchsorted(ends_a, upto, "right")]).tolist()
+        cuts = (8 * np.r_[0, np.searchsorted(ends, upto, "right")]).tolist()
+        packed = pairs.astype(np.int64).tobytes()
+        for k, name in enumerate(chain, 1):
+            self.seen[name] = (size[k], n_a[k], groups[k], packed[cuts[k] : cuts[k + 1]])
+
+
+def stretch_of(name: str) -> str:
+    return name if name[:1] in (" ", "\n") else " " + name
+
 
 @lru_cache(maxsize=1)
 def pair_of(path_a: str, path_b: str) -> Pair:
@@ -250,20 +269,18 @@ def parts_of(text: str, part_bytes: int, safe: bool) -> list[tuple[int, str]]:
 
 
 def stretches_of(part: str, safe: bool) -> list[str]:
-    """A part cut at every place where tokenizers start anew."""
-    if not safe:
-        return [part]
-    head, *rest = CUT.split(part)
-    return [head, *(x if x.startswith("\n") else " " + x for x in rest)]
+    """The names of a part's stretches, cut at every place where tokenizers start anew; a part begins with a space or a line end."""
+    head, *rest = CUT.split(part) if safe else [part]
+    return [head[1:] if head[:1] == " " and len(head) > 1 and not head[1].isspace() and safe else head, *rest]
 
 
 def fragments(first: int, part: str, pair: Pair, range_bytes: int) -> list[tuple[int, Fragment]]:
     """(byte range, fragment) in order, of a part that begins at byte `first`. A token lies in the range that holds its end.
 
     Stretches that lie within one range are looked up, others are cut at the ranges' borders."""
-    stretches = stretches_of(part, pair.safe)
-    found = pair(stretches)
-    if any(f[5] is None for f in found):
+    names = stretches_of(part, pair.safe)
+    found = pair(names)
+    if any(f[2] is None for f in found):
         return [(first // range_bytes, Fragment(ok=False))]
     ends = first + np.cumsum([f[0] for f in found])
     begins = ends - [f[0] for f in found]
@@ -275,7 +292,7 @@ def fragments(first: int, part: str, pair: Pair, range_bytes: int) -> list[tuple
             r = int(where[k])
             out[r] = compose(out.get(r, Fragment()), closed(found[k:n]))
             continue
-        a, b, _ = pair.tokens(stretches[k], *pair.ids(stretches[k]))
+        a, b, _ = pair.tokens(stretch_of(names[k]))
         a, b = ([(i, e + int(begins[k])) for i, e in x] for x in (a, b))
         for r in sorted({e // range_bytes for _, e in a + b}):
             own = fragment(*([t for t in x if t[1] // range_bytes == r] for x in (a, b)))
@@ -283,15 +300,20 @@ def fragments(first: int, part: str, pair: Pair, range_bytes: int) -> list[tuple
     return list(out.items())
 
 
+def sums_of(found: list[tuple]) -> tuple[tuple[int, int, int, int], bytes, np.ndarray, np.ndarray]:
+    """Of whole stretches: n_a, n_b, n_groups, n_links; groups; the links' pairs and how often each is there."""
+    _, n_a, groups, pairs = zip(*found)
+    told, n_a = b";".join(groups), sum(n_a)
+    links = np.frombuffer(b"".join(pairs), np.int64)
+    n_groups = told.count(b"|")
+    keys, n = np.unique(links, return_counts=True)
+    return (n_a, told.count(b",") + 2 * n_groups - n_a, n_groups, len(links)), told, keys, n
+
+
 def closed(found: list[tuple]) -> Fragment:
     """The fragment of whole stretches."""
-    f = Fragment(ends=True)
-    _, n_a, n_b, n_groups, n_links, groups, pairs = zip(*found)
-    f.n_a, f.n_b, f.n_groups, f.n_links = sum(n_a), sum(n_b), sum(n_groups), sum(n_links)
-    f.groups = list(groups)
-    keys, n = np.unique(np.fromiter(chain.from_iterable(pairs), np.int64), return_counts=True)
-    f.pairs = dict(zip(keys.tolist(), n.tolist()))
-    return f
+    counts, told, keys, n = sums_of(found)
+    return Fragment(([], []), ([], []), True, True, *counts, [told], dict(zip(keys.tolist(), n.tolist())))
 
 
 NAMES = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
@@ -301,17 +323,28 @@ FRAGMENT = f"row long, range long, first long, ok boolean, ends boolean, {', '.j
 TOKENS = pa.list_(pa.struct([("id", pa.int64()), ("end", pa.int64())]))
 
 
-def _pairs(each: list[dict[int, int]]) -> pa.Array:
-    flat = [pa.array(np.fromiter(chain.from_iterable(map(x, each)), np.int64)) for x in (dict.keys, dict.values)]
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)]).astype(np.int32), pa.StructArray.from_arrays(flat, names=["pair", "n"]))
+NOTHING = ((0, 0, 0, 0), None, np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _pairs(each: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    flat = [pa.array(np.concatenate([np.empty(0, np.int64), *(x[k] for x in each)])) for k in (0, 1)]
+    return pa.ListArray.from_arrays(np.cumsum([0, *(len(x) for x, _ in each)]).astype(np.int32), pa.StructArray.from_arrays(flat, names=["pair", "n"]))
+
+
+def _summed(each: list[tuple]) -> list[pa.Array]:
+    """Columns SUMS of what sums_of() gives of whole texts; NOTHING has no digest."""
+    out = [pa.array([e[0][k] for e in each], pa.int64()) for k in range(4)]
+    out.append(pa.array(["" if e[1] is None else hashlib.sha256(e[1]).hexdigest() for e in each], pa.string()))
+    return [*out, _pairs([e[2:] for e in each])]
+
+
+def _arrays(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
 
 
-def _summed(each: list[Fragment | None]) -> list[pa.Array]:
-    """Columns SUMS of whole texts; None and failed ones are zeros, without a digest."""
-    each = [f if f and f.ok else None for f in each]
-    out = [pa.array([getattr(f, n) if f else 0 for f in each], pa.int64()) for n in NAMES[:4]]
-    out.append(pa.array([hashlib.sha256(b";".join(f.groups)).hexdigest() if f else "" for f in each]))
-    return [*out, _pairs([f.pairs if f else {} for f in each])]
+def _ended(f: Fragment) -> tuple:
+    """A whole text's fragment as sums_of() gives it; one that failed has NOTHING."""
+    return ((f.n_a, f.n_b, f.n_groups, f.n_links), b";".join(f.groups), *_arrays(f.pairs)) if f.ok else NOTHING
 
 
 def _written(rows: list[tuple[int, int, int, Fragment]]) -> pa.RecordBatch:
@@ -322,7 +355,7 @@ def _written(rows: list[tuple[int, int, int, Fragment]]) -> pa.RecordBatch:
         side, k = name.split("_")
         cols.append(pa.array([[{"id": i, "end": e} for i, e in getattr(x, side)["ab".index(k)]] for x in f], TOKENS))
     cols += [pa.array([getattr(x, n) for x in f], pa.int64()) for n in NAMES[:4]]
-    cols += [pa.array([b";".join(x.groups) for x in f], pa.binary()), _pairs([x.pairs for x in f])]
+    cols += [pa.array([b";".join(x.groups) for x in f], pa.binary()), _pairs([_arrays(x.pairs) for x in f])]
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in FRAGMENT.split(", ")])
 
 
@@ -361,20 +394,20 @@ def align(docs: DataFrame, path_a: str, path_b: str, carry: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(path_a, path_b)
-        for b in slices(batches):
+        for b in slices(batches, 256):
             row, at, first, part, each = b.column(len(keys)).to_pylist(), [], [], [], []
             for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 parts = parts_of(text, part_bytes, pair.safe) if text else []
                 if len(parts) == 1 and len(parts[0][1]) * 4 < range_bytes:
                     ready = pair(stretches_of(parts[0][1], pair.safe))
-                    each.append(closed(ready) if all(f[5] is not None for f in ready) else None)
+                    each.append(sums_of(ready) if all(f[2] is not None for f in ready) else NOTHING)
                 elif parts:
                     at += [i] * len(parts)
                     first += [f for f, _ in parts]
                     part += [p for _, p in parts]
-                    each.append(None)
+                    each.append(NOTHING)
                 else:
-                    each.append(None)
+                    each.append(NOTHING)
             long = set(at)
             sums = _summed(each)
             sums[4] = pa.array([None if i in long else x for i, x in enumerate(sums[4].to_pylist())], pa.string())
@@ -382,7 +415,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, carry: tuple[str, ...] = ("
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), *sums], schema=_schema(b, keys))
             if at:
                 head = [pa.nulls(len(at), c.type) for c in b.columns[: len(keys)]]
-                yield pa.RecordBatch.from_arrays([*head, pa.array([row[i] for i in at], pa.int64()), pa.array(first, pa.int64()), pa.array(part, pa.string()), *_summed([None] * len(at))], schema=_schema(b, keys))
+                yield pa.RecordBatch.from_arrays([*head, pa.array([row[i] for i in at], pa.int64()), pa.array(first, pa.int64()), pa.array(part, pa.string()), *_summed([NOTHING] * len(at))], schema=_schema(b, keys))
 
     def _schema(b: pa.RecordBatch, keys: list[str]) -> pa.Schema:
         types = [("row", pa.int64()), ("first", pa.int64()), ("part", pa.string()), *((n, pa.int64()) for n in NAMES[:4]), ("groups_sha256", pa.string()), ("pairs", PAIRS)]
@@ -410,7 +443,7 @@ def _long(parts: DataFrame, path_a: str, path_b: str, range_bytes: int, fan_in:
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8):
             got = b.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r in got], pa.int64()), *_summed([whole(_read(r)) for r in got])], names=["row", *NAMES])
+            yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r in got], pa.int64()), *_summed([_ended(whole(_read(r))) for r in got])], names=["row", *NAMES])
 
     table = materialise(parts.repartition("row", "first").mapInArrow(cut, FRAGMENT), "fragments")
     top = table.agg(F.max("range")).first()[0]
