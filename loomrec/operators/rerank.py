@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +52,61 @@ def dense_rerank(candidates: DataFrame, users: DataFrame, items: DataFrame) -> D
     return ranked(out.select("user_id", "item_id", "pos", F.coalesce(cosine(F.col("u"), F.col("v")), F.lit(0.0)).alias("score")))
 
 
+def profile_texts(facets: DataFrame) -> DataFrame:
+    """facets (user_id, nth, facet) -> user_id, text: the facets in order, joined by '. '; blank ones do not count."""
+    rows = facets.where(F.length("facet") > 0).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("nth", "facet"))).alias("f"))
+    return rows.select("user_id", F.array_join(F.transform("f", lambda x: x["facet"]), ". ").alias("text"))
+
+
+def item_texts(items: DataFrame) -> DataFrame:
+    """items (item_id, title, tags, memory) -> item_id, text: title, at most five tags and 150 characters of memory, joined by '. '."""
+    some = lambda c: F.when(F.length(c) > 0, c)
+    tags = F.array_join(F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 5), ", ")
+    parts = F.array_compact(F.array(some(F.col("title")), some(tags), some(F.substring("memory", 1, 150))))
+    return items.select("item_id", F.when(F.size(parts) > 0, F.array_join(parts, ". ")).otherwise("Unknown item").alias("text"))
+
+
+def encoded(texts: DataFrame, key: str, factory: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> DataFrame:
+    """texts (key, text) -> key, vector. factory makes the encoder, once in each worker and not once a batch: a callable
+    from a list of texts to a matrix. A null text has a null vector."""
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                said = part.column(1).to_pylist()
+                known = [t for t in said if t is not None]
+                encoder = encoder or factory()
+                rows = iter(np.asarray(encoder(known), float)) if known else iter(())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if t is None else next(rows) for t in said], pa.list_(pa.float64()))], names=[key, "vector"])
+
+    return texts.select(key, "text").mapInArrow(run, f"`{key}` {kind}, vector array<double>")
+
+
+def hashed_words(width: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """A deterministic encoder: counts of words, each at the dimension that its md5 says."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), width))
+        for i, text in enumerate(texts):
+            for word in text.lower().split():
+                out[i, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width] += 1
+        return out
+
+    return encode
+
+
+def text_rerank(candidates: DataFrame, facets: DataFrame, items: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]] = hashed_words) -> DataFrame:
+    """Dense reranking from texts: profiles of facets (user_id, nth, facet) and texts of items, encoded in batches.
+
+    A user without facets is asked for with a text of no preference; each text is encoded once, not once a candidate."""
+    users = candidates.select("user_id").distinct().join(profile_texts(facets), "user_id", "left").withColumn("text", F.coalesce("text", F.lit("General recommendations")))
+    wanted = item_texts(items).join(candidates.select("item_id").distinct(), "item_id", "left_semi")
+    return dense_rerank(candidates, encoded(users, "user_id", factory), encoded(wanted, "item_id", factory))
+
+
 def rerank(candidates: DataFrame, facets: DataFrame, items: DataFrame, user_vectors: DataFrame | None = None, item_vectors: DataFrame | None = None) -> DataFrame:
     """Dense where both tables of vectors are given, else by words."""
     if user_vectors is not None and item_vectors is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomrec.functions.columns import cosine, tokens
@@ -161,3 +161,23 @@ def permutation_scores(rows: DataFrame) -> DataFrame:
     n = F.size("candidates")
     r = rows.select("req_id", n.alias("n"), (F.size(F.array_except("candidates", "ranking")) > 0).alias("missing"), (F.size("ranking") > F.size(F.array_distinct("ranking"))).alias("repeated"), F.posexplode(F.filter(F.array_distinct("ranking"), lambda x: F.array_contains("candidates", x))).alias("rank", "item_id"))
     return r.select("req_id", "item_id", (1 - F.col("rank") / F.col("n")).alias("score"), "missing", "repeated")
+
+
+class Throughput:
+    """Rows and rows a second of a plan, measured while it runs and not by a second pass.
+
+    df = meter.watch(df) adds the measure; once an action has run on it, meter.report(spark) is one row: n, seconds from
+    the first row to the last over all tasks, and rows a second (null for a single instant)."""
+
+    def __init__(self, name: str = "throughput"):
+        self.seen = Observation(name)
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        now = F.expr("java_method('java.lang.System', 'currentTimeMillis')").cast("long")
+        timed = df.withColumn("_at", now)
+        return timed.observe(self.seen, F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_at")
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        got = self.seen.get
+        seconds = (got["last"] - got["first"]) / 1000 if got["n"] else 0.0
+        return spark.createDataFrame([(got["n"], seconds, got["n"] / seconds if seconds else None)], "n long, seconds double, rows_per_second double")

@@ -56,8 +56,26 @@ def dataset_stats(split: DataFrame) -> DataFrame:
     return s.withColumn("density", F.col("n_rows") / (F.col("n_users") * F.col("n_items")))
 
 
+def count_sketches(interactions: DataFrame, *parts: str, lg_k: int = 14) -> DataFrame:
+    """parts, users, items, n_rows: sketches of the distinct users and items of each part, a row a part.
+
+    Sketches merge, so parts that come later need no second look at those before. 2**lg_k registers give a standard
+    error of about 0.8 % at 14."""
+    return interactions.groupBy(*parts).agg(F.hll_sketch_agg("user_id", F.lit(lg_k)).alias("users"), F.hll_sketch_agg("item_id", F.lit(lg_k)).alias("items"), F.count("*").alias("n_rows"))
+
+
+def sketched_stats(sketches: DataFrame) -> DataFrame:
+    """conversion_stats() of all parts together, with estimated numbers of users and items."""
+    number = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c))
+    return _per_user_and_item(sketches.agg(number("users").alias("n_users"), number("items").alias("n_items"), F.sum("n_rows").alias("n_rows")))
+
+
 def conversion_stats(interactions: DataFrame) -> DataFrame:
     s = interactions.agg(F.count_distinct("user_id").alias("n_users"), F.count_distinct("item_id").alias("n_items"), F.count("*").alias("n_rows"))
+    return _per_user_and_item(s)
+
+
+def _per_user_and_item(s: DataFrame) -> DataFrame:
     return s.withColumns({"density": F.col("n_rows") / (F.col("n_users") * F.col("n_items")), "per_user": F.col("n_rows") / F.col("n_users"), "per_item": F.col("n_rows") / F.col("n_items")})
 
 

@@ -133,6 +133,24 @@ def append_result(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
 
+def write_run(metrics: DataFrame, mode: str, run: str, path: str, **columns: tuple[int, ...] | tuple[str, ...]) -> None:
+    """A run's results: its metrics as JSON in a folder of its own, which a repeated run replaces, and its row in the summary of all.
+
+    The summary has a folder a run too, so a run that is repeated counts once."""
+    metrics.select("metric", "k", "value").coalesce(1).write.mode("overwrite").json(f"{path}/runs/run={run}")
+    result_row(metrics, mode, **columns).write.mode("overwrite").parquet(f"{path}/summary/run={run}")
+
+
+def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """run, metric, k, value of all runs, and the summary's rows."""
+    return spark.read.schema("metric string, k int, value double, run string").json(f"{path}/runs"), spark.read.parquet(f"{path}/summary")
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_report() wrote; the report's columns are read as they are, as there are few rows."""
+    return spark.read.json(f"{path}/report"), spark.read.schema("user_id long, reason string").json(f"{path}/dropped")
+
+
 def write_report(report: DataFrame, dropped: DataFrame, path: str) -> None:
     """A validation report of one or a few rows, and the log of dropped users with their reasons, as JSON."""
     report.coalesce(1).write.mode("overwrite").json(f"{path}/report")

@@ -8,11 +8,11 @@ import os
 import duckdb
 import pytest
 
-from loomrec import oracles, queries, record_queries
+from loomrec import flow_queries, oracles, queries, record_queries
 
 
-QUERIES = queries.QUERIES | record_queries.QUERIES
-ORACLES = oracles.ORACLES | record_queries.ORACLES
+QUERIES = queries.QUERIES | record_queries.QUERIES | flow_queries.QUERIES
+ORACLES = oracles.ORACLES | record_queries.ORACLES | flow_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
