@@ -53,7 +53,7 @@ class WordCache:
     words go straight to the tokenizer's merge model, which gives the same ids in a quarter of the time; any other word
     takes the whole tokenizer."""
 
-    LIMIT = 600_000
+    LIMIT = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
