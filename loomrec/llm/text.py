@@ -23,6 +23,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()  # what a batch took goes back before the next one comes
 
 
 def codes(items: list[bytes]) -> tuple[np.ndarray, int]:
