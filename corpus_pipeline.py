@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined results: columns beside those of documents are left out, whatever they are called; an empty table gives an
+empty one at every stage; a null lang or source is a group of its own. Rows are judged, kept and packed one by one, so
+equal rows share their fate but for near-duplicates, of which one stays, and rows without a doc_id take part in all but
+line dedup, which leaves them as they are. A text is null or without words only before the quality rules, which reject it.
 """
 
 from __future__ import annotations
@@ -21,12 +26,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or their group's fences reject go."""
+    """Documents that the base rule or their group's fences reject go: so do null and blank texts. Equal rows go or stay together."""
     return judge(docs, carry=tuple(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents or more share stay in the last of them alone; every document stays, if with less text."""
+    """Lines that three documents or more share stay in the last of them alone; every document stays, if with less text.
+
+    Rows that repeat a doc_id count as one document; n_chars is that of the text that is left, and a null text becomes ''."""
     done = dedup_lines(docs.select(*COLUMNS)).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
     return done.select(*COLUMNS)
 
@@ -44,13 +51,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
+    """As many copies of each document as the mix takes, up to three; ties in rank go by a hash of id and size, equal rows together."""
     mixed = mix(docs, carry=("text", "lang", "n_chars")).where("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document and its place in a sequence."""
+    """Every piece of every document and its place in a sequence; a copy is a document, and an empty text is its closing token."""
     return pack(docs, tokenizer_path())
 
 
