@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loomrec.llm import queries
 from loomrec.scratch import materialise
 from tests.llm import brute
-from tests.llm.test_operators import check_places
+from tests.llm.test_operators import EXTRA, awkward, check_places, prose
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,3 +71,32 @@ def test_near_duplicates_by_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
     assert got == sorted([(1, a), (2, b), (None, c), (3, None), (3, None), (None, "")], key=repr)
+
+
+def test_awkward_rows_through_all_stages(spark):
+    """Nulls in every column, blanks, repeated rows and ids, a long text and columns of clashing names."""
+    rows = awkward() + [(50 + k, prose(50 + k, 60), "en", "ab"[k % 2]) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.when(F.col("doc_id") % 2 == 0, F.length("text")).cast("long"))
+    docs = docs.withColumns({c: F.lit("clash") for c in [*EXTRA, "copies", "sid", "rank", "kept_text", "n_dropped", "_row", "order", "base_failed"]}).repartition(3)
+    seen = [docs.select(*COLUMNS).collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, ""), "stage")
+        seen.append(docs.collect())
+        assert name == "best-fit packing" or docs.columns == COLUMNS
+    whole, ruled, lined, joined, mixed, packed = seen
+    assert Counter(ruled) <= Counter(whole) and all(r["text"] and r["text"].split() for r in ruled)
+    with_id = [(r["doc_id"], r["text"]) for r in ruled if r["doc_id"] is not None]
+    assert Counter((r["doc_id"], brute.sha(r["text"])) for r in lined if r["doc_id"] is not None) == Counter((d, sha) for d, _, _, sha in brute.line_dedup(with_id))
+    assert Counter(r["text"] for r in lined if r["doc_id"] is None) == Counter(r["text"] for r in ruled if r["doc_id"] is None)
+    assert Counter(joined) <= Counter(lined) and set(mixed) <= set(joined) and max(Counter(mixed).values()) <= 3 * max(Counter(joined).values())
+    groups = brute.jaccard(list(enumerate(r["text"] for r in lined)))
+    assert len(joined) == len({root for _, root in groups.values()})
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed)
+    check_places(packed)
+
+
+def test_empty_through_all_stages(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, size string")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, ""), "stage")
+        assert docs.count() == 0
