@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.operators import facets, memory, metrics, records, rerank, rewards
+from loomrec.operators import facets, leakage, memory, metrics, records, rerank, rewards
 from loomrec.operators import sequences as seq
 from loomrec.oracles import EVAL, HYBRID, MIX, NEIGHBORS, draw, q
 from loomrec.plans import pipelines
@@ -94,6 +94,18 @@ def validation_report(spark, d):
     return dropped.unionByName(numbers)
 
 
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@registered(f"SELECT name || '.parquet' AS name, true AS present, true AS sha_match, true AS ok FROM (SELECT unnest({NAMES}) AS name) UNION ALL SELECT 'missing', false, true, false UNION ALL SELECT 'extra', false, true, true UNION ALL SELECT 'region.parquet', true, false, false")
+def audited_files(spark, d):
+    """The tables' own files against a manifest of digests that Spark's file source gives; one digest is wrong, and two files are not there."""
+    sha = spark.read.format("binaryFile").load(f"{d}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256")).where(F.col("name").isin([f"{n}.parquet" for n in NAMES]))
+    more = spark.createDataFrame([("missing", None, True), ("extra", None, False), ("region.parquet", "0", True)], "name string, sha256 string, required boolean")
+    manifest = sha.withColumn("required", F.lit(True)).unionByName(more).withColumn("lines", F.lit(None).cast("long"))
+    return leakage.file_audit(spark, f"{d}/*.parquet", manifest).select("name", "present", "sha_match", "ok")
+
+
 # Statistics by sketches.
 
 

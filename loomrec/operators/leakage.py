@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrec.functions.columns import normalised
@@ -81,11 +86,65 @@ def record_faults(records: DataFrame) -> DataFrame:
     return records.select("user_id", F.explode(F.array_compact(faults)).alias("fault"))
 
 
-def file_audit(spark, folder: str, manifest: DataFrame) -> DataFrame:
+def file_digests(spark: SparkSession, folder: str, chunk: int = 1 << 20) -> DataFrame:
+    """name, sha256, n_lines, n_bytes of the files of a folder or pattern, each read in chunks and never held whole.
+
+    Only paths are listed by Spark's file source, which leaves out empty files (they are added); a task opens its files as streams. Stores that tasks can open through
+    Spark alone are read by that source, a file in a row, up to its limit of 2 GB. A last line without an end counts."""
+    listed = spark.read.format("binaryFile").load(folder).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    nothing = hashlib.sha256(b"").hexdigest()
+    empty = spark.createDataFrame([(n, nothing, 0, 0) for n in _empty_files(spark, folder)], "name string, sha256 string, n_lines long, n_bytes long")
+    if not _opens(folder):
+        files = spark.read.format("binaryFile").load(folder)
+        ends = F.length("content") - F.length(F.translate(F.decode("content", "ISO-8859-1"), "\n", ""))
+        open_end = (F.col("length") > 0) & (F.right(F.decode("content", "ISO-8859-1"), F.lit(1)) != "\n")
+        lines = (ends + F.when(open_end, 1).otherwise(0)).cast("long")
+        return files.select(name, F.sha2("content", 256).alias("sha256"), lines.alias("n_lines"), F.col("length").alias("n_bytes")).unionByName(empty)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(_uri(path))
+                digest, lines, size, last = hashlib.sha256(), 0, 0, b"\n"
+                with system.open_input_stream(at) as stream:
+                    while part := stream.read(chunk):
+                        digest.update(part)
+                        lines, size, last = lines + part.count(b"\n"), size + len(part), part[-1:]
+                cols = [[path], [digest.hexdigest()], [lines + (last != b"\n")], [size]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["path", "sha256", "n_lines", "n_bytes"])
+
+    # The largest files go to tasks of their own.
+    dealt = listed.repartitionByRange(F.desc("length"), "path").select("path")
+    return dealt.mapInArrow(run, "path string, sha256 string, n_lines long, n_bytes long").select(name, "sha256", "n_lines", "n_bytes").unionByName(empty)
+
+
+def _empty_files(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x for s in system.globStatus(path) or [] for x in (system.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return [x.getPath().getName() for x in found if x.isFile() and not x.getLen() and x.getPath().getName()[0] not in "._"]
+
+
+def _uri(path: str) -> str:
+    """file:/a as file:///a, and paths without a scheme as those of local files."""
+    if "://" in path:
+        return path
+    return "file://" + path.removeprefix("file:")
+
+
+def _opens(folder: str) -> bool:
+    try:
+        fs.FileSystem.from_uri(_uri(folder))
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
+
+
+def file_audit(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """manifest (name, lines, sha256, required) with present, lines_match, sha_match and ok for the files of a folder."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("_sha"))
-    lines = spark.read.text(folder).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).agg(F.count("*").alias("_lines"))
-    out = manifest.join(files, "name", "left").join(lines, "name", "left")
+    files = file_digests(spark, folder).select("name", F.col("sha256").alias("_sha"), F.col("n_lines").alias("_lines"))
+    out = manifest.join(files, "name", "left")
     out = out.select(*manifest.columns, F.col("_sha").isNotNull().alias("present"), F.coalesce(F.coalesce("_lines", F.lit(0)) == F.col("lines"), F.lit(True)).alias("lines_match"), F.coalesce(F.col("_sha") == F.col("sha256"), F.lit(True)).alias("sha_match"))
     return out.withColumn("ok", F.when(F.col("present"), F.col("lines_match") & F.col("sha_match")).otherwise(~F.col("required")))
 

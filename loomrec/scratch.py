@@ -24,8 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/loomrec-{spark.sparkContext.applicationId}"
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """Where a table of the catalog that this application makes for itself may lie; clear() drops it."""
+    if not hasattr(spark, "_loomrec_tables"):
+        spark._loomrec_tables = []
+    spark._loomrec_tables.append(name)
+    return f"{shared_dir(spark)}/{name}"
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder, once no table of it is read any more."""
+    """Drop the tables and delete the files that this application has written to the shared folder, once no result of it
+    is read any more: results read these files until they are saved elsewhere."""
+    for name in getattr(spark, "_loomrec_tables", []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark._loomrec_tables = []
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

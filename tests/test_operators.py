@@ -654,3 +654,26 @@ def test_runs_replace_themselves(spark, tmp_path):
     runs, summary = tables.read_runs(spark, str(tmp_path))
     assert sorted((r["run"], r["k"], round(r["value"], 3)) for r in runs.collect()) == [("a", 1, 0.3), ("a", 5, 0.4), ("b", 1, 0.2), ("b", 5, 0.3)]
     assert {r["mode"]: round(r["hit@1"], 3) for r in summary.collect()} == {"full": 0.3, "no memory": 0.2}
+
+
+@pytest.mark.parametrize("opens", [True, False])
+def test_file_digests(spark, tmp_path, monkeypatch, opens):
+    """By streams and by the file source: the same digests, lines and sizes."""
+    if not opens:
+        monkeypatch.setattr(leakage, "_opens", lambda folder: False)
+    data = {"a.txt": b"one\ntwo\n", "b.bin": bytes(range(256)) * 5000, "c.txt": b"no end", "empty": b""}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["name"]: (r["sha256"], r["n_lines"], r["n_bytes"]) for r in leakage.file_digests(spark, f"{tmp_path}/*", chunk=1000).collect()}
+    assert got == {n: (hashlib.sha256(c).hexdigest(), c.count(b"\n") + (not c.endswith(b"\n") and bool(c)), len(c)) for n, c in data.items()}
+
+
+def test_scratch_is_cleared(spark):
+    from loomrec import scratch
+
+    kept = scratch.materialise(spark.range(3), "kept")
+    spark.range(5).write.option("path", scratch.table_path(spark, "loomrec_test_table")).saveAsTable("loomrec_test_table")
+    assert kept.count() == 3 and spark.catalog.tableExists("loomrec_test_table")
+    scratch.clear(spark)
+    assert not spark.catalog.tableExists("loomrec_test_table")
+    assert scratch.materialise(spark.range(2), "again").count() == 2
