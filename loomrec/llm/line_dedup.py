@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.llm.mixing import few
-from loomrec.scratch import materialise, shared_dir
+from loomrec.scratch import materialise, table_path
 
 BATCH_DOCS = 50_000_000
 SCRATCH = ("_id", "_key", "_text", "_drops", "_lines", "_kept")
@@ -52,7 +52,7 @@ class LineRuns:
 
     def _written(self, df: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
-        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", table_path(self.spark, name)).saveAsTable(name)
         return self.spark.table(name)
 
     def runs(self) -> list[DataFrame]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.llm.text import slices
-from loomrec.scratch import materialise, shared_dir
+from loomrec.scratch import materialise, table_path
 
 WINDOW = 16  # bytes of a trigger
 BUCKET_BYTES = 24 << 20  # of texts, whose triggers meet in one task
@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame, cid: Column, size: int, n: int, core: int, s
     buckets = max(parts, -(-size // BUCKET_BYTES))  # a task's share does not grow with the corpus
     texts = docs.where("text is not null").select(cid.alias("cid"), "text").groupBy("cid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"texts_{uuid.uuid4().hex[:12]}"
-    texts.write.bucketBy(parts, "cid").sortBy("cid").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    texts.write.bucketBy(parts, "cid").sortBy("cid").option("compression", "zstd").option("path", table_path(spark, name)).saveAsTable(name)
     texts = spark.table(name)
     long = texts.where(F.octet_length("text") >= n)
     settled = materialise(settle(scan(long, n, core, spacing, buckets), n, buckets, hot), "settled")
