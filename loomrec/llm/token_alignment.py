@@ -255,6 +255,10 @@ def _piece_bytes(model, i: int) -> bytes:
     return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
 
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def parts_of(text: str, part_bytes: int, safe: bool) -> list[tuple[int, str]]:
     """(first byte, part) of a space and the text: parts of part_bytes or a little more, cut where tokenizers start anew."""
     s, out, a, at = " " + text, [], 0, 0
@@ -264,7 +268,7 @@ def parts_of(text: str, part_bytes: int, safe: bool) -> list[tuple[int, str]]:
         out.append((at, s[a:b]))
         if b == len(s):
             return out
-        at += len(s[a:b].encode("utf-8", "surrogatepass"))
+        at += _size(s[a:b])
         a = b
 
 
@@ -398,7 +402,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, carry: tuple[str, ...] = ("
             row, at, first, part, each = b.column(len(keys)).to_pylist(), [], [], [], []
             for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 parts = parts_of(text, part_bytes, pair.safe) if text else []
-                if len(parts) == 1 and len(parts[0][1]) * 4 < range_bytes:
+                if len(parts) == 1 and _size(parts[0][1]) < range_bytes:
                     ready = pair(stretches_of(parts[0][1], pair.safe))
                     each.append(sums_of(ready) if all(f[2] is not None for f in ready) else NOTHING)
                 elif parts:
