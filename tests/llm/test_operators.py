@@ -150,7 +150,7 @@ def _verdicts(docs, gamma=1.02, reach=3.0, prior=20):
     names = ("symbols", "dup_lines", "upper", "stutters", "word_length")
 
     def parts(c):  # (count, out of) of each measure
-        n, chars, symbols, dup, _, upper, stutters = c
+        n, chars, symbols, dup, _, _, upper, stutters = c
         return dict(zip(names, ((symbols, n), (dup, n), (upper, chars), (stutters, n), (chars, n))))
 
     def bucketed(s, n):
