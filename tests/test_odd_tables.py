@@ -50,6 +50,12 @@ def test_logits_order_where_scores_are_the_same(spark):
     assert {r["score"] for r in got.collect()} == {1.0} and "logit" not in got.columns
 
 
+def test_grounding_of_large_ids(spark, tmp_path):
+    rows = [(100_000 + i, i % 2, [1.0, float(i)]) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert len(against_sql(spark, tmp_path, "grounding")) == 2
+
+
 def test_audit_of_tables_in_folders(spark, sf_dir, tmp_path):
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         shutil.copy(path, tmp_path / os.path.basename(path))
