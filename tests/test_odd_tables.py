@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomrec.operators import leakage, pruning
+from loomrec.operators import graph, leakage, pruning
 from tests.test_sql import ORACLES, QUERIES, plain
 
 
@@ -75,3 +75,18 @@ def test_audit_of_tables_in_folders(spark, sf_dir, tmp_path):
         (tmp_path / sub / "none").write_text("")
     names = [r["name"] for r in leakage.file_digests(spark, f"{tmp_path}/[ab]", root=str(tmp_path)).collect()]
     assert sorted(names) == ["a/none", "a/same", "b/none", "b/same"]
+
+
+def test_pairs_are_summed_where_lists_are(spark):
+    """Pairs of users are made behind the last shuffle, and ids may be larger than the lists' four bytes."""
+    ids = [3, 7, 1 << 31, (1 << 31) + 7, 5 << 33, -4]
+    rows = [(u, i, p) for n, u in enumerate(ids) for p, i in enumerate([0, 1, n % 3, 1 + n % 2])]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, pos int")
+    df = graph.user_neighbors(edges, most=3)
+    assert "hashpartitioning(user_id" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "neighbor_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    bags = {u: [i for v, i, _ in rows if v == u] for u in ids}
+    want = set()
+    for u in ids:
+        met = [(-sum(bags[u].count(i) * bags[v].count(i) for i in set(bags[u])), min(p for p, i in enumerate(bags[u]) if i in bags[v]), v) for v in ids if v != u]
+        want |= {(u, v, -k, at + 1) for at, (k, _, v) in enumerate(sorted(met)[:3])}
+    assert {tuple(r) for r in df.collect()} == want
