@@ -160,3 +160,21 @@ def test_tasks_of_users_rows_are_bounded(spark, orders, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan and "hashpartitioning(user_id" in plan
     against_sql(spark, d, "own_rule")
+
+
+@pytest.mark.parametrize("n_items", [12, 40, 5000])
+def test_spare_probes_change_nothing(spark, monkeypatch, n_items):
+    """Few probes at first, and all of them for who is short, draw what all of them draw."""
+    users = spark.range(30).withColumnRenamed("id", "user_id")
+    mine = users.selectExpr("user_id", "explode(sequence(0L, user_id % 10)) AS item_id")
+    drawn = {}
+    for spare in (0, 3, 1000):
+        monkeypatch.setattr(sampling, "SPARE", spare)
+        drawn[spare] = sorted(map(tuple, sampling.negatives(users, mine, n_items, 5, 42).collect()))
+    assert drawn[0] == drawn[3] == drawn[1000] and not {r[:2] for r in drawn[0]} & set(map(tuple, mine.collect()))
+
+
+def test_arms_are_scored_once(spark, orders, written):
+    d = orders({u: [5, 7, 99, 5, 8] for u in range(1, 13)})
+    against_sql(spark, d, "sparsity_gain")
+    assert [label for label, _ in written] == ["split", "drawn", "candidates", "scored"]
