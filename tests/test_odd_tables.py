@@ -3,6 +3,7 @@
 import glob
 import os
 import shutil
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -201,3 +202,27 @@ def test_targets_are_ranked_by_counting(spark, monkeypatch):
     table = scratch.materialise(cand, "candidates")
     plan = rerank.target_ranks(table, prompts)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange") == 1 and "row_number" not in plan and "floor" not in plan[plan.index("Exchange"):]
+
+
+def test_the_split_is_shared_with_chosen_neighbours(spark, orders, written):
+    """What packs, screens and snapshots chosen neighbours puts users' rows in order once."""
+    d = orders({u: [5, 7, 99, 5, 8] for u in range(1, 13)})
+    for name in ("leak_screen", "packed_context"):
+        written.clear()
+        against_sql(spark, d, name)
+        assert [label for label, _ in written].count("split") == 1, name
+
+
+def test_tables_of_a_round_are_deleted(spark, monkeypatch):
+    """When neighbours are chosen, only the chosen ones are left of what was written for them."""
+    rows = [(u, (u * k) % 11, k, 4, 0.25 * (k + 1)) for u in range(40) for k in range(4)]
+    edges = spark.createDataFrame(rows, "user_id long, item_id long, pos int, n_train int, recency double")
+    monkeypatch.setattr(graph, "ROUND_IDS", 200)
+    monkeypatch.setattr(graph, "ROUND_SHARE", 5)
+    there = lambda: {p.name for p in Path(scratch.shared_dir(spark).removeprefix("file://")).iterdir()}
+    held = scratch.materialise(edges, "held")
+    before = there()
+    for given in (edges, held):
+        out = pruning.top_neighbors(given, k=8)
+        assert {n.rsplit("-", 1)[0] for n in there() - before} == {"chosen"} and out.count() > 0
+    assert held.count() == 160
