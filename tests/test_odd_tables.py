@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomrec import flow_queries, queries, scratch
 from loomrec.operators import facets, graph, leakage, pruning, records, rerank, sampling
+from loomrec.sources import tables
 from tests.test_sql import ORACLES, QUERIES, plain
 
 
@@ -226,3 +227,13 @@ def test_tables_of_a_round_are_deleted(spark, monkeypatch):
         out = pruning.top_neighbors(given, k=8)
         assert {n.rsplit("-", 1)[0] for n in there() - before} == {"chosen"} and out.count() > 0
     assert held.count() == 160
+
+
+def test_records_are_compressed(spark, tmp_path):
+    """Records repeat their texts in prompts and snippets: files are much smaller than these, and read back the same."""
+    text = "Item-5 and what is said of it, " * 40
+    rows = spark.range(200).select(F.col("id").alias("user_id"), F.lit(text).alias("prompt"), F.lit(text).alias("M_u"), F.array(F.lit(1).cast("long")).alias("candidates"))
+    tables.write_records(rows.coalesce(1), f"{tmp_path}/records")
+    assert sum(p.stat().st_size for p in (tmp_path / "records").iterdir()) < 200 * len(text) / 10
+    got = tables.read_records(spark, f"{tmp_path}/records").select("user_id", "prompt", "M_u", "candidates")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
